@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import byte_bpe, media, packing, url_rules, warc
+from larder.llm import byte_bpe, media, packing, simhash, toxicity, url_rules, warc
 from larder.llm.common import key_hash, table
 
 #: The fixed policy of op6: verdict, host, path.
 POLICY = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -46,6 +51,14 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = key_hash("doc_id", 5) == 0
+    model = toxicity.train(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.classify(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, offsets=False, decoded=True, keep=["doc_id"])
@@ -58,9 +71,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op4_packing": op4_packing,
     "op5_media": op5_media,
     "op6_url_rules": op6_url_rules,
+    "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }

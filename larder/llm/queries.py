@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import byte_bpe, media, packing, simhash, toxicity, url_rules, warc
+from larder.llm import byte_bpe, language, media, packing, simhash, toxicity, url_rules, warc
 from larder.llm.common import key_hash, table
 
 #: The fixed policy of op6: verdict, host, path.
@@ -18,6 +18,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"), keep=["doc_id", "lang", "source"])
+    return found.select("doc_id", F.col("lang").alias("declared"), "source", "language", "confidence", "accepted")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -72,6 +77,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_language": op3_language,
     "op4_packing": op4_packing,
     "op5_media": op5_media,
     "op6_url_rules": op6_url_rules,

@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.llm.byte_bpe import byte_characters
 from larder.llm.common import as_texts, fields, materialize
 
-CACHE_WORDS = 1 << 18
+CACHE_WORDS, CACHE_PIECES = 1 << 18, 1 << 19
 #: Items that one task packs at a time; bins within SLACK tokens of the capacity count as full.
 WINDOW, MERGE_ITEMS, FAN_IN, SLACK = 40_000, 80_000, 8, 8
 
@@ -44,13 +45,11 @@ class WordCodec:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.mapped = dict(enumerate(byte_characters()))
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def learn(self, known: dict[str, bytes], new: list[str]) -> None:
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
@@ -64,10 +63,12 @@ class WordCodec:
                 missing = set(words)
             parts = {w: PIECE(w) for w in missing}
             if new := set(chain.from_iterable(parts.values())).difference(pieces):
-                if len(pieces) > CACHE_WORDS:
+                if len(pieces) > CACHE_PIECES:
                     pieces.clear()
                     new = set(chain.from_iterable(parts.values()))
-                self.learn(pieces, list(new))
+                for piece in new:
+                    mapped = piece.encode().decode("latin-1").translate(self.mapped)
+                    pieces[piece] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
             for word, own in parts.items():
                 known[word] = b"".join([pieces[p] for p in own])
         return b"".join(map(known.__getitem__, words))

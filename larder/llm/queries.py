@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import byte_bpe, language, media, packing, simhash, toxicity, url_rules, warc
+from larder.llm import byte_bpe, language, media, packing, permutation_index, simhash, toxicity, url_rules, warc
 from larder.llm.common import key_hash, table
 
 #: The fixed policy of op6: verdict, host, path.
@@ -56,6 +56,11 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = permutation_index.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = key_hash("doc_id", 5) == 0
@@ -81,6 +86,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_media": op5_media,
     "op6_url_rules": op6_url_rules,
+    "op7_permutation_index": op7_permutation_index,
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,

@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import byte_bpe, language, media, packing, permutation_index, simhash, toxicity, url_rules, warc
+from larder.llm import bilinear_lm, byte_bpe, language, media, packing, permutation_index, simhash, toxicity, url_rules, warc
 from larder.llm.common import key_hash, table
 
 #: The fixed policy of op6: verdict, host, path.
 POLICY = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = key_hash("doc_id", 7) == 2
+    scored = bilinear_lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
@@ -81,6 +87,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bilinear_lm": op1_bilinear_lm,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
     "op4_packing": op4_packing,

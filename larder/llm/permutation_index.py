@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.llm.common import materialize
 
 PIVOTS, PREFIX, KEEP, RERANK = 128, 96, 0.2, 160
-#: Vectors of a block and queries of a chunk.
-BLOCK, CHUNK = 1024, 256
+#: Vectors of a block, queries of a chunk, and blocks that a task searches for a chunk, keeping the nearest so far.
+BLOCK, CHUNK, GROUP = 1024, 256, 64
 
 
 def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -37,7 +38,7 @@ def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return rows.where(F.size("v") == (common["size"] if common else 0))
 
 
-def _packed(rows: DataFrame, dealt: str, parts: int) -> DataFrame:
+def _packed(rows: DataFrame, dealt: str, parts: int, kind: str) -> DataFrame:
     """Rows (block, ids, vectors): the rows of each value of dealt, packed as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +46,7 @@ def _packed(rows: DataFrame, dealt: str, parts: int) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             order = np.argsort(ids, kind="stable")
-            return pa.RecordBatch.from_pylist([{"block": at, "ids": np.array(ids, "<i8")[order].tobytes(), "vectors": np.array(vectors, "<f8")[order].tobytes()}], schema=arrow)
+            return pa.RecordBatch.from_pylist([{"block": at, "ids": np.array(ids, "<i8")[order].tobytes(), "vectors": np.array(vectors, kind)[order].tobytes()}], schema=arrow)
 
         for batch in batches:
             for block, i, v in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "v")), strict=True):
@@ -74,6 +75,7 @@ def orders(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def search(vectors: DataFrame, queries: str, k: int = 20, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, keep: float = KEEP) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found for each row for which queries (SQL over id) is true."""
     spark = vectors.sparkSession
+    kind = "<f4" if vectors.schema[vector].dataType == T.ArrayType(T.FloatType()) else "<f8"
     rows = materialize(valid(vectors, key, vector), "vectors")
     asked = rows.where(queries)
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
@@ -90,34 +92,50 @@ def search(vectors: DataFrame, queries: str, k: int = 20, key: str = "vec_id", v
     base = lifted(np.array([r["v"] for r in chosen], np.float64))
     width, use = base.shape[1] - 1, min(prefix, len(base))
 
-    blocks = _packed(rows, f"pmod(xxhash64(id), {n_blocks})", parts)
-    blocks = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"), "ids", "vectors")
-    chunks = _packed(asked, f"pmod(xxhash64(id, 1), {n_chunks})", max(n_chunks, 1)).withColumnRenamed("block", "chunk")
-    chunks = chunks.select("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.col("ids").alias("asked_ids"), F.col("vectors").alias("asked"))
+    groups = ceil(n_blocks / GROUP)
+    blocks = _packed(rows, f"pmod(xxhash64(id), {n_blocks})", parts, kind)
+    blocks = blocks.select(F.pmod("block", F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"), "ids", "vectors")
+    chunks = _packed(asked, f"pmod(xxhash64(id, 1), {n_chunks})", n_chunks, kind).withColumnRenamed("block", "chunk")
+    chunks = chunks.select("chunk", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.col("ids").alias("asked_ids"), F.col("vectors").alias("asked"))
+
+    def nearest(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(ids) > k:
+            least = np.partition(score, len(score) - k)[len(score) - k]
+            ids, score = ids[score >= least], score[score >= least]
+        best = np.lexsort((ids, -score))[:k]
+        return ids[best], score[best]
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked_ids, wanted, place, found = None, None, None, None, []
+
+        def ended() -> pa.RecordBatch:
+            kept = [nearest(*(np.concatenate(x) for x in zip(*hits, strict=True))) for hits in found]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(asked_ids, [len(i) for i, _ in kept])), pa.array(np.concatenate([i for i, _ in kept])), pa.array(np.concatenate([s for _, s in kept]))], names=["query_id", "id", "score"])
+
         for batch in batches:
-            for ids, raw, asked_ids, asked_raw in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "asked_ids", "asked")), strict=True):
-                ids, own = np.frombuffer(ids, "<i8"), np.frombuffer(raw, "<f8").reshape(-1, width)
-                asked_ids, wanted = np.frombuffer(asked_ids, "<i8"), np.frombuffer(asked_raw, "<f8").reshape(-1, width)
+            for chunk, group, ids, raw, chunk_ids, chunk_raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "group", "ids", "vectors", "asked_ids", "asked")), strict=True):
+                if (chunk, group) != at:
+                    if at:
+                        yield ended()
+                    at, asked_ids, wanted = (chunk, group), np.frombuffer(chunk_ids, "<i8"), unpacked(chunk_raw)
+                    place = orders(np.concatenate([wanted, np.zeros((len(wanted), 1))], axis=1), base)
+                    found = [[] for _ in asked_ids]
+                ids, own = np.frombuffer(ids, "<i8"), unpacked(raw)
                 files = np.ascontiguousarray(orders(lifted(own), base).T)  # a pivot's places in all orders of the block
-                place = orders(np.concatenate([wanted, np.zeros((len(wanted), 1))], axis=1), base)
                 count = min(len(ids), max(RERANK, ceil(keep * len(ids))))
-                out = []
-                for q, v, order in zip(asked_ids, wanted, place, strict=True):
+                for q, v, order, hits in zip(asked_ids, wanted, place, found, strict=True):
                     read = np.flatnonzero(order < use)
                     footrule = np.abs(files[read] - order[read, None]).sum(axis=0, dtype=np.int32)
                     near = np.argpartition(footrule, count - 1)[:count] if count < len(ids) else np.arange(len(ids))
                     near = near[ids[near] != q]
-                    score = (own[near] * v).sum(axis=1)
-                    if len(near) > k:
-                        least = np.partition(score, len(score) - k)[len(score) - k]
-                        near, score = near[score >= least], score[score >= least]
-                    best = np.lexsort((ids[near], -score))[:k]
-                    out.append((np.full(len(best), q), ids[near[best]], score[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["query_id", "id", "score"])
-
-    pairs = blocks.join(chunks, ["block", "chunk"]).select("ids", "vectors", "asked_ids", "asked")
+                    hits.append(nearest(ids[near], (own[near] * v).sum(axis=1)))
+        if at:
+            yield ended()
+
+    def unpacked(raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, kind).reshape(-1, width).astype(np.float64)
+
+    pairs = blocks.join(chunks, ["chunk", "group"]).select("chunk", "group", "ids", "vectors", "asked_ids", "asked")
     found = pairs.mapInArrow(ranked, "query_id bigint, id bigint, score double")
     nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -1,13 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A logistic model over the presence of words and word beginnings is trained in numpy from confirmed toxic texts and
-unlabelled ones. Its risk is the class-prior-corrected one: prior * R+(positives) plus the part of the
+unlabelled ones (any texts, whatever their label). Its risk is the class-prior-corrected one: prior * R+(positives) plus the part of the
 unlabelled texts' negative risk that the prior leaves, held at zero or above (when it would go below,
-the step goes up that part instead). A proximal step keeps the weights sparse; the words of the
-strongest weights are then fitted again with less of it.
+the step goes up that part instead). Features are kept where, at the class
+prior, most of the texts that have them would be toxic; a proximal step keeps their weights sparse.
 
-The fit takes at most MAX_POSITIVE toxic and MAX_UNLABELLED other training texts, those of the lowest
-id hashes; equal texts count once. Null texts count as empty and score by the bias; without positives
+The fit takes at most MAX_POSITIVE toxic and MAX_UNLABELLED unlabelled training texts, those of the lowest
+id hashes; equal texts and near copies count once. Null texts count as empty and score by the bias; without positives
 every score is the prior; repeated rows score alike; an empty table gives an empty one.
 """
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +26,50 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import as_texts, map_batches
 
-MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
-MIN_TEXTS, STEPS, RATE, SPARSE, KEEP_SHARE = 8, 300, 0.1, 2e-4, 0.3
+MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
+MIN_TEXTS, MIN_SHARE, PRECISION, STEPS, RATE, SPARSE = 4, 0.004, 0.6, 200, 0.1, 1e-4
+SKETCH = 8
 #: The prior used where no row tells it.
 PRIOR = 0.05
 WORD = re.compile(r"\w+").findall
 
 
 #: Lengths of the beginnings of longer words that are features too, so that a stem counts whatever ends it.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 
 
-def words(text: str) -> set[str]:
-    """The features of a text: its words, and the beginnings of longer ones, marked by a star."""
+def _beginnings(whole: set[str], size: int) -> Counter[str]:
+    return Counter([w[:size] for w in whole if len(w) > size])
+
+
+def features(text: str) -> set[str]:
+    """The words of a text, and the beginnings of one, two and three or more of its longer words, with as many stars."""
     whole = set(WORD(text.lower()))
-    return whole.union(*({w[:n] + "*" for w in whole if len(w) > n} for n in STEMS))
+    out = set(whole)
+    for size in STEMS:
+        for stem, n in _beginnings(whole, size).items():
+            out.add(stem + "*")
+            if n > 1:
+                out.add(stem + "**")
+                if n > 2:
+                    out.add(stem + "***")
+    return out
+
+
+def families(texts: list[str]) -> list[str]:
+    """One text of each group of near copies: texts of which half the SKETCH least shingle hashes agree with an earlier one's are left out."""
+    holders: dict[int, list[int]] = {}
+    kept = []
+    for text in texts:
+        w = text.encode().lower().split()
+        sketch = sorted({zlib.crc32(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))})[:SKETCH]
+        agreeing = Counter(k for h in sketch for k in holders.get(h, ()))
+        if agreeing and 2 * max(agreeing.values()) >= len(sketch):
+            continue
+        for h in sketch:
+            holders.setdefault(h, []).append(len(kept))
+        kept.append(text)
+    return kept
 
 
 def fit(positive: list[str], unlabelled: list[str], prior: float) -> dict:
@@ -47,14 +78,16 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> dict:
     base = math.log(prior / (1 - prior))
     if not positive:
         return {"weights": {}, "bias": base}
+    positive, unlabelled = families(positive), families(unlabelled)
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in sorted(words(t))], np.int32) for t in [*positive, *unlabelled]]
+    docs = [np.array([number.setdefault(w, len(number)) for w in sorted(features(t))], np.int32) for t in [*positive, *unlabelled]]
     seen = np.bincount(np.concatenate([*docs, np.zeros(0, np.int32)]), minlength=len(number))
-    kept = np.flatnonzero(seen >= min(MIN_TEXTS, max(2, len(docs) // 50)))
-    w, b = _descend(docs, kept, len(positive), prior, base, SPARSE)
-    strong = np.abs(w) >= KEEP_SHARE * np.abs(w).max(initial=0.0)
-    kept = kept[strong & (w != 0)]
-    w, b = _descend(docs, kept, len(positive), prior, base, SPARSE / 20)
+    n_pos = len(positive)
+    in_pos = np.bincount(np.concatenate([*docs[:n_pos], np.zeros(0, np.int32)]), minlength=len(number))
+    # the share of toxic texts among those that have a feature, at the class prior
+    precision = prior * (in_pos / n_pos) / ((seen - in_pos + 1) / max(1, len(unlabelled)))
+    kept = np.flatnonzero((in_pos >= max(MIN_TEXTS, n_pos * MIN_SHARE)) & (precision >= PRECISION))
+    w, b = _descend(docs, kept, n_pos, prior, base, SPARSE)
     names = list(number)
     return {"weights": {names[k]: float(x) for k, x in zip(kept, w, strict=True) if x}, "bias": float(b)}
 
@@ -89,10 +122,27 @@ def _descend(docs: list[np.ndarray], kept: np.ndarray, n_pos: int, prior: float,
     return w, float(b)
 
 
-def score(model: dict, text: str) -> float:
-    known = model["weights"]
-    z = model["bias"] + math.fsum(known[w] for w in words(text).intersection(known))
-    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+class Scorer:
+    """Scores texts by a model, looking only for the beginnings it knows."""
+
+    def __init__(self, model: dict):
+        self.bias, self.words, self.stems = model["bias"], {}, {}
+        for name, weight in model["weights"].items():
+            stem = name.rstrip("*")
+            if stars := len(name) - len(stem):
+                self.stems.setdefault(len(stem), {}).setdefault(stem, [0.0] * 3)[stars - 1] = weight
+            else:
+                self.words[name] = weight
+
+    def __call__(self, text: str) -> float:
+        whole = set(WORD(text.lower()))
+        found = [self.words[w] for w in whole.intersection(self.words)]
+        for size, known in self.stems.items():
+            begun = _beginnings(whole, size)
+            for stem in begun.keys() & known.keys():
+                found += known[stem][: begun[stem]]
+        z = self.bias + math.fsum(found)
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> dict:
@@ -106,16 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     prior = labels.where("toxic IS NOT NULL").agg(F.avg("toxic")).first()[0]
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
     positive = ids.join(toxic, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive).withColumn("toxic", F.lit(True))
-    others = ids.join(toxic, "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_unlabelled).withColumn("toxic", F.lit(False))
-    sample = docs.select("doc_id", "text").join(F.broadcast(positive.union(others)), "doc_id")
+    unlabelled = ids.orderBy(order, "doc_id").limit(max_unlabelled).withColumn("toxic", F.lit(False))
+    sample = docs.select("doc_id", "text").join(F.broadcast(positive.union(unlabelled)), "doc_id")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[str, bool] = {}
+        texts: dict[bool, set[str]] = {True: set(), False: set()}
         for batch in batches:
             for text, is_toxic in zip(as_texts(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-                texts[text] = texts.get(text, False) or is_toxic
-        ordered = sorted(texts)
-        model = fit([t for t in ordered if texts[t]], [t for t in ordered if not texts[t]], PRIOR if prior is None else prior)
+                texts[is_toxic].add(text)
+        model = fit(sorted(texts[True]), sorted(texts[False]), PRIOR if prior is None else prior)
         yield pa.RecordBatch.from_pylist([{"words": list(model["weights"]), "weights": list(model["weights"].values()), "bias": model["bias"]}], schema=pa.schema([("words", pa.list_(pa.string())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())]))
 
     got = sample.select("text", "toxic").repartition(1).mapInArrow(fitted, "words array<string>, weights array<double>, bias double").first()
@@ -126,6 +175,7 @@ def classify(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
     """Append score (0 to 1) of the whole text."""
 
     def make():
-        return lambda batch: [pa.array([score(model, t) for t in as_texts(batch.column(text))], pa.float64())]
+        score = Scorer(model)
+        return lambda batch: [pa.array([score(t) for t in as_texts(batch.column(text))], pa.float64())]
 
     return map_batches(docs, make, "score double", keep)

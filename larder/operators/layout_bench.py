@@ -34,7 +34,7 @@ def write_layouts(sales: DataFrame, database: str = "default", buckets: int = 16
 def table_bytes(spark: SparkSession, name: str) -> int:
     """Size of a table's files, by the catalogue's statistics."""
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS NOSCAN")
-    return int(spark._jsparkSession.table(name).queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(spark._jsparkSession.table(name).queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def has_exchange(df: DataFrame) -> bool:

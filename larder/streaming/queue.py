@@ -53,9 +53,10 @@ def maintain(stream: DataFrame, stored: StoredQueue, index: IndexStore, document
             result, rest, now = draining.drain(stored.read(), documents(), index.read(), index_name, limit)
             if result == draining.DrainResult():
                 return
-            before = stored.read().count()
-            index.keep_only(index.replace(now), index.current())
-            stored.write(rest)
+            before, superseded = stored.read().count(), index.current()
+            version = index.replace(now)
+            stored.write(rest)  # still reads the superseded version
+            index.keep_only(version, superseded)
             if on_result:
                 on_result(result)
             draining.check_refused(result)

@@ -121,7 +121,8 @@ def code(table: DataFrame, counted: DataFrame, vocab: dict) -> DataFrame:
     # at most HEAD and TAIL rows
     classed = counted.join(F.broadcast(head), "word", "left").withColumn("ending", ending(F.col("word"))).join(F.broadcast(endings), "ending", "left")
     cls = F.when(F.col("word") == F.lit(END), 0).otherwise(F.coalesce("head", "tail", F.lit(CLASSES - 1)))
-    words = classed.select("block", "place", "total", cls.cast("int").alias("cls"), F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("array<boolean>").alias("training"), F.lit(None).cast("array<bigint>").alias("lengths"), F.lit(None).cast("binary").alias("tokens"))
+    # empty values, not nulls: runs of null arrays make Arrow's writer rescan the batch for every row
+    words = classed.select("block", "place", "total", cls.cast("int").alias("cls"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<boolean>").alias("training"), F.array().cast("array<bigint>").alias("lengths"), F.lit(b"").alias("tokens"))
     texts = table.select("block", F.lit(-1).alias("place"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("cls"), "ids", "training", "lengths", "tokens")
     masses = vocab["masses"]
 
@@ -162,14 +163,24 @@ def code(table: DataFrame, counted: DataFrame, vocab: dict) -> DataFrame:
 
 def contexts(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The CONTEXT classes before each token of its text, nearest first; the end's class stands before a text."""
-    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    inside = np.arange(len(classes)) - starts
-    out = np.zeros((len(classes), CONTEXT), np.int64)
+    out = np.zeros((len(classes), CONTEXT), np.uint8)
+    starts = np.cumsum(lengths) - lengths
     for j in range(CONTEXT):
-        out[j + 1 :, j] = np.where(inside[j + 1 :] > j, classes[: -j - 1], 0)
+        out[j + 1 :, j] = classes[: max(0, len(classes) - j - 1)]
+        for k in range(j + 1):  # the first tokens of a text see none of the text before
+            out[starts[lengths > k] + k, j] = 0
     return out
 
 
+def spans(lengths: np.ndarray, tokens: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about so many tokens, one text at least."""
+    ends, first = np.cumsum(lengths), 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + tokens)))
+        yield first, last
+        first = last
+
+
 class LogBilinear:
     """Vectors of context and predicted classes, scales of the context's places, biases."""
 
@@ -204,8 +215,8 @@ class LogBilinear:
     def train(self, ctx: np.ndarray, nxt: np.ndarray, rng: np.random.Generator) -> None:
         """One pass of noise-contrastive steps; the noise classes are shared by a batch."""
         offset = np.log(NOISE * self.noise).astype(np.float32)
-        dims = np.arange(WIDTH)
-        scatter = lambda at, rows: np.bincount((at[:, None] * WIDTH + dims).ravel(), rows.ravel(), minlength=CLASSES * WIDTH).reshape(CLASSES, WIDTH)
+        dims = np.arange(WIDTH, dtype=np.int32)
+        scatter = lambda at, rows: np.bincount((at.astype(np.int32)[:, None] * WIDTH + dims).ravel(), rows.ravel(), minlength=CLASSES * WIDTH).reshape(CLASSES, WIDTH)
         for k in range(0, len(nxt), BATCH):
             c, w = ctx[k : k + BATCH], nxt[k : k + BATCH]
             drawn = rng.choice(CLASSES, NOISE, p=self.noise)
@@ -239,10 +250,12 @@ class LogBilinear:
         return out / np.log(10)
 
 
-def _training_tokens(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    classes, lengths = np.frombuffer(row["classes"], np.uint8).astype(np.int64), np.array(row["lengths"], np.int64)
-    used = np.repeat(np.array(row["training"], bool), lengths)
-    return contexts(classes, lengths)[used], classes[used]
+def _training_tokens(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    classes, lengths, training = np.frombuffer(row["classes"], np.uint8), np.array(row["lengths"], np.int64), np.array(row["training"], bool)
+    starts = np.cumsum(lengths) - lengths
+    for a, b in spans(lengths):
+        part, used = classes[starts[a] : starts[b - 1] + lengths[b - 1]], np.repeat(training[a:b], lengths[a:b])
+        yield contexts(part, lengths[a:b])[used], part[used]
 
 
 def fit(coded: DataFrame, uses: np.ndarray) -> np.ndarray:
@@ -253,7 +266,8 @@ def fit(coded: DataFrame, uses: np.ndarray) -> np.ndarray:
         return warm.flat()
     lengths = np.array(seen["lengths"], np.int64)
     whole = int((np.cumsum(lengths) <= 2 * WARM_TOKENS).sum())
-    ctx, nxt = _training_tokens({"classes": bytes(seen["classes"])[: int(lengths[:whole].sum())], "lengths": lengths[:whole], "training": seen["training"][:whole]})
+    parts = list(_training_tokens({"classes": bytes(seen["classes"])[: int(lengths[:whole].sum())], "lengths": lengths[:whole], "training": seen["training"][:whole]}))
+    ctx, nxt = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, CONTEXT), np.uint8), np.zeros(0, np.uint8))
     rng = np.random.default_rng(1)
     for _ in range(3):
         warm.train(ctx[:WARM_TOKENS], nxt[:WARM_TOKENS], rng)
@@ -265,9 +279,10 @@ def fit(coded: DataFrame, uses: np.ndarray) -> np.ndarray:
         model.squares = [s.copy() for s in squares]
         for batch in batches:
             for row in batch.to_pylist():
-                ctx, nxt = _training_tokens(row)
-                model.train(ctx, nxt, np.random.default_rng(row["block"]))
-                tokens += len(nxt)
+                rng = np.random.default_rng(row["block"])
+                for ctx, nxt in _training_tokens(row):
+                    model.train(ctx, nxt, rng)
+                    tokens += len(nxt)
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([model.flat()], pa.list_(pa.float64())), pa.array([tokens], pa.int64())], names=["parameters", "tokens"])
 
@@ -292,16 +307,13 @@ def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
         model = LogBilinear(uses).load(flat.value)
         for batch in batches:
             for row in batch.to_pylist():
-                classes, lengths = np.frombuffer(row["classes"], np.uint8).astype(np.int64), np.array(row["lengths"], np.int64)
+                classes, lengths = np.frombuffer(row["classes"], np.uint8), np.array(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
                 by_class = np.empty(len(lengths))
-                first = 0
-                while first < len(lengths):  # whole texts, about a million tokens at a time
-                    last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 20))))
-                    part = classes[ends[first] - lengths[first] : ends[last - 1]]
-                    logs = model.log10(contexts(part, lengths[first:last]), part)
-                    by_class[first:last] = np.add.reduceat(logs, np.cumsum(lengths[first:last]) - lengths[first:last])
-                    first = last
+                for a, b in spans(lengths):
+                    part = classes[ends[a] - lengths[a] : ends[b - 1]]
+                    logs = model.log10(contexts(part, lengths[a:b]), part)
+                    by_class[a:b] = np.add.reduceat(logs, np.cumsum(lengths[a:b]) - lengths[a:b])
                 columns = [row["ids"], row["training"], lengths, row["known"], np.array(row["word_log"]) - lengths * size, by_class + np.array(row["tail_log"])]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow, strict=True)], schema=arrow)
 

@@ -143,7 +143,7 @@ def _round(bins: DataFrame, capacity: int) -> DataFrame:
                 for i in group:
                     members += [m | {"offset": m["offset"] + at} for m in held[i]["members"]] if at else held[i]["members"]
                     at += held[i]["fill"]
-                done = at >= capacity - SLACK
+                done = at >= capacity - min(SLACK, capacity // 256)
                 (full if done or final else under).append({"members": members, "fill": at, "full": done})
             held = [{"members": b["members"], "fill": b["fill"]} for b in under]
             for k in range(0, len(full), 20_000):

@@ -29,8 +29,8 @@ from larder.llm.common import as_texts, map_batches
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
 MIN_TEXTS, MIN_SHARE, PRECISION, STEPS, RATE, SPARSE = 4, 0.004, 0.6, 200, 0.1, 1e-4
 SKETCH = 8
-#: The prior used where no row tells it.
-PRIOR = 0.05
+#: The prior where no row tells it, and how many labelled rows it weighs as much as.
+PRIOR, PRIOR_ROWS = 0.05, 20
 WORD = re.compile(r"\w+").findall
 
 
@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     """
     order = F.xxhash64("doc_id")
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    prior = labels.where("toxic IS NOT NULL").agg(F.avg("toxic")).first()[0]
+    known, bad = labels.where("toxic IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    prior = (bad + PRIOR * PRIOR_ROWS) / (known + PRIOR_ROWS)
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
     positive = ids.join(toxic, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive).withColumn("toxic", F.lit(True))
     unlabelled = ids.orderBy(order, "doc_id").limit(max_unlabelled).withColumn("toxic", F.lit(False))
@@ -164,10 +165,12 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         for batch in batches:
             for text, is_toxic in zip(as_texts(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
                 texts[is_toxic].add(text)
-        model = fit(sorted(texts[True]), sorted(texts[False]), PRIOR if prior is None else prior)
+        model = fit(sorted(texts[True]), sorted(texts[False]), prior)
         yield pa.RecordBatch.from_pylist([{"words": list(model["weights"]), "weights": list(model["weights"].values()), "bias": model["bias"]}], schema=pa.schema([("words", pa.list_(pa.string())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())]))
 
     got = sample.select("text", "toxic").repartition(1).mapInArrow(fitted, "words array<string>, weights array<double>, bias double").first()
+    if got is None:
+        return fit([], [], prior)
     return {"weights": dict(zip(got["words"], got["weights"], strict=True)), "bias": got["bias"]}
 
 

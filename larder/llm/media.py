@@ -148,13 +148,16 @@ def demux(media: bytes) -> tuple[list[bytes], int | None, float]:
 
 
 def shots(levels: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """First frames of the shots, and each frame's histogram difference to the one before."""
+    """First frames of the shots, and each frame's histogram difference to the one before.
+
+    The threshold adapts to the differences within the shot so far: a cut doesn't hide the next one.
+    """
     n = len(levels)
     bins = np.bincount((levels // (256 // BINS) + np.arange(n, dtype=np.int64)[:, None] * BINS).ravel(), minlength=n * BINS).reshape(n, BINS) / levels.shape[1]
     apart = np.concatenate([[0.0], np.abs(np.diff(bins, axis=0)).sum(axis=1) / 2])
     starts = [0]
     for k in range(1, n):
-        before = apart[max(1, k - WINDOW) : k]
+        before = apart[max(starts[-1] + 1, k - WINDOW) : k]
         limit = before.mean() + DEVIATIONS * before.std() if len(before) else 0.0
         if apart[k] > max(limit, FLOOR):
             starts.append(k)

@@ -1,7 +1,8 @@
 """Language identification by fusing evidence in Bayes' way.
 
 Text: naive Bayes over hashed byte trigrams of the letters, counted over all texts by their declared
-language, tempered because neighbouring trigrams share letters. Declared markup language: right with
+language, tempered because neighbouring trigrams share letters; a text's own trigrams are left out of the
+counts it is judged by, so that junk doesn't vouch for itself. Declared markup language: right with
 probability RELIABLE. Hosts: priors counted by grouped aggregation and smoothed hierarchically, each
 host towards its domain (the last two labels), each domain towards its address suffix, each suffix
 towards the whole. A further hypothesis, no known language, gives every trigram the same small
@@ -45,7 +46,7 @@ def trigrams(raw: bytes) -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str = "text", declared: str = "lang", languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
-    """Log-probabilities (buckets x languages) from the trigram counts of all texts with a known declared language."""
+    """Trigram counts (buckets x languages, each plus a half) of all texts with a known declared language."""
     size = 1 << BUCKET_BITS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,21 +61,35 @@ def train(docs: DataFrame, text: str = "text", declared: str = "lang", languages
     counts = np.full(len(languages) * size, 0.5)
     for at, n in rows.collect():  # at most buckets x languages
         counts[at] += n
-    counts = counts.reshape(len(languages), size)
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).T.copy()
+    return counts.reshape(len(languages), size).T.copy()
 
 
-def text_likelihoods(docs: DataFrame, model: np.ndarray, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Append trigrams (their number) and text_log: the text's log-likelihood in each language, then in none, tempered."""
-    table = docs.sparkSession.sparkContext.broadcast(model)
+def text_likelihoods(docs: DataFrame, counts: np.ndarray, text: str = "text", declared: str | None = None, languages: tuple[str, ...] = LANGUAGES, keep: list[str] | None = None) -> DataFrame:
+    """Append trigrams (their number) and text_log: the text's log-likelihood in each language, then in none, tempered.
+
+    declared: the column of the languages that train() counted these rows under; None where the
+    counts come from other texts, so that there is nothing to leave out.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def make():
-        known, none = table.value, -math.log(len(table.value)) - UNKNOWN_LESS
+        counts = table.value
+        totals, number = counts.sum(axis=0), {x: k for k, x in enumerate(languages)}
+        logs, none = np.log(counts / totals), -math.log(len(counts)) - UNKNOWN_LESS
+
+        def likelihoods(found: np.ndarray, lang: str | None) -> list[float]:
+            out = np.append(logs[found].sum(axis=0), none * len(found))
+            if lang in number and len(found):
+                k, own = number[lang], np.bincount(found)
+                at = np.flatnonzero(own)
+                out[k] = own[at] @ np.log((counts[at, k] - own[at]) / (totals[k] - len(found)))
+            return (TEMPER * out).tolist()
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             found = [trigrams(raw) for raw in as_bytes(batch.column(text))]
-            logs = [(TEMPER * np.append(known[t].sum(axis=0), none * len(t))).tolist() for t in found]
-            return [pa.array([len(t) for t in found], pa.int64()), pa.array(logs, pa.list_(pa.float64()))]
+            langs = batch.column(declared).to_pylist() if declared else [None] * len(found)
+            logs_of = [likelihoods(t, x) for t, x in zip(found, langs, strict=True)]
+            return [pa.array([len(t) for t in found], pa.int64()), pa.array(logs_of, pa.list_(pa.float64()))]
 
         return work
 
@@ -108,11 +123,11 @@ def host_priors(docs: DataFrame, host: Column, declared: str, languages: tuple[s
 
 def identify(docs: DataFrame, text: str = "text", declared: str = "lang", host: str = "source", languages: tuple[str, ...] = LANGUAGES, keep: list[str] | None = None) -> DataFrame:
     """Append language (null where none is known), confidence (its posterior), posterior (of each language, then of none) and accepted."""
-    model = train(docs, text, declared, languages)
+    counts = train(docs, text, declared, languages)
     at = F.coalesce(F.lower(F.col(host).cast("string")), F.lit(""))
     priors, whole = host_priors(docs, at, declared, languages)
     priors = broadcast_if_small(materialize(priors, "host-priors"), BROADCAST_ROWS)
-    likely = text_likelihoods(docs, model, text, list(dict.fromkeys([*(docs.columns if keep is None else keep), declared, host])))
+    likely = text_likelihoods(docs, counts, text, declared, languages, list(dict.fromkeys([*(docs.columns if keep is None else keep), declared, host])))
     told = F.array(*[F.when(F.col(declared) == x, math.log(RELIABLE)).when(F.col(declared).isin(*languages), math.log((1 - RELIABLE) / max(1, len(languages) - 1))).otherwise(0.0) for x in languages], F.lit(0.0) + F.when(F.col(declared).isin(*languages), math.log(1 / len(languages))).otherwise(0.0))
     prior = F.concat(F.coalesce("host_log", F.array(*map(F.lit, whole))), F.array(F.lit(math.log(UNKNOWN_PRIOR))))
     joint = F.zip_with(F.zip_with("text_log", told, lambda a, b: a + b), prior, lambda a, b: a + b)

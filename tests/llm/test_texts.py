@@ -299,7 +299,7 @@ def test_language_rejects_what_has_none(spark, edge):
 def test_language_fuses_as_bayes_says(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).cache()
     rows = language.identify(docs).collect()
-    model = language.train(docs)
+    counts = language.train(docs)
     by_host = Counter((r["source"], r["lang"]) for r in docs.collect())
     whole = Counter(r["lang"] for r in docs.collect())
     langs, n = language.LANGUAGES, sum(whole.values()) + 4
@@ -310,7 +310,9 @@ def test_language_fuses_as_bayes_says(spark):
             own = np.array([by_host[(r["source"], x)] for x in langs])
             level = (own + language.SMOOTH * level) / (own.sum() + language.SMOOTH)
         grams = language.trigrams((r["text"] or "").encode())
-        text = language.TEMPER * np.append(model[grams].sum(axis=0), (-math.log(len(model)) - language.UNKNOWN_LESS) * len(grams))
+        others = counts.copy()  # of all texts but this one
+        others[:, langs.index(r["lang"])] -= np.bincount(grams, minlength=len(others))
+        text = language.TEMPER * np.append(np.log(others / others.sum(axis=0))[grams].sum(axis=0), (-math.log(len(others)) - language.UNKNOWN_LESS) * len(grams))
         told = np.array([math.log(language.RELIABLE if x == r["lang"] else (1 - language.RELIABLE) / 3) for x in langs] + [math.log(1 / 4)])
         joint = text + told + np.append(np.log(level), math.log(language.UNKNOWN_PRIOR))
         want = np.exp(joint - joint.max()) / np.exp(joint - joint.max()).sum()

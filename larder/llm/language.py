@@ -5,7 +5,7 @@ language, tempered because neighbouring trigrams share letters; a text's own tri
 counts it is judged by, so that junk doesn't vouch for itself. Declared markup language: right with
 probability RELIABLE. Hosts: priors counted by grouped aggregation and smoothed hierarchically, each
 host towards its domain (the last two labels), each domain towards its address suffix, each suffix
-towards the whole. A further hypothesis, no known language, gives every trigram the same small
+towards the whole. A further hypothesis, no known language, gives every trigram the same
 probability. A row is accepted unless that hypothesis wins or its text has no letters.
 
 Null or empty texts have no letters; null or unknown declared languages give no evidence; null hosts
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from larder.llm.common import as_bytes, broadcast_if_small, map_batches, materialize
 
 LANGUAGES = ("de", "en", "es", "fr")
-BUCKET_BITS, TEMPER, RELIABLE, SMOOTH = 13, 0.3, 0.9, 20.0
-#: No known language: its prior, and how much less than evenly spread (in nats) it makes a trigram.
-UNKNOWN_PRIOR, UNKNOWN_LESS = 1e-3, 1.5
+BUCKET_BITS, TEMPER, RELIABLE, SMOOTH = 14, 0.3, 0.9, 20.0
+#: The prior of no known language, which spreads trigrams evenly over the buckets.
+UNKNOWN_PRIOR = 1e-3
 #: Hosts whose priors may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -75,7 +75,7 @@ def text_likelihoods(docs: DataFrame, counts: np.ndarray, text: str = "text", de
     def make():
         counts = table.value
         totals, number = counts.sum(axis=0), {x: k for k, x in enumerate(languages)}
-        logs, none = np.log(counts / totals), -math.log(len(counts)) - UNKNOWN_LESS
+        logs, none = np.log(counts / totals), -math.log(len(counts))
 
         def likelihoods(found: np.ndarray, lang: str | None) -> list[float]:
             out = np.append(logs[found].sum(axis=0), none * len(found))

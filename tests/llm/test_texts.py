@@ -312,7 +312,7 @@ def test_language_fuses_as_bayes_says(spark):
         grams = language.trigrams((r["text"] or "").encode())
         others = counts.copy()  # of all texts but this one
         others[:, langs.index(r["lang"])] -= np.bincount(grams, minlength=len(others))
-        text = language.TEMPER * np.append(np.log(others / others.sum(axis=0))[grams].sum(axis=0), (-math.log(len(others)) - language.UNKNOWN_LESS) * len(grams))
+        text = language.TEMPER * np.append(np.log(others / others.sum(axis=0))[grams].sum(axis=0), -math.log(len(others)) * len(grams))
         told = np.array([math.log(language.RELIABLE if x == r["lang"] else (1 - language.RELIABLE) / 3) for x in langs] + [math.log(1 / 4)])
         joint = text + told + np.append(np.log(level), math.log(language.UNKNOWN_PRIOR))
         want = np.exp(joint - joint.max()) / np.exp(joint - joint.max()).sum()

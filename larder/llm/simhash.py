@@ -31,6 +31,9 @@ from larder.llm.common import as_bytes, broadcast_if_small, map_batches, materia
 SEED = 42
 #: Rows of a shard, or of a block of it; members of a tree's leaf; groups compared row by row.
 SHARD_ROWS, LEAF, SMALL = 2048, 48, 16
+#: A node of whose pairs of members more than this share would have to be followed prunes too little:
+#: its members are compared row by row.
+MOST_FOLLOWED = 0.75
 #: Hot shards, and classes, that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 CHUNK = 1 << 16
@@ -94,15 +97,20 @@ class Links:
 
     def roots(self, members: np.ndarray) -> np.ndarray:
         at = self.parent[members]
-        while (above := self.parent[at]).tolist() != at.tolist():
+        while not np.array_equal(above := self.parent[at], at):
             at = above
         self.parent[members] = at
         return at
 
     def union(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in {(x, y) for x, y in zip(self.roots(a).tolist(), self.roots(b).tolist(), strict=True) if x != y}:
-            (x,), (y,) = self.roots(np.array([x])).tolist(), self.roots(np.array([y])).tolist()
-            self.parent[max(x, y)] = min(x, y)
+        """Link a[i] with b[i]: the higher roots move below the lower ones until none differ."""
+        while True:
+            one, other = self.roots(a), self.roots(b)
+            apart = one != other
+            if not apart.any():
+                return
+            a, b, one, other = a[apart], b[apart], one[apart], other[apart]
+            np.minimum.at(self.parent, np.maximum(one, other), np.minimum(one, other))
 
     def within(self, members: np.ndarray) -> None:
         """Link the members among themselves: by the tree below a pivot, whose edges are distances to it."""
@@ -112,6 +120,9 @@ class Links:
         apart = _distances(self.prints[members], self.prints[members[0]])
         near = members[apart <= self.radius]
         self.union(near, np.full(len(near), members[0]))
+        if self.followed(apart) > MOST_FOLLOWED:
+            self.compare(members, members)
+            return
         edges = {int(d): members[apart == d] for d in np.unique(apart) if d}
         for d, child in edges.items():
             self.within(child)
@@ -119,6 +130,12 @@ class Links:
                 if d < e <= d + self.radius:
                     self.across(child, other)
 
+    def followed(self, apart: np.ndarray) -> float:
+        """Share of the pairs of members whose edges lie within the radius of each other."""
+        below = np.concatenate([[0], np.cumsum(np.bincount(apart))])
+        low, high = np.maximum(apart - self.radius, 0), np.minimum(apart + self.radius + 1, len(below) - 1)
+        return float((below[high] - below[low]).sum()) / len(apart) ** 2
+
     def across(self, a: np.ndarray, b: np.ndarray) -> None:
         """Link members of two subtrees whose edges lie within the radius of each other."""
         if not len(a) or not len(b) or len(np.unique(np.concatenate([self.roots(a), self.roots(b)]))) == 1:
@@ -138,10 +155,19 @@ class Links:
                         self.across(one, other)
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Link members row by row, dropping pairs as soon as the words so far exceed the radius."""
+        words = self.prints.shape[1]
+        dense = min(words, -(-(2 * self.radius + 32) // 64))  # by then most unlike pairs exceed it
+        other = self.prints[b]
         for k in range(0, len(a), 256):
-            x, y = np.nonzero(_distances(self.prints[a[k : k + 256], None], self.prints[None, b]) <= self.radius)
+            own = self.prints[a[k : k + 256]]
+            apart = np.zeros((len(own), len(b)), np.int16)
+            for w in range(dense):
+                apart += np.bitwise_count(own[:, w, None] ^ other[None, :, w])
+            x, y = np.nonzero((apart <= self.radius) & (self.roots(a[k : k + 256])[:, None] != self.roots(b)[None]))
             if len(x):
-                self.union(a[k : k + 256][x], b[y])
+                close = _distances(own[x, dense:], other[y, dense:]) + apart[x, y] <= self.radius
+                self.union(a[k : k + 256][x[close]], b[y[close]])
 
 
 def plan_bands(bits: int, radius: int, approximate: bool) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:

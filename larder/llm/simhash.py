@@ -11,6 +11,11 @@ With radius r, r + 2 bands of which two must agree hold every pair within the ra
 untouched by r differing bits), so links are exact. Where approximate=True, a pair need agree in one
 of many narrow bands, which finds nearly all pairs well within a wide radius.
 
+near_duplicates() takes the pairs within a wide radius as candidates only, and links those whose sets of
+shingles (as 64-bit hashes) have a Jaccard similarity of at least `least`. Each text first tries its
+nearest candidate of another component, ROUNDS times; then all candidates still apart are tried, so
+that a large group of near copies is not compared pair by pair once it hangs together.
+
 Null texts count as empty; texts without words have fingerprint zero; texts under the shingle's length
 are one shingle; repeated rows, and texts that share a doc_id, count as linked; rows without a doc_id
 take part, and their component is the smallest id reachable, or null; an empty table gives an empty one.
@@ -18,13 +23,15 @@ take part, and their component is the smallest id reachable, or null; an empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.llm.common import as_bytes, broadcast_if_small, map_batches, materialize, release
 
@@ -37,6 +44,8 @@ MOST_FOLLOWED = 0.75
 #: Hot shards, and classes, that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 CHUNK = 1 << 16
+#: Rounds of nearest candidates; texts of a side of a cell of pairs compared by their shingles.
+ROUNDS, CELL = 2, 512
 
 
 def shingle_hashes(raw: bytes, width: int) -> Iterator[np.ndarray]:
@@ -201,9 +210,9 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
 
 
-def links(found: DataFrame, radius: int, bits: int, approximate: bool = False) -> DataFrame:
-    """Pairs (a, b) of reps that connect all classes within the radius of each other; not all such pairs."""
-    number = len(plan_bands(bits, radius, approximate)[1])
+def _search(found: DataFrame, radius: int, bits: int, approximate: bool, found_in: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], out: str) -> DataFrame:
+    """What found_in() finds in whole blocks of shards of found (fingerprint, rep and any others), ordered by key, block, side and rep."""
+    number, carried = len(plan_bands(bits, radius, approximate)[1]), found.columns
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,19 +220,19 @@ def links(found: DataFrame, radius: int, bits: int, approximate: bool = False) -
                 part = batch.slice(at, CHUNK // 4)
                 keys = shard_keys(_prints(part.column("fingerprint")), bits, radius, approximate)
                 rows = np.repeat(np.arange(part.num_rows), number)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("fingerprint").take(pa.array(rows)), part.column("rep").take(pa.array(rows))], names=["key", "fingerprint", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(part.column(c).take(pa.array(rows)) for c in carried)], names=["key", *carried])
 
-    rows = found.where("rep IS NOT NULL").select("fingerprint", "rep").mapInArrow(dealt, "key bigint, fingerprint binary, rep bigint")
+    rows = found.where("rep IS NOT NULL").mapInArrow(dealt, T.StructType([T.StructField("key", T.LongType()), *found.schema]))
     hot = rows.groupBy("key").count().where(F.col("count") > SHARD_ROWS).select("key", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("parts"))
     hot = materialize(hot, "hot-shards")
     if hot.isEmpty():
-        blocked = rows.select("key", F.lit(0).alias("block"), F.lit(0).alias("side"), "fingerprint", "rep")
+        blocked = rows.select("key", F.lit(0).alias("block"), F.lit(0).alias("side"), *carried)
     else:
         own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
         spread = rows.join(broadcast_if_small(hot, BROADCAST_ROWS), "key", "left").withColumns({"parts": F.coalesce("parts", F.lit(1))}).withColumn("side", own)
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        spread = spread.select("key", "side", "parts", "fingerprint", "rep", other.alias("other"))
-        blocked = spread.select("key", (F.least("side", "other") * F.col("parts") + F.greatest("side", "other")).alias("block"), "side", "fingerprint", "rep")
+        spread = spread.select("key", "side", "parts", *carried, other.alias("other"))
+        blocked = spread.select("key", (F.least("side", "other") * F.col("parts") + F.greatest("side", "other")).alias("block"), "side", *carried)
     dealt_rows = blocked.repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "side", "rep")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +249,25 @@ def links(found: DataFrame, radius: int, bits: int, approximate: bool = False) -
         if held:
             yield from found_in(pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0])
 
+    return dealt_rows.mapInArrow(searched, out)
+
+
+def _blocks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and sizes of the blocks of shards in a batch."""
+    key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
+    return first, np.diff(np.append(first, len(key)))
+
+
+def links(found: DataFrame, radius: int, bits: int, approximate: bool = False) -> DataFrame:
+    """Pairs (a, b) of reps that connect all classes within the radius of each other; not all such pairs."""
+
     def found_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if batch.num_rows < 2:
             return
         prints, rep = _prints(batch.column("fingerprint")), batch.column("rep").to_numpy()
         key, block, side = (batch.column(c).to_numpy() for c in ("key", "block", "side"))
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
-        sizes = np.diff(np.append(first, len(key)))
+        first, sizes = _blocks(batch)
         size_of = np.repeat(sizes, sizes)
         one, two = [], []
         for k in range(1, SMALL):
@@ -269,10 +290,101 @@ def links(found: DataFrame, radius: int, bits: int, approximate: bool = False) -
         a, b = np.concatenate(one), np.concatenate(two)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    pairs = dealt_rows.mapInArrow(searched, "a bigint, b bigint").where("a <> b")
+    pairs = _search(found.select("fingerprint", "rep"), radius, bits, approximate, found_in, "a bigint, b bigint").where("a <> b")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def candidates(found: DataFrame, radius: int, bits: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of nodes within the radius, of different components, that agree in a narrow band.
+
+    found: (fingerprint, node, component). All such pairs (a > b); or the nearest b for each a only.
+    """
+
+    def found_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows < 2:
+            return
+        prints = _prints(batch.column("fingerprint"))
+        node, component, side = (batch.column(c).to_numpy() for c in ("rep", "component", "side"))
+        one, two, bits_apart, held = [], [], [], 0
+
+        def ended() -> pa.RecordBatch:
+            nonlocal one, two, bits_apart, held
+            columns = [pa.array(np.concatenate(x), pa.int64()) for x in (one, two, bits_apart)]
+            one, two, bits_apart, held = [], [], [], 0
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "apart"])
+
+        for start, size in zip(*_blocks(batch), strict=True):
+            if size < 2:
+                continue
+            rows = np.arange(start, start + size)
+            other = side[rows] != side[start]
+            # of two blocks, each is compared with the other
+            for own, theirs in [(rows[~other], rows[other]), (rows[other], rows[~other])] if other.any() else [(rows, rows)]:
+                for k in range(0, len(own), 256):
+                    x = own[k : k + 256]
+                    apart = np.zeros((len(x), len(theirs)), np.int16)
+                    for w in range(prints.shape[1]):
+                        apart += np.bitwise_count(prints[x, w][:, None] ^ prints[theirs, w][None])
+                    fits = (apart <= radius) & (component[x][:, None] != component[theirs][None])
+                    if nearest:
+                        i = np.flatnonzero(fits.any(axis=1))
+                        j = np.where(fits[i], apart[i], np.iinfo(np.int16).max).argmin(axis=1)
+                    else:
+                        i, j = np.nonzero(fits & (node[x][:, None] > node[theirs][None]))
+                    if len(i):
+                        one.append(node[x[i]])
+                        two.append(node[theirs[j]])
+                        bits_apart.append(apart[i, j])
+                        held += len(i)
+                    if held >= CHUNK:
+                        yield ended()
+        if held:
+            yield ended()
+
+    rows = found.select("fingerprint", F.col("node").alias("rep"), "component")
+    pairs = _search(rows, radius, bits, True, found_in, "a bigint, b bigint, apart bigint")
+    if nearest:
+        return pairs.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+    return pairs.select("a", "b").distinct()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of distinct hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that connect all nodes whose pairs have at least that similarity; sets: (node, hashes).
+
+    Pairs are dealt into cells by both their nodes, and each set goes once to each cell that needs it;
+    pairs that a cell's earlier ones connect are left out.
+    """
+    parts = max(1, -(-sets.count() // CELL))
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    pairs = pairs.withColumn("cell", own("a") * parts + own("b"))
+    needed = pairs.select(F.col("cell").alias("to"), F.col("a").alias("node")).union(pairs.select("cell", "b")).distinct().join(sets, "node")
+
+    def compared(links: pa.Table, rows: pa.Table) -> pa.Table:
+        hashes = {n: np.frombuffer(h, np.uint64) for n, h in zip(rows.column("node").to_pylist(), rows.column("hashes").to_pylist(), strict=True)}
+        parent = {n: n for n in hashes}
+
+        def root(n: int) -> int:
+            while parent[n] != n:
+                parent[n] = n = parent[parent[n]]
+            return n
+
+        kept = []
+        for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist(), strict=True):
+            one, other = root(a), root(b)
+            if one != other and similarity(hashes[a], hashes[b]) >= least:
+                parent[max(one, other)] = min(one, other)
+                kept.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in kept], pa.int64()), "b": pa.array([b for _, b in kept], pa.int64())})
+
+    return pairs.groupBy("cell").cogroup(needed.groupBy("to")).applyInArrow(compared, "a bigint, b bigint")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, component): each id of the pairs (a > b) with the smallest id it is connected to.
 
@@ -310,3 +422,55 @@ def cluster(docs: DataFrame, width: int = 4, bits: int = 64, radius: int = 4, ap
     # ids that stand for several fingerprints join them
     named = found.join(labels, found["rep"] == labels["id"], "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def digest(raw: bytes) -> bytes:
+    """Equal for texts of the same ASCII-lower-cased words."""
+    return hashlib.blake2b(b" ".join(raw.lower().split()), digest_size=16).digest()
+
+
+def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least: float, text: str = "text") -> DataFrame:
+    """(doc_id, component_id) for each row of docs (doc_id, text): components of texts whose shingle sets are at least so similar."""
+
+    def printed():
+        return lambda batch: [
+            pa.array([fingerprint(raw, width, bits) for raw in as_bytes(batch.column(text))], pa.binary()),
+            pa.array([digest(raw) for raw in as_bytes(batch.column(text))], pa.binary()),
+        ]
+
+    def hashed():
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            raws = as_bytes(batch.column(text))
+            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(raw, width)])).tobytes() for raw in raws]
+            return [pa.array([digest(raw) for raw in raws], pa.binary()), pa.array(sets, pa.binary())]
+
+        return run
+
+    prints = materialize(map_batches(docs.select("doc_id", text), printed, "fingerprint binary, digest binary", ["doc_id"]), "fingerprints")
+    found = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fingerprint").alias("fingerprint"))
+    found = materialize(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes, labels, sets, linked = found.where("rep IS NOT NULL").withColumn("component", F.col("rep")), None, None, None
+    for turn in range(ROUNDS + 1):
+        pairs = materialize(candidates(nodes.select("fingerprint", "node", "component"), radius, bits, turn < ROUNDS), "candidates")
+        if pairs.isEmpty():
+            break
+        if sets is None:
+            # every node of a pair has a nearest one
+            nodes = materialize(nodes.drop("component").join(pairs.select(F.col("a").alias("node")), "node", "left_semi"), "candidate-nodes")
+            known = nodes
+            near = docs.select("doc_id", text).join(broadcast_if_small(nodes.select(F.col("rep").alias("doc_id")).distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
+            near = map_batches(near, hashed, "digest binary, hashes binary", [])
+            near = near.join(broadcast_if_small(nodes.select("digest", "node"), BROADCAST_ROWS), "digest")
+            sets = materialize(near.groupBy("node").agg(F.first("hashes").alias("hashes")), "shingles")
+        new = alike(pairs, sets, least)
+        rep = known.select("node", "rep")
+        new = new.join(rep.toDF("a", "rep_a"), "a").join(rep.toDF("b", "rep_b"), "b").where("rep_a <> rep_b")
+        new = new.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b"))
+        linked = materialize((new if linked is None else new.union(linked)).distinct(), "alike")
+        release(pairs)
+        labels = components(linked)
+        nodes = known.join(labels, known["rep"] == labels["id"], "left").select(*known.columns, F.coalesce("component", "rep").alias("component"))
+    named = found.select("digest", "rep")
+    if labels is not None:
+        named = named.join(labels, named["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("rep"))
+    return prints.join(named.withColumnRenamed("rep", "component_id"), "digest").select("doc_id", "component_id")

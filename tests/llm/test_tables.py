@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larder.llm import permutation_index, queries, url_rules, warc
+from larder.llm import permutation_index, queries, simhash, url_rules, warc
 
 PAGES = "page_id bigint, url string, html string"
 
@@ -175,6 +175,48 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(kept)
 
 
+def exact_components(docs, least=0.8):
+    """Smallest id of each text's component by all pairs of shingle sets."""
+    sets, label = {i: shingles(t) for i, t in docs}, {i: i for i, _ in docs}
+    for a, b in combinations(sorted(sets), 2):
+        low, high = sorted((label[a], label[b]))
+        if low != high and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+            label = {i: low if x == high else x for i, x in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("rows", [2048, 8])
+def test_near_duplicates_equal_exact_components(spark, monkeypatch, rows):
+    """Edited copies of a few texts on both sides of the similarity, chains of them, and texts of one fingerprint."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", rows)
+    monkeypatch.setattr(simhash, "CELL", 4)
+    rng = np.random.default_rng(5)
+    docs = []
+    for base in range(6):
+        words = [f"w{base}x{k}" for k in range(200)]
+        docs.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 5, 6, 7, 8):
+            own = list(words)
+            for at in rng.choice(200, edits, replace=False):
+                own[at] = f"new{len(docs)}at{at}"
+            docs.append(" ".join(own))
+    same = "a " * 60
+    docs += [docs[0].upper(), same, same + "b c d e f g h", same + "t u v w x y z", ""]
+    want = exact_components(list(enumerate(docs)))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame, 5, 384, 76, 0.8).collect()}
+    assert got == want
+    assert len({want[i] for i in range(len(docs) - 4, len(docs) - 1)}) == 3  # one fingerprint, different texts
+
+
+def test_pipeline_removes_near_duplicates_only(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    want = exact_components(list(texts.items()))
+    assert kept == {i for i, least in want.items() if i == least}
+
+
 def test_pipeline_runs_on_edge_rows(spark, tables, edge):
     labels = spark.createDataFrame([(1, 1, 0), (7, 1, 1)], "doc_id bigint, quality int, toxic int")
     got = corpus_pipeline.run(spark, tables(documents=edge, labels=labels)).collect()

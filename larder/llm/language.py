@@ -97,9 +97,12 @@ def text_likelihoods(docs: DataFrame, counts: np.ndarray, text: str = "text", de
 
 
 def host_priors(docs: DataFrame, host: Column, declared: str, languages: tuple[str, ...]) -> tuple[DataFrame, list[float]]:
-    """(host, host_log): log priors of the languages at each host, smoothed towards its domain, its suffix and the whole; and the whole's log priors."""
-    one = [F.sum((F.col(declared) == x).cast("double")).alias(x) for x in languages]
-    hosts = docs.where(F.col(declared).isin(*languages)).groupBy(host.alias("host")).agg(*one)
+    """(host, host_log): log priors of the languages at each host, smoothed towards its domain, its suffix and the whole; and the whole's log priors.
+
+    Hosts that declare nothing have counts of zero, so that they take the priors of the level above.
+    """
+    one = [F.coalesce(F.sum((F.col(declared) == x).cast("double")), F.lit(0.0)).alias(x) for x in languages]
+    hosts = docs.groupBy(host.alias("host")).agg(*one)
     labels = F.split("host", r"\.")
     domain = F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), 2), ".")
     hosts = hosts.withColumns({"suffix": F.element_at(labels, -1), "domain": domain})

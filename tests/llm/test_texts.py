@@ -319,6 +319,19 @@ def test_language_fuses_as_bayes_says(spark):
         assert np.allclose(r["posterior"], want, atol=1e-9)
 
 
+def test_hosts_that_declare_nothing_take_the_level_above(spark):
+    a, b = language.LANGUAGES[:2]
+    rows = [("one.firm.aa", a)] * 30 + [("two.firm.aa", None), ("new.other.aa", "zz"), ("new.bare.cc", None)] + [("x.bb", b)] * 30
+    docs = spark.createDataFrame(rows, "source string, lang string")
+    priors, whole = language.host_priors(docs, F.col("source"), "lang", language.LANGUAGES)
+    got = {r["host"]: np.exp(r["host_log"]) for r in priors.collect()}
+    own, base = np.array([30.0 * (x == a) for x in language.LANGUAGES]), np.exp(whole)
+    suffix = (own + language.SMOOTH * base) / (30 + language.SMOOTH)
+    domain = (own + language.SMOOTH * suffix) / (30 + language.SMOOTH)
+    assert set(got) == {h for h, _ in rows}
+    assert np.allclose(got["two.firm.aa"], domain) and np.allclose(got["new.other.aa"], suffix) and np.allclose(got["new.bare.cc"], base)
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}

@@ -145,20 +145,21 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> dict:
-    """The model of docs (doc_id, text) and labels (doc_id, toxic).
-
-    The sample's ids are chosen from the ids and labels alone; then its texts, at most as many as the
-    limits, are fitted in one task.
-    """
+def sampled(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> DataFrame:
+    """(text, toxic): one text, the least, of each id chosen from the ids and labels alone; at most as many as the limits."""
     order = F.xxhash64("doc_id")
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    known, bad = labels.where("toxic IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    prior = (bad + PRIOR * PRIOR_ROWS) / (known + PRIOR_ROWS)
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
     positive = ids.join(toxic, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive).withColumn("toxic", F.lit(True))
     unlabelled = ids.orderBy(order, "doc_id").limit(max_unlabelled).withColumn("toxic", F.lit(False))
-    sample = docs.select("doc_id", "text").join(F.broadcast(positive.union(unlabelled)), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(positive.union(unlabelled)), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> dict:
+    """The model of docs (doc_id, text) and labels (doc_id, toxic), fitted to the sample in one task."""
+    known, bad = labels.where("toxic IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    prior = (bad + PRIOR * PRIOR_ROWS) / (known + PRIOR_ROWS)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[bool, set[str]] = {True: set(), False: set()}
@@ -168,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         model = fit(sorted(texts[True]), sorted(texts[False]), prior)
         yield pa.RecordBatch.from_pylist([{"words": list(model["weights"]), "weights": list(model["weights"].values()), "bias": model["bias"]}], schema=pa.schema([("words", pa.list_(pa.string())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64())]))
 
-    got = sample.select("text", "toxic").repartition(1).mapInArrow(fitted, "words array<string>, weights array<double>, bias double").first()
+    got = sampled(docs, labels, max_positive, max_unlabelled).repartition(1).mapInArrow(fitted, "words array<string>, weights array<double>, bias double").first()
     if got is None:
         return fit([], [], prior)
     return {"weights": dict(zip(got["words"], got["weights"], strict=True)), "bias": got["bias"]}

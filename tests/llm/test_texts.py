@@ -348,6 +348,13 @@ def test_toxicity_without_positives_gives_the_prior(spark, edge):
     assert {round(r["score"], 6) for r in toxicity.classify(edge, model).collect()} == {toxicity.PRIOR}
 
 
+def test_toxicity_fits_one_text_an_id(spark):
+    rows = [(1, f"text {k}") for k in range(40)] + [(i, f"other {i}") for i in range(2, 6)]
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")
+    got = toxicity.sampled(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, 3, 10).collect()
+    assert sorted((r["toxic"], r["text"]) for r in got) == [(False, f"other {i}") for i in range(2, 6)] + [(False, "text 0"), (True, "text 0")]
+
+
 def test_toxicity_learns_words_and_stems():
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 4))

@@ -1,20 +1,29 @@
 """Language-model scoring by a log-bilinear model trained with noise-contrastive estimation.
 
 Whole texts are counted and coded in blocks: a block holds about BLOCK_BYTES of text, its distinct
-words are counted over the corpus by one shuffle on the word, and come back to the block as the
-word's corpus count and class. Classes are the end of a text, the HEAD most frequent words, and the
-TAIL most frequent endings of the other words (the last is for all other endings). The model predicts
-the next class from the CONTEXT classes before it: the sum of their vectors, each scaled by a vector
-of its place, meets the class's vector and bias. A word of the tail has its class's probability times
-its add-one share of the class's training tokens, one unseen word counted in each class, so that the
-probabilities of all known words and of unseen ones sum to one.
+words are counted over the corpus by one shuffle on the word (a word has one row a block, so that the
+most frequent word has no more rows than there are blocks), and come back to the block as the word's
+corpus count and unit. Units are the end of a text, the most frequent words, and the most frequent
+endings of the other words (one unit is for all other endings): WORDS and ENDINGS times the cube root
+of the training tokens, so that the model grows with the corpus. A word without a unit of its own has
+its unit's probability times its add-one share of the unit's training tokens, one unseen word counted
+in each, so that the probabilities of all known words and of unseen ones sum to one.
+
+The model predicts the next unit from the CONTEXT units before it: the sum of their vectors, each
+scaled by a vector of its place, meets the vector and bias of a unit. So that normalised scores stay
+cheap, units lie in groups of like frequency, about as many as the root of their number, that have
+vectors and biases too: a unit's probability is its group's among the groups, times its own among
+the group's units. Both sides are trained by noise-contrastive estimation over all of their kind, and
+scored by batched matrix products.
 
 Training passes over all training tokens: each task continues from a common start (fitted to at most
-WARM_TOKENS tokens), and their parameters are averaged by weight. Scores come from batched matrix
-products over all classes, normalised.
+WARM_TOKENS tokens of the block of the smallest id), and their parameters are averaged by weight; so
+scores depend a little on how the rows are dealt to tasks.
 
 Null texts count as empty (the end alone); null ids count as the empty id; repeated rows are scored
-each; an empty table gives an empty one; other columns are not carried.
+each; a text of any length is scored whole, its contexts crossing no batch; of words, or endings, that
+tie for the last units the smaller bytes win; an empty table gives an empty one; other columns,
+whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -23,6 +32,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +41,10 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import as_bytes, materialize, release
 
-HEAD, TAIL, CONTEXT, WIDTH, NOISE, BATCH, RATE = 111, 80, 3, 16, 32, 2048, 0.05
-CLASSES = 1 + HEAD + TAIL
+WORDS, ENDINGS, CONTEXT, WIDTH, NOISE, BATCH, RATE = 8, 2, 3, 16, 32, 4096, 0.05
 BLOCK_BYTES, WARM_TOKENS = 12 << 20, 400_000
+#: Parameters of a row when they are averaged; logits held at a time.
+PART, LOGITS = 1 << 14, 1 << 20
 END = b"\n"  # no word holds white space
 
 
@@ -92,52 +103,75 @@ def ending(word: Column) -> Column:
     return F.substring(word, -3, 3)
 
 
-def vocabulary(counted: DataFrame) -> dict:
-    """Corpus totals, the head words, the tail's endings, and each class's training tokens (and, for the tail, its add-one mass)."""
-    known = counted.where("first AND total > 0")
+class Units:
+    """What the model predicts, most frequent first; uses and masses are arrays over the units."""
+
+    def __init__(self, tokens: int, distinct: int, words: list[tuple[bytes, int]], endings: list[tuple[bytes, int, int]], rest: tuple[int, int]):
+        """words: each with its count; endings, and the rest: each with the count and the add-one mass of its words."""
+        found = [(n, 0, w, 0) for w, n in words] + [(n, 1, e, m) for e, n, m in endings] + [(rest[0], 2, b"", rest[1])]
+        found.sort(key=lambda u: -u[0])
+        self.tokens, self.distinct = tokens, distinct
+        self.words = {u[2]: i for i, u in enumerate(found) if u[1] == 0}
+        self.endings = {u[2]: i for i, u in enumerate(found) if u[1] == 1}
+        self.rest = next(i for i, u in enumerate(found) if u[1] == 2)
+        self.uses = np.array([u[0] for u in found], np.float64)
+        self.shared = np.array([u[1] > 0 for u in found])
+        self.masses = np.array([u[3] for u in found], np.float64)
+        # each group holds about the same sum of roots of counts
+        roots = np.cumsum(np.sqrt(self.uses + 1))
+        group = np.minimum((roots - roots[0]) / roots[-1] * ceil(len(found) ** 0.5), len(found)).astype(np.int64)
+        self.starts = np.flatnonzero(np.diff(group, prepend=-1))
+        self.kind = "<u2" if len(found) <= 1 << 16 else "<u4"
+
+    @property
+    def end(self) -> int:
+        return self.words[END]
+
+
+def vocabulary(counted: DataFrame) -> Units:
+    """The units of the corpus; as many rows as there are units come to the driver."""
+    spark = counted.sparkSession
+    known = counted.where("first AND total > 0").select("word", "total")
     tokens, distinct = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
+    scale = tokens ** (1 / 3)
     words = known.where(F.col("word") != F.lit(END))
-    head = [(bytes(r["word"]), r["total"]) for r in words.orderBy(F.desc("total"), "word").limit(HEAD).collect()]
-    tail = words.where(~F.col("word").isin([w for w, _ in head])) if head else words
-    by_ending = tail.groupBy(ending(F.col("word")).alias("ending")).agg(F.sum("total").alias("n"), F.sum(F.col("total") + 1).alias("mass"))
-    endings = [(bytes(r["ending"]), r["n"], r["mass"]) for r in by_ending.orderBy(F.desc("n"), "ending").limit(TAIL - 1).collect()]
-    rest = by_ending.where(~F.col("ending").isin([e for e, _, _ in endings])) if endings else by_ending
-    n, mass = rest.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("mass"), F.lit(0))).first()
+    head = [(bytes(r["word"]), r["total"]) for r in words.orderBy(F.desc("total"), "word").limit(ceil(WORDS * scale)).collect()]
+    named = F.broadcast(spark.createDataFrame([(bytearray(w),) for w, _ in head], "word binary"))
+    by_ending = words.join(named, "word", "left_anti").groupBy(ending(F.col("word")).alias("ending")).agg(F.sum("total").alias("n"), F.sum(F.col("total") + 1).alias("mass"))
+    by_ending = materialize(by_ending, "lm-endings")
+    endings = [(bytes(r["ending"]), r["n"], r["mass"]) for r in by_ending.orderBy(F.desc("n"), "ending").limit(ceil(ENDINGS * scale)).collect()]
+    n, mass = by_ending.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("mass"), F.lit(0))).first()
+    release(by_ending)
     ends = known.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
-    uses, masses = np.zeros(CLASSES), np.zeros(CLASSES)
-    uses[0] = ends
-    uses[1 : 1 + len(head)] = [t for _, t in head]
-    uses[1 + HEAD : 1 + HEAD + len(endings)] = [t for _, t, _ in endings]
-    masses[1 + HEAD : 1 + HEAD + len(endings)] = [m for _, _, m in endings]
-    uses[-1], masses[-1] = n, mass
-    return {"tokens": tokens, "distinct": distinct, "head": [w for w, _ in head], "endings": [e for e, _, _ in endings], "uses": uses, "masses": masses}
+    rest = n - sum(x for _, x, _ in endings), mass - sum(x for _, _, x in endings)
+    return Units(tokens, distinct, [(END, ends), *head], endings, rest)
 
 
-def code(table: DataFrame, counted: DataFrame, vocab: dict) -> DataFrame:
-    """A row for each block: the class of every token, and the sums over each text that need no model."""
+def code(table: DataFrame, counted: DataFrame, units: Units) -> DataFrame:
+    """A row for each block: the unit of every token, and the sums over each text that need no model."""
     spark = table.sparkSession
-    head = spark.createDataFrame([(bytearray(w), 1 + i) for i, w in enumerate(vocab["head"])], "word binary, head int")
-    endings = spark.createDataFrame([(bytearray(e), 1 + HEAD + i) for i, e in enumerate(vocab["endings"])], "ending binary, tail int")
-    # at most HEAD and TAIL rows
-    classed = counted.join(F.broadcast(head), "word", "left").withColumn("ending", ending(F.col("word"))).join(F.broadcast(endings), "ending", "left")
-    cls = F.when(F.col("word") == F.lit(END), 0).otherwise(F.coalesce("head", "tail", F.lit(CLASSES - 1)))
+    words = spark.createDataFrame([(bytearray(w), i) for w, i in units.words.items()], "word binary, own int")
+    endings = spark.createDataFrame([(bytearray(e), i) for e, i in units.endings.items()], "ending binary, shared int")
+    # as many rows as there are units
+    coded = counted.join(F.broadcast(words), "word", "left").withColumn("ending", ending(F.col("word"))).join(F.broadcast(endings), "ending", "left")
+    unit = F.coalesce("own", "shared", F.lit(units.rest))
     # empty values, not nulls: runs of null arrays make Arrow's writer rescan the batch for every row
-    words = classed.select("block", "place", "total", cls.cast("int").alias("cls"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<boolean>").alias("training"), F.array().cast("array<bigint>").alias("lengths"), F.lit(b"").alias("tokens"))
-    texts = table.select("block", F.lit(-1).alias("place"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("cls"), "ids", "training", "lengths", "tokens")
-    masses = vocab["masses"]
+    rows = coded.select("block", "place", "total", unit.cast("int").alias("unit"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<boolean>").alias("training"), F.array().cast("array<bigint>").alias("lengths"), F.lit(b"").alias("tokens"))
+    texts = table.select("block", F.lit(-1).alias("place"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("unit"), "ids", "training", "lengths", "tokens")
+    shared, masses, kind = units.shared, units.masses, units.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, text, totals, classes = None, None, [], []
+        at, text, totals, owns = None, None, [], []
 
         def ended() -> pa.RecordBatch:
-            total, own = np.concatenate(totals)[1:], np.concatenate(classes)[1:]
+            total, own = np.concatenate(totals)[1:], np.concatenate(owns)[1:]
             tokens = np.frombuffer(zlib.decompress(text["tokens"]), np.int32)
             lengths = np.array(text["lengths"], np.int64)
             starts = np.cumsum(lengths) - lengths
             word_log = np.log10(total + 1.0)
-            tail_log = np.where(own > HEAD, word_log - np.log10(masses[own] + 1.0), 0.0)
+            share_log = np.where(shared[own], word_log - np.log10(masses[own] + 1.0), 0.0)
             summed = lambda x: np.add.reduceat(x[tokens], starts)
-            row = [at, own.astype(np.uint8)[tokens].tobytes(), text["ids"], text["training"], lengths, summed((total > 0).astype(np.int64)), summed(word_log), summed(tail_log)]
+            row = [at, own.astype(kind)[tokens].tobytes(), text["ids"], text["training"], lengths, summed((total > 0).astype(np.int64)), summed(word_log), summed(share_log)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
@@ -149,30 +183,34 @@ def code(table: DataFrame, counted: DataFrame, vocab: dict) -> DataFrame:
                 if block[a] != at:
                     if text:
                         yield ended()
-                    at, totals, classes = int(block[a]), [], []
+                    at, totals, owns = int(block[a]), [], []
                     text = batch.select(["ids", "training", "lengths", "tokens"]).slice(a, 1).to_pylist()[0]
                 totals.append(batch.column("total").slice(a, b - a).to_numpy())
-                classes.append(batch.column("cls").slice(a, b - a).to_numpy())
+                owns.append(batch.column("unit").slice(a, b - a).to_numpy())
         if text:
             yield ended()
 
-    arrow = pa.schema([("block", pa.int64()), ("classes", pa.binary()), ("ids", pa.list_(pa.int64())), ("training", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("word_log", pa.list_(pa.float64())), ("tail_log", pa.list_(pa.float64()))])
-    together = words.union(texts).repartition("block").sortWithinPartitions("block", "place")
-    return together.mapInArrow(run, "block bigint, classes binary, ids array<bigint>, training array<boolean>, lengths array<bigint>, known array<bigint>, word_log array<double>, tail_log array<double>")
+    arrow = pa.schema([("block", pa.int64()), ("units", pa.binary()), ("ids", pa.list_(pa.int64())), ("training", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("word_log", pa.list_(pa.float64())), ("share_log", pa.list_(pa.float64()))])
+    blocks_of = table.select((F.shiftright("block", 24)).alias("part")).agg(F.count("*"), F.coalesce(F.max("part"), F.lit(0))).first()
+    tasks = max(1, blocks_of[0])
+    # the blocks of a task follow one another in steps of the tasks, so that nearly every one gets a task of its own
+    to = (F.shiftright("block", 24) + F.col("block").bitwiseAND((1 << 24) - 1) * (blocks_of[1] + 1)) % tasks
+    together = rows.union(texts).repartitionById(tasks, to.cast("int")).sortWithinPartitions("block", "place")
+    return together.mapInArrow(run, "block bigint, units binary, ids array<bigint>, training array<boolean>, lengths array<bigint>, known array<bigint>, word_log array<double>, share_log array<double>")
 
 
-def contexts(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The CONTEXT classes before each token of its text, nearest first; the end's class stands before a text."""
-    out = np.zeros((len(classes), CONTEXT), np.uint8)
+def contexts(units: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """The CONTEXT units before each token of its text, nearest first; the end stands before a text."""
+    out = np.full((len(units), CONTEXT), end, units.dtype)
     starts = np.cumsum(lengths) - lengths
     for j in range(CONTEXT):
-        out[j + 1 :, j] = classes[: max(0, len(classes) - j - 1)]
+        out[j + 1 :, j] = units[: max(0, len(units) - j - 1)]
         for k in range(j + 1):  # the first tokens of a text see none of the text before
-            out[starts[lengths > k] + k, j] = 0
+            out[starts[lengths > k] + k, j] = end
     return out
 
 
-def spans(lengths: np.ndarray, tokens: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def spans(lengths: np.ndarray, tokens: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about so many tokens, one text at least."""
     ends, first = np.cumsum(lengths), 0
     while first < len(lengths):
@@ -181,20 +219,34 @@ def spans(lengths: np.ndarray, tokens: int = 1 << 19) -> Iterator[tuple[int, int
         first = last
 
 
+def log_softmax_at(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log of each row's softmax at its own column; overwrites logits."""
+    at = logits[np.arange(len(logits)), own].astype(np.float64)
+    most = logits.max(axis=1, keepdims=True)
+    logits -= most
+    np.exp(logits, out=logits)
+    return at - most[:, 0] - np.log(logits.sum(axis=1, dtype=np.float64))
+
+
 class LogBilinear:
-    """Vectors of context and predicted classes, scales of the context's places, biases."""
+    """Vectors of context and predicted units, scales of the context's places, vectors of groups, biases."""
 
-    def __init__(self, uses: np.ndarray, seed: int = 0):
+    def __init__(self, uses: np.ndarray, starts: np.ndarray, seed: int = 0):
+        """starts: the first unit of each group."""
         rng = np.random.default_rng(seed)
+        self.starts, self.sizes = starts, np.diff(np.append(starts, len(uses)))
+        self.group = np.repeat(np.arange(len(starts)), self.sizes)
         self.noise = (uses + 1) / (uses + 1).sum()
-        self.before = rng.normal(0, 0.3, (CLASSES, WIDTH)).astype(np.float32)
-        self.after = rng.normal(0, 0.3, (CLASSES, WIDTH)).astype(np.float32)
+        self.group_noise = np.add.reduceat(self.noise, starts)
+        draw = lambda n: rng.normal(0, 0.3, (n, WIDTH)).astype(np.float32)
+        self.before, self.after, self.groups = draw(len(uses)), draw(len(uses)), draw(len(starts))
         self.places = np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32)
         self.bias = np.log(self.noise).astype(np.float32)
+        self.group_bias = np.log(self.group_noise).astype(np.float32)
         self.squares = [np.full(p.shape, 1e-3, np.float32) for p in self.parts()]
 
     def parts(self) -> list[np.ndarray]:
-        return [self.before, self.after, self.places, self.bias]
+        return [self.before, self.after, self.groups, self.places, self.bias, self.group_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float64)
@@ -212,111 +264,167 @@ class LogBilinear:
             out += self.before[ctx[:, j]] * self.places[j]
         return out
 
+    def _step(self, part: int, gradient: np.ndarray, rows: np.ndarray | slice = np.s_[:]) -> None:
+        """Move the rows of a part against the gradient, by the root of the squares so far."""
+        p, s = self.parts()[part], self.squares[part]
+        s[rows] += gradient * gradient
+        p[rows] -= RATE * gradient / np.sqrt(s[rows])
+
+    def _contrast(self, q: np.ndarray, own: np.ndarray, noise: np.ndarray, vectors: int, bias: int, rng: np.random.Generator) -> np.ndarray:
+        """A noise-contrastive step of the predicted vectors and biases; the slope at q. The noise is shared by the batch."""
+        table, base, n = self.parts()[vectors], self.parts()[bias], len(own)
+        drawn = np.searchsorted(np.cumsum(noise), rng.random(NOISE) * noise.sum()).clip(max=len(noise) - 1)
+        offset = np.log(NOISE * noise).astype(np.float32)
+        true, false = table[own], table[drawn]
+        d_true = -1 / (1 + np.exp(np.clip((q * true).sum(axis=1) + base[own] - offset[own], -60, 60)))
+        d_false = 1 / (1 + np.exp(np.clip(offset[drawn] - base[drawn] - q @ false.T, -60, 60)))
+        rows, at = touched(np.concatenate([own, drawn]), len(noise))
+        g = scatter(at[:n], d_true[:, None] * q, len(rows))
+        np.add.at(g, at[n:], d_false.T @ q)
+        g_bias = np.bincount(at[:n], d_true, minlength=len(rows)) + np.bincount(at[n:], d_false.sum(axis=0), minlength=len(rows))
+        self._step(vectors, (g / n).astype(np.float32), rows)
+        self._step(bias, (g_bias / n).astype(np.float32), rows)
+        return d_true[:, None] * true + d_false @ false
+
     def train(self, ctx: np.ndarray, nxt: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass of noise-contrastive steps; the noise classes are shared by a batch."""
-        offset = np.log(NOISE * self.noise).astype(np.float32)
-        dims = np.arange(WIDTH, dtype=np.int32)
-        scatter = lambda at, rows: np.bincount((at.astype(np.int32)[:, None] * WIDTH + dims).ravel(), rows.ravel(), minlength=CLASSES * WIDTH).reshape(CLASSES, WIDTH)
+        """One pass of noise-contrastive steps, of units among all units and of groups among all groups."""
         for k in range(0, len(nxt), BATCH):
-            c, w = ctx[k : k + BATCH], nxt[k : k + BATCH]
-            drawn = rng.choice(CLASSES, NOISE, p=self.noise)
+            c, w = ctx[k : k + BATCH].astype(np.int64), nxt[k : k + BATCH].astype(np.int64)
             q = self.predict(c)
-            true, false = self.after[w], self.after[drawn]
-            d_true = -1 / (1 + np.exp((q * true).sum(axis=1) + self.bias[w] - offset[w]))
-            d_false = 1 / (1 + np.exp(np.clip(offset[drawn] - self.bias[drawn] - q @ false.T, -60, 60)))
-            d_q = (d_true[:, None] * true + d_false @ false) / len(w)
-            g_after = scatter(w, d_true[:, None] * q / len(w))
-            np.add.at(g_after, drawn, d_false.T @ q / len(w))
-            g_bias = np.bincount(w, d_true, minlength=CLASSES) / len(w) + np.bincount(drawn, d_false.sum(axis=0), minlength=CLASSES) / len(w)
-            g_before, g_places = np.zeros((CLASSES, WIDTH)), np.zeros((CONTEXT, WIDTH))
-            for j in range(CONTEXT):
-                g_before += scatter(c[:, j], d_q * self.places[j])
-                g_places[j] = (d_q * self.before[c[:, j]]).sum(axis=0)
-            for p, s, g in zip(self.parts(), self.squares, (g_before, g_after, g_places, g_bias), strict=True):
-                s += (g * g).astype(np.float32)
-                p -= (RATE * g / np.sqrt(s)).astype(np.float32)
+            d_q = (self._contrast(q, w, self.noise, 1, 4, rng) + self._contrast(q, self.group[w], self.group_noise, 2, 5, rng)) / len(w)
+            rows, at = touched(c.T.ravel(), len(self.noise))
+            d_before = scatter(at, np.concatenate([d_q * self.places[j] for j in range(CONTEXT)]), len(rows))
+            d_places = np.stack([(d_q * self.before[c[:, j]]).sum(axis=0) for j in range(CONTEXT)])
+            self._step(0, d_before.astype(np.float32), rows)
+            self._step(3, d_places.astype(np.float32))
 
     def log10(self, ctx: np.ndarray, nxt: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each next class."""
-        out = np.empty(len(nxt))
-        for k in range(0, len(nxt), BATCH):
-            logits = self.predict(ctx[k : k + BATCH]) @ self.after.T
-            logits += self.bias
-            own = logits[np.arange(len(logits)), nxt[k : k + BATCH]].astype(np.float64)
-            most = logits.max(axis=1, keepdims=True)
-            logits -= most
-            np.exp(logits, out=logits)
-            out[k : k + BATCH] = own - most[:, 0] - np.log(logits.sum(axis=1, dtype=np.float64))
+        """Normalised log10 probability of each next unit."""
+        own = self.group[nxt]
+        q, out = self.predict(ctx), np.empty(len(nxt))
+        step = max(1, LOGITS // len(self.groups))
+        for k in range(0, len(nxt), step):
+            out[k : k + step] = log_softmax_at(q[k : k + step] @ self.groups.T + self.group_bias, own[k : k + step])
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(len(self.starts) + 1))
+        for g in np.flatnonzero((np.diff(cuts) > 0) & (self.sizes > 1)):
+            first, size = self.starts[g], self.sizes[g]
+            vectors, bias = self.after[first : first + size].T, self.bias[first : first + size]
+            step = max(1, LOGITS // size)
+            for k in range(cuts[g], cuts[g + 1], step):
+                some = order[k : min(k + step, cuts[g + 1])]
+                out[some] += log_softmax_at(q[some] @ vectors + bias, nxt[some] - first)
         return out / np.log(10)
 
 
-def _training_tokens(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    classes, lengths, training = np.frombuffer(row["classes"], np.uint8), np.array(row["lengths"], np.int64), np.array(row["training"], bool)
+def touched(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and the place of each id among them."""
+    here = np.bincount(ids, minlength=size) > 0
+    return np.flatnonzero(here), (np.cumsum(here) - 1)[ids]
+
+
+def scatter(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows at each place."""
+    flat = at[:, None] * WIDTH + np.arange(WIDTH)
+    return np.bincount(flat.ravel(), rows.ravel(), minlength=size * WIDTH).reshape(size, WIDTH)
+
+
+def _training_tokens(row: dict, units: Units) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    own, lengths, training = np.frombuffer(row["units"], units.kind), np.array(row["lengths"], np.int64), np.array(row["training"], bool)
     starts = np.cumsum(lengths) - lengths
     for a, b in spans(lengths):
-        part, used = classes[starts[a] : starts[b - 1] + lengths[b - 1]], np.repeat(training[a:b], lengths[a:b])
-        yield contexts(part, lengths[a:b])[used], part[used]
-
-
-def fit(coded: DataFrame, uses: np.ndarray) -> np.ndarray:
-    """Parameters after a warm start on at most WARM_TOKENS tokens and one pass over all training tokens."""
-    warm = LogBilinear(uses)
-    seen = coded.select(F.substring("classes", 1, 2 * WARM_TOKENS).alias("classes"), "training", "lengths").orderBy("block").first()
-    if seen is None:
-        return warm.flat()
-    lengths = np.array(seen["lengths"], np.int64)
-    whole = int((np.cumsum(lengths) <= 2 * WARM_TOKENS).sum())
-    parts = list(_training_tokens({"classes": bytes(seen["classes"])[: int(lengths[:whole].sum())], "lengths": lengths[:whole], "training": seen["training"][:whole]}))
-    ctx, nxt = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, CONTEXT), np.uint8), np.zeros(0, np.uint8))
-    rng = np.random.default_rng(1)
+        part, used = own[starts[a] : starts[b - 1] + lengths[b - 1]], np.repeat(training[a:b], lengths[a:b])
+        yield contexts(part, lengths[a:b], units.end)[used], part[used]
+
+
+def _warm_start(coded: DataFrame, units: Units) -> LogBilinear:
+    """Fitted, three times over, to at most WARM_TOKENS training tokens of the block of the smallest id."""
+    model, rng = LogBilinear(units.uses, units.starts), np.random.default_rng(1)
+    least = coded.agg(F.min("block")).first()[0]
+    if least is None:
+        return model
+    row = coded.where(F.col("block") == least).select("units", "training", "lengths").first().asDict()
+    parts, left = [], WARM_TOKENS
+    for ctx, nxt in _training_tokens(row, units):
+        parts.append((ctx[:left], nxt[:left]))
+        left -= len(parts[-1][1])
+        if left <= 0:
+            break
     for _ in range(3):
-        warm.train(ctx[:WARM_TOKENS], nxt[:WARM_TOKENS], rng)
+        for ctx, nxt in parts:
+            model.train(ctx, nxt, rng)
+    return model
+
+
+def fit(coded: DataFrame, units: Units) -> np.ndarray:
+    """Parameters after a warm start and one pass over all training tokens."""
+    warm = _warm_start(coded, units)
     start = coded.sparkSession.sparkContext.broadcast((warm.flat(), warm.squares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, squares = start.value
-        model, tokens = LogBilinear(uses).load(flat), 0
+        model, tokens = LogBilinear(units.uses, units.starts).load(flat), 0
         model.squares = [s.copy() for s in squares]
         for batch in batches:
             for row in batch.to_pylist():
                 rng = np.random.default_rng(row["block"])
-                for ctx, nxt in _training_tokens(row):
+                for ctx, nxt in _training_tokens(row, units):
                     model.train(ctx, nxt, rng)
                     tokens += len(nxt)
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([model.flat()], pa.list_(pa.float64())), pa.array([tokens], pa.int64())], names=["parameters", "tokens"])
+            whole = model.flat() * tokens
+            cuts = range(0, len(whole), PART)
+            yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.int64()), pa.array([whole[k : k + PART].tobytes() for k in cuts], pa.binary()), pa.array([tokens] * len(cuts), pa.int64())], names=["at", "weighted", "tokens"])
+
+    def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, int]] = {}
+        for batch in batches:
+            for at, raw, tokens in zip(*(batch.column(c).to_pylist() for c in ("at", "weighted", "tokens")), strict=True):
+                total, seen = sums.get(at, (0.0, 0))
+                sums[at] = total + np.frombuffer(raw), seen + tokens
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([(t / n).tobytes() for t, n in sums.values()], pa.binary())], names=["at", "mean"])
 
-    parts = coded.select("block", "classes", "training", "lengths").mapInArrow(run, "parameters array<double>, tokens bigint")
-    mean = parts.select("tokens", F.posexplode("parameters").alias("at", "p")).groupBy("at").agg((F.sum(F.col("p") * F.col("tokens")) / F.sum("tokens")).alias("p"))
-    rows = mean.orderBy("at").collect()  # one for each parameter
-    return np.array([r["p"] for r in rows]) if rows else warm.flat()
+    parts = coded.select("block", "units", "training", "lengths").mapInArrow(run, "at bigint, weighted binary, tokens bigint")
+    rows = parts.repartition("at").mapInArrow(averaged, "at bigint, mean binary").collect()  # the parameters
+    return np.concatenate([np.frombuffer(r["mean"]) for r in sorted(rows, key=lambda r: r["at"])]) if rows else warm.flat()
 
 
 def score(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     """For each row of docs (doc_id, text): training, n_tokens, n_known, train_tokens, base_score and score (log10), learning from the rows for which training is true."""
+    coded, units = read(docs, training, text)
+    return score_coded(coded, units, fit(coded, units))
+
+
+def read(docs: DataFrame, training: Column, text: str = "text") -> tuple[DataFrame, Units]:
+    """The coded blocks of docs and the units of its training rows."""
     table = materialize(blocks(docs, training, text), "lm-blocks")
     counted = materialize(corpus_counts(table), "lm-counts")
-    vocab = vocabulary(counted)
-    coded = materialize(code(table, counted, vocab), "lm-coded")
+    units = vocabulary(counted)
+    coded = materialize(code(table, counted, units), "lm-coded")
     release(table)
     release(counted)
-    flat = coded.sparkSession.sparkContext.broadcast(fit(coded, vocab["uses"]))
-    uses, size = vocab["uses"], np.log10(vocab["tokens"] + vocab["distinct"] + 1.0)
+    return coded, units
+
+
+def score_coded(coded: DataFrame, units: Units, parameters: np.ndarray) -> DataFrame:
+    """The scores of coded blocks by a model's parameters."""
+    flat = coded.sparkSession.sparkContext.broadcast(parameters)
+    size = np.log10(units.tokens + units.distinct + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LogBilinear(uses).load(flat.value)
+        model = LogBilinear(units.uses, units.starts).load(flat.value)
         for batch in batches:
             for row in batch.to_pylist():
-                classes, lengths = np.frombuffer(row["classes"], np.uint8), np.array(row["lengths"], np.int64)
+                own, lengths = np.frombuffer(row["units"], units.kind), np.array(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
-                by_class = np.empty(len(lengths))
+                by_unit = np.empty(len(lengths))
                 for a, b in spans(lengths):
-                    part = classes[ends[a] - lengths[a] : ends[b - 1]]
-                    logs = model.log10(contexts(part, lengths[a:b]), part)
-                    by_class[a:b] = np.add.reduceat(logs, np.cumsum(lengths[a:b]) - lengths[a:b])
-                columns = [row["ids"], row["training"], lengths, row["known"], np.array(row["word_log"]) - lengths * size, by_class + np.array(row["tail_log"])]
+                    part = own[ends[a] - lengths[a] : ends[b - 1]].astype(np.int32)
+                    logs = model.log10(contexts(part, lengths[a:b], units.end), part)
+                    by_unit[a:b] = np.add.reduceat(logs, np.cumsum(lengths[a:b]) - lengths[a:b])
+                columns = [row["ids"], row["training"], lengths, row["known"], np.array(row["word_log"]) - lengths * size, by_unit + np.array(row["share_log"])]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     arrow = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     scored = coded.mapInArrow(run, "doc_id bigint, training boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return scored.withColumn("train_tokens", F.lit(int(vocab["tokens"])).cast("bigint"))
+    return scored.withColumn("train_tokens", F.lit(int(units.tokens)).cast("bigint"))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import as_bytes, materialize, release
 
-WORDS, ENDINGS, CONTEXT, WIDTH, NOISE, BATCH, RATE = 8, 2, 3, 16, 32, 4096, 0.05
+WORDS, ENDINGS, CONTEXT, WIDTH, NOISE, BATCH, RATE = 8, 2, 3, 16, 32, 2048, 0.2
 BLOCK_BYTES, WARM_TOKENS = 12 << 20, 400_000
 #: Parameters of a row when they are averaged; logits held at a time.
 PART, LOGITS = 1 << 14, 1 << 20

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set, as in tests."""
+    """The folder that all executors share; a local one only where none is set and all tasks run in this process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local_scratch:
         _local_scratch.append(tempfile.mkdtemp(prefix="larder-"))
     return f"file://{_local_scratch[0]}"
@@ -50,6 +53,19 @@ def release(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, total: int, hot: int = 256, most: int = 20_000) -> DataFrame:
+    """rows joined with keyed (one row a key, with n, the rows that hold it; total: the sum of n), so that no task gets a hot key.
+
+    Keys of more rows than hot, and than total / most, are joined by a broadcast: there are at most
+    that many of them. All others are joined by a shuffle.
+    """
+    many = max(hot, ceil(total / most))
+    wide = [c for c in keyed.columns if c not in (key, "n")]
+    joined = rows.join(F.broadcast(keyed.where(F.col("n") > many).withColumn("_hot", F.lit(True)).drop("n")), key, "left")
+    rest = joined.where("_hot IS NULL").drop("_hot", *wide).join(keyed.where(F.col("n") <= many).drop("n"), key)
+    return joined.where("_hot").drop("_hot").unionByName(rest)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it counts at most so many rows; else as it is, for a shuffled join.
 

@@ -2,23 +2,30 @@
 
 A fingerprint has a bit for each bit position that is 1 in over half of the shingles' hashes (XXH64,
 seed 42; wider fingerprints mix the same hash into further lanes). Fingerprints are dealt into shards
-by the values of chosen bands of their bits; each shard is searched by a BK-tree whose children are
-keyed by the integer Hamming distance to their parent, following only the edges within the radius.
-Shards are shuffled to where they are searched, since trees of all documents would outgrow a
-broadcast; a shard over SHARD_ROWS is split into blocks, and each pair of blocks searched by itself.
+by the values of chosen bands of their bits; each shard is a BK-tree whose children are keyed by the
+integer Hamming distance to their parent. Every member searches its shard's tree, following only the
+edges within the radius of its distance to the parent, whole levels of many trees at a time. Shards
+are shuffled to where they are searched, not broadcast: together they hold the fingerprints of all
+documents, which neither have a size bound nor may pass through the driver. A shard over SHARD_ROWS is
+split into blocks, and each pair of blocks is searched by itself.
 
-With radius r, r + 2 bands of which two must agree hold every pair within the radius (two of them are
-untouched by r differing bits), so links are exact. Where approximate=True, a pair need agree in one
-of many narrow bands, which finds nearly all pairs well within a wide radius.
+With radius r, r + j bands of which j must agree hold every pair within the radius (j of them are
+untouched by r differing bits), so links are exact. j is the least that leaves SHARD_MEAN fingerprints
+or fewer to a shard on average, so that trees don't grow with the table.
 
 near_duplicates() takes the pairs within a wide radius as candidates only, and links those whose sets of
-shingles (as 64-bit hashes) have a Jaccard similarity of at least `least`. Each text first tries its
-nearest candidate of another component, ROUNDS times; then all candidates still apart are tried, so
-that a large group of near copies is not compared pair by pair once it hangs together.
+shingles (as 64-bit hashes) have a Jaccard similarity of at least `least`. There a pair must agree in one
+of many sets of bits, which grow in size and number with the table so that its work doesn't grow by the
+square and the share MISSED of the pairs at the least similarity isn't found. At a wide radius a BK-tree
+prunes nothing, so members are compared row by row. Each text first tries its nearest candidate of
+another component, ROUNDS times; then all candidates still apart are tried, so that a large group of
+near copies is not compared pair by pair once it hangs together.
 
 Null texts count as empty; texts without words have fingerprint zero; texts under the shingle's length
-are one shingle; repeated rows, and texts that share a doc_id, count as linked; rows without a doc_id
-take part, and their component is the smallest id reachable, or null; an empty table gives an empty one.
+are one shingle; texts of any length are hashed whole, in chunks; repeated rows, and texts that share a
+doc_id, count as linked; of a group the smallest id stands for it; rows without a doc_id take part, and
+their component is the smallest id reachable, or null; an empty table gives an empty one; other columns,
+whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +41,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import as_bytes, broadcast_if_small, map_batches, materialize, release
+from larder.llm.common import as_bytes, broadcast_if_small, join_counted, map_batches, materialize, release
 
 SEED = 42
-#: Rows of a shard, or of a block of it; members of a tree's leaf; groups compared row by row.
-SHARD_ROWS, LEAF, SMALL = 2048, 48, 16
-#: A node of whose pairs of members more than this share would have to be followed prunes too little:
-#: its members are compared row by row.
-MOST_FOLLOWED = 0.75
+#: Rows of a shard, or of a block of it, at most; members of a shard on average, at most, where links are exact.
+SHARD_ROWS, SHARD_MEAN = 2048, 64
+#: Pairs of a member and a tree's node that are visited at a time.
+VISITS = 1 << 20
 #: Hot shards, and classes, that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 CHUNK = 1 << 16
 #: Rounds of nearest candidates; texts of a side of a cell of pairs compared by their shingles.
 ROUNDS, CELL = 2, 512
+#: Candidates: members of a shard on average, at most; the least bits that must agree; share of the pairs of the least similarity that may agree in no set of bits.
+CANDIDATE_MEAN, LEAST_BITS, MISSED = 1024, 12, 0.002
 
 
 def shingle_hashes(raw: bytes, width: int) -> Iterator[np.ndarray]:
@@ -97,12 +106,61 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-class Links:
-    """Components of one shard's members, found by searching its BK-tree for each member's neighbours."""
+class Forest:
+    """BK-trees of groups of fingerprints, and components of the members found by searching them."""
 
-    def __init__(self, prints: np.ndarray, radius: int):
+    def __init__(self, prints: np.ndarray, first: np.ndarray, sizes: np.ndarray, radius: int):
+        """first and sizes: where each group starts among the prints, and its members."""
         self.prints, self.radius = prints, radius
+        self.root, self.visited = np.repeat(first, sizes), 0
         self.parent = np.arange(len(prints))
+        self.grow()
+
+    def grow(self) -> None:
+        """Nodes by level: a group's first member is its root; the others go below it, by their distance to it."""
+        self.wide = self.prints.shape[1] * 64 + 1  # distances are smaller
+        members, top = np.arange(len(self.prints)), self.root
+        keys, nodes = [], []
+        while True:
+            below = members != top
+            members, top = members[below], top[below]
+            if not len(members):
+                break
+            edge = _distances(self.prints[members], self.prints[top])
+            group = top * self.wide + edge
+            order = np.argsort(group, kind="stable")  # members of a group keep their order
+            members, group = members[order], group[order]
+            new = np.diff(group, prepend=-1) != 0
+            keys.append(group[new])
+            nodes.append(members[new])
+            top = np.repeat(members[new], np.diff(np.append(np.flatnonzero(new), len(members))))
+        key, node = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*nodes, np.zeros(0, np.int64)])
+        order = np.argsort(key)
+        #: Each child, by its parent and edge.
+        self.edges, self.children = key[order], node[order]
+
+    def search(self, sizes: np.ndarray) -> None:
+        """Link every member to those of its tree within the radius; sizes: of each member's group."""
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + VISITS)))
+            member = np.arange(start, stop)
+            self.follow(member, self.root[member])
+            start = stop
+
+    def follow(self, member: np.ndarray, node: np.ndarray) -> None:
+        """Visit nodes, level by level, following the edges within the radius of the member's distance."""
+        while len(member):
+            self.visited += len(member)
+            apart = _distances(self.prints[member], self.prints[node])
+            near = (apart <= self.radius) & (member != node)
+            self.union(member[near], node[near])
+            low = np.searchsorted(self.edges, node * self.wide + np.maximum(apart - self.radius, 0))
+            high = np.searchsorted(self.edges, node * self.wide + np.minimum(apart + self.radius, self.wide - 1), side="right")
+            count = high - low
+            member = np.repeat(member, count)
+            node = self.children[np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(member))]
 
     def roots(self, members: np.ndarray) -> np.ndarray:
         at = self.parent[members]
@@ -121,81 +179,42 @@ class Links:
             a, b, one, other = a[apart], b[apart], one[apart], other[apart]
             np.minimum.at(self.parent, np.maximum(one, other), np.minimum(one, other))
 
-    def within(self, members: np.ndarray) -> None:
-        """Link the members among themselves: by the tree below a pivot, whose edges are distances to it."""
-        if len(members) <= LEAF:
-            self.compare(members, members)
-            return
-        apart = _distances(self.prints[members], self.prints[members[0]])
-        near = members[apart <= self.radius]
-        self.union(near, np.full(len(near), members[0]))
-        if self.followed(apart) > MOST_FOLLOWED:
-            self.compare(members, members)
-            return
-        edges = {int(d): members[apart == d] for d in np.unique(apart) if d}
-        for d, child in edges.items():
-            self.within(child)
-            for e, other in edges.items():
-                if d < e <= d + self.radius:
-                    self.across(child, other)
-
-    def followed(self, apart: np.ndarray) -> float:
-        """Share of the pairs of members whose edges lie within the radius of each other."""
-        below = np.concatenate([[0], np.cumsum(np.bincount(apart))])
-        low, high = np.maximum(apart - self.radius, 0), np.minimum(apart + self.radius + 1, len(below) - 1)
-        return float((below[high] - below[low]).sum()) / len(apart) ** 2
-
-    def across(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Link members of two subtrees whose edges lie within the radius of each other."""
-        if not len(a) or not len(b) or len(np.unique(np.concatenate([self.roots(a), self.roots(b)]))) == 1:
-            return
-        if len(a) * len(b) <= LEAF * LEAF or min(len(a), len(b)) <= 4:
-            self.compare(a, b)
-            return
-        pivot = self.prints[a[0]]
-        apart_a, apart_b = _distances(self.prints[a], pivot), _distances(self.prints[b], pivot)
-        for d in np.unique(apart_a):
-            for e in np.unique(apart_b):
-                if abs(int(d) - int(e)) <= self.radius:
-                    one, other = a[apart_a == d], b[apart_b == e]
-                    if len(one) == len(a) and len(other) == len(b):
-                        self.compare(a, b)
-                    else:
-                        self.across(one, other)
-
-    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Link members row by row, dropping pairs as soon as the words so far exceed the radius."""
-        words = self.prints.shape[1]
-        dense = min(words, -(-(2 * self.radius + 32) // 64))  # by then most unlike pairs exceed it
-        other = self.prints[b]
-        for k in range(0, len(a), 256):
-            own = self.prints[a[k : k + 256]]
-            apart = np.zeros((len(own), len(b)), np.int16)
-            for w in range(dense):
-                apart += np.bitwise_count(own[:, w, None] ^ other[None, :, w])
-            x, y = np.nonzero((apart <= self.radius) & (self.roots(a[k : k + 256])[:, None] != self.roots(b)[None]))
-            if len(x):
-                close = _distances(own[x, dense:], other[y, dense:]) + apart[x, y] <= self.radius
-                self.union(a[k : k + 256][x[close]], b[y[close]])
-
-
-def plan_bands(bits: int, radius: int, approximate: bool) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
-    """(first bit, width) of the bands, and which of them make up each key."""
-    count, joint = (bits // 12, 1) if approximate else (radius + 2, 2)
-    cuts = [bits * k // count for k in range(count + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], list(combinations(range(count), joint))
-
-
-def shard_keys(prints: np.ndarray, bits: int, radius: int, approximate: bool) -> np.ndarray:
-    """The shard keys of each fingerprint (n x keys): which bands, then their values."""
-    bands, keys = plan_bands(bits, radius, approximate)
-    on = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(len(prints), -1), axis=1).astype(np.int64)
-    value = [on[:, a : a + w] @ (1 << np.arange(w, dtype=np.int64)[::-1]) for a, w in bands]
+
+#: Places of the bits that make up each shard key, one after another.
+Keys = list[list[int]]
+
+
+def exact_keys(bits: int, radius: int, number: int) -> Keys:
+    """Keys of which two fingerprints within the radius share one: j of radius + j bands, for the least j that leaves small shards."""
+    for joint in range(1, bits - radius + 1):
+        count = radius + joint
+        cuts = [bits * k // count for k in range(count + 1)]
+        if number <= SHARD_MEAN << (bits * joint // count) or joint == 4 or bits * (joint + 1) // (count + 1) > 48:
+            break
+    bands = [list(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [sum(some, []) for some in combinations(bands, joint)]
+
+
+def candidate_keys(bits: int, least: float, number: int) -> Keys:
+    """Keys of which two texts of the least similarity share one but for the share MISSED, drawn at random."""
+    width = max(LEAST_BITS, ceil(log2(max(1, number) / CANDIDATE_MEAN)))
+    # a bit agrees if no random plane parts the texts' shingle vectors
+    agrees = 1 - acos(2 * least / (1 + least)) / pi
+    count = ceil(log(MISSED) / log1p(-(agrees**width)))
+    rng = np.random.default_rng(SEED)
+    order = np.concatenate([rng.permutation(bits) for _ in range(ceil(count * width / bits))])
+    return [order[k * width : (k + 1) * width].tolist() for k in range(count)]
+
+
+def shard_keys(prints: np.ndarray, keys: Keys) -> np.ndarray:
+    """The shard keys of each fingerprint (n x keys): which key, then the values of its bits."""
+    on = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(len(prints), -1), axis=1)
     out = []
-    for number, key in enumerate(keys):
+    for number, places in enumerate(keys):
         own = np.full(len(prints), number, np.int64)
-        for band in key:
-            own = (own << bands[band][1]) | value[band]
+        for k in range(0, len(places), 16):
+            some = places[k : k + 16]
+            own = (own << len(some)) | (on[:, some].astype(np.float32) @ (2.0 ** np.arange(len(some), dtype=np.float32)[::-1])).astype(np.int64)
         out.append(own)
     return np.stack(out, axis=1)
 
@@ -206,21 +225,21 @@ def _prints(column: pa.Array) -> np.ndarray:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """A row for each fingerprint: rep, its smallest doc_id."""
-    return prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+    """A row for each fingerprint: rep, its smallest doc_id, and n, its rows."""
+    return prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
 
 
-def _search(found: DataFrame, radius: int, bits: int, approximate: bool, found_in: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], out: str) -> DataFrame:
+def _search(found: DataFrame, keys: Keys, found_in: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], out: str) -> DataFrame:
     """What found_in() finds in whole blocks of shards of found (fingerprint, rep and any others), ordered by key, block, side and rep."""
-    number, carried = len(plan_bands(bits, radius, approximate)[1]), found.columns
+    number, carried = len(keys), found.columns
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK // 4):
                 part = batch.slice(at, CHUNK // 4)
-                keys = shard_keys(_prints(part.column("fingerprint")), bits, radius, approximate)
+                own = shard_keys(_prints(part.column("fingerprint")), keys)
                 rows = np.repeat(np.arange(part.num_rows), number)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(part.column(c).take(pa.array(rows)) for c in carried)], names=["key", *carried])
+                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), *(part.column(c).take(pa.array(rows)) for c in carried)], names=["key", *carried])
 
     rows = found.where("rep IS NOT NULL").mapInArrow(dealt, T.StructType([T.StructField("key", T.LongType()), *found.schema]))
     hot = rows.groupBy("key").count().where(F.col("count") > SHARD_ROWS).select("key", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("parts"))
@@ -259,43 +278,27 @@ def _blocks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(key)))
 
 
-def links(found: DataFrame, radius: int, bits: int, approximate: bool = False) -> DataFrame:
-    """Pairs (a, b) of reps that connect all classes within the radius of each other; not all such pairs."""
+def links(found: DataFrame, radius: int, bits: int) -> DataFrame:
+    """Pairs (a, b) of reps that connect all classes (fingerprint, rep) within the radius of each other; not all such pairs."""
 
     def found_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if batch.num_rows < 2:
             return
         prints, rep = _prints(batch.column("fingerprint")), batch.column("rep").to_numpy()
-        key, block, side = (batch.column(c).to_numpy() for c in ("key", "block", "side"))
-        first, sizes = _blocks(batch)
-        size_of = np.repeat(sizes, sizes)
-        one, two = [], []
-        for k in range(1, SMALL):
-            i = np.flatnonzero((key[k:] == key[:-k]) & (block[k:] == block[:-k]) & (size_of[k:] <= SMALL))
-            i = i[_distances(prints[i], prints[i + k]) <= radius]
-            one.append(rep[i])
-            two.append(rep[i + k])
-        for start, size in zip(first[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-            part = slice(start, start + size)
-            tree = Links(prints[part], radius)
-            apart = side[part] != side[start]
-            if apart.any():
-                tree.across(np.flatnonzero(~apart), np.flatnonzero(apart))
-            else:
-                tree.within(np.arange(size))
-            root = tree.roots(np.arange(size))
-            moved = root != np.arange(size)
-            one.append(rep[part][moved])
-            two.append(rep[part][root[moved]])
-        a, b = np.concatenate(one), np.concatenate(two)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    pairs = _search(found.select("fingerprint", "rep"), radius, bits, approximate, found_in, "a bigint, b bigint").where("a <> b")
+        forest = Forest(prints, *_blocks(batch), radius)
+        sizes = np.bincount(forest.root, minlength=len(prints))[forest.root]
+        forest.search(sizes)
+        at = np.arange(len(prints))
+        root = forest.roots(at)
+        moved = root != at
+        yield pa.RecordBatch.from_arrays([pa.array(rep[moved], pa.int64()), pa.array(rep[root[moved]], pa.int64())], names=["a", "b"])
+
+    pairs = _search(found.select("fingerprint", "rep"), exact_keys(bits, radius, found.count()), found_in, "a bigint, b bigint").where("a <> b")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def candidates(found: DataFrame, radius: int, bits: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of nodes within the radius, of different components, that agree in a narrow band.
+def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of nodes within the radius, of different components, that share one of the keys.
 
     found: (fingerprint, node, component). All such pairs (a > b); or the nearest b for each a only.
     """
@@ -342,7 +345,7 @@ def candidates(found: DataFrame, radius: int, bits: int, nearest: bool) -> DataF
             yield ended()
 
     rows = found.select("fingerprint", F.col("node").alias("rep"), "component")
-    pairs = _search(rows, radius, bits, True, found_in, "a bigint, b bigint, apart bigint")
+    pairs = _search(rows, keys, found_in, "a bigint, b bigint, apart bigint")
     if nearest:
         return pairs.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
     return pairs.select("a", "b").distinct()
@@ -393,7 +396,7 @@ def components(pairs: DataFrame) -> DataFrame:
     """
 
     def least(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("a").agg(F.min("b").alias("least"))
+        return rows.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
 
     def state(rows: DataFrame):
         return rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -403,25 +406,27 @@ def components(pairs: DataFrame) -> DataFrame:
     while before[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = least(both).withColumn("least", F.least("a", "least"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = join_counted(both.where("b > a"), low, "a", 2 * before[0]).select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = materialize(large, "links")
         low = least(large)
-        small = large.join(low, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).union(low.select("a", F.col("least").alias("b")))
+        small = join_counted(large, low, "a", 2 * before[0]).where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).union(low.select("a", F.col("least").alias("b")))
         after = materialize(small.distinct(), "links")
         release(now)
+        release(large)
         now, was, before = after, before, state(after)
         if was == before:
             break
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def cluster(docs: DataFrame, width: int = 4, bits: int = 64, radius: int = 4, approximate: bool = False, text: str = "text") -> DataFrame:
+def cluster(docs: DataFrame, width: int = 4, bits: int = 64, radius: int = 4, text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text)."""
     prints = materialize(fingerprints(docs.select("doc_id", text), width, bits, text, ["doc_id"]), "fingerprints")
     found = materialize(classes(prints), "classes")
-    labels = components(links(found, radius, bits, approximate))
+    labels = components(links(found, radius, bits))
     # ids that stand for several fingerprints join them
-    named = found.join(labels, found["rep"] == labels["id"], "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = found.join(labels, found["rep"] == labels["id"], "left").select("fingerprint", "n", F.coalesce("component", "rep").alias("component_id"))
+    return join_counted(prints, named, "fingerprint", prints.count()).select("doc_id", "fingerprint", "component_id")
 
 
 def digest(raw: bytes) -> bytes:
@@ -447,11 +452,12 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
         return run
 
     prints = materialize(map_batches(docs.select("doc_id", text), printed, "fingerprint binary, digest binary", ["doc_id"]), "fingerprints")
-    found = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fingerprint").alias("fingerprint"))
+    found = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fingerprint").alias("fingerprint"), F.count("*").alias("n"))
     found = materialize(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+    keys = candidate_keys(bits, least, found.count())
     nodes, labels, sets, linked = found.where("rep IS NOT NULL").withColumn("component", F.col("rep")), None, None, None
     for turn in range(ROUNDS + 1):
-        pairs = materialize(candidates(nodes.select("fingerprint", "node", "component"), radius, bits, turn < ROUNDS), "candidates")
+        pairs = materialize(candidates(nodes.select("fingerprint", "node", "component"), radius, keys, turn < ROUNDS), "candidates")
         if pairs.isEmpty():
             break
         if sets is None:
@@ -470,7 +476,7 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
         release(pairs)
         labels = components(linked)
         nodes = known.join(labels, known["rep"] == labels["id"], "left").select(*known.columns, F.coalesce("component", "rep").alias("component"))
-    named = found.select("digest", "rep")
+    named = found.select("digest", "rep", "n")
     if labels is not None:
-        named = named.join(labels, named["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("rep"))
-    return prints.join(named.withColumnRenamed("rep", "component_id"), "digest").select("doc_id", "component_id")
+        named = named.join(labels, named["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("rep"), "n")
+    return join_counted(prints, named.withColumnRenamed("rep", "component_id"), "digest", prints.count()).select("doc_id", "component_id")

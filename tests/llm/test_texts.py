@@ -260,10 +260,11 @@ def clustered(seed=1):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize(("rows", "small"), [(2048, 16), (8, 2), (16, 4)])
-def test_links_join_all_that_lie_within_the_radius(spark, monkeypatch, rows, small):
-    """Chains of close fingerprints, whole shards, and shards split into blocks, against all pairs."""
+@pytest.mark.parametrize(("rows", "mean"), [(2048, 64), (8, 1), (16, 0)])
+def test_links_join_all_that_lie_within_the_radius(spark, monkeypatch, rows, mean):
+    """Chains of close fingerprints, whole shards, and shards split into blocks, of few and many bands, against all pairs."""
     monkeypatch.setattr(simhash, "SHARD_ROWS", rows)
+    monkeypatch.setattr(simhash, "SHARD_MEAN", mean)
     prints = dict(enumerate(clustered()))
     found = spark.createDataFrame([(bytearray(v.to_bytes(8, "big")), i) for i, v in prints.items()], "fingerprint binary, rep bigint")
     labels = {r["id"]: r["component"] for r in simhash.components(simhash.links(found, 4, 64)).collect()}
@@ -272,9 +273,41 @@ def test_links_join_all_that_lie_within_the_radius(spark, monkeypatch, rows, sma
 
 def test_tree_search_equals_all_pairs():
     prints = np.array(clustered(3), np.uint64)
-    tree = simhash.Links(prints[:, None], 4)
-    tree.within(np.arange(len(prints)))
+    tree = simhash.Forest(prints[:, None], np.array([0]), np.array([len(prints)]), 4)
+    tree.search(np.full(len(prints), len(prints)))
     assert tree.roots(np.arange(len(prints))).tolist() == list(plain_components({i: int(v) for i, v in enumerate(prints)}).values())
+    assert 0 < tree.visited < len(prints) ** 2  # edges beyond the radius weren't followed
+
+
+def test_trees_are_those_of_one_insertion_after_another(monkeypatch):
+    monkeypatch.setattr(simhash, "VISITS", 50)
+    prints = clustered(5)
+    first, sizes = np.array([0, 40, 41]), np.array([40, 1, len(prints) - 41])
+    forest = simhash.Forest(np.array(prints, np.uint64)[:, None], first, sizes, 4)
+    want = {}
+    for a, n in zip(first, sizes, strict=True):
+        for i in range(a + 1, a + n):
+            at = a
+            while (step := (at, (prints[i] ^ prints[at]).bit_count())) in want:
+                at = want[step]
+            want[step] = i
+    got = {(int(k) // forest.wide, int(k) % forest.wide): int(c) for k, c in zip(forest.edges, forest.children, strict=True)}
+    assert got == want
+    forest.search(np.repeat(sizes, sizes))
+    apart = {}
+    for a, n in zip(first, sizes, strict=True):
+        apart |= plain_components({i: prints[i] for i in range(a, a + n)})
+    assert forest.roots(np.arange(len(prints))).tolist() == [apart[i] for i in range(len(prints))]
+
+
+@pytest.mark.parametrize("number", [10, 10**6, 10**10])
+def test_every_pair_within_the_radius_shares_an_exact_key(number):
+    keys = simhash.exact_keys(64, 4, number)
+    rng = np.random.default_rng(number)
+    for _ in range(50):
+        changed = set(rng.choice(64, 4, replace=False).tolist())
+        assert any(changed.isdisjoint(k) for k in keys)
+    assert number / 2 ** min(map(len, keys)) <= simhash.SHARD_MEAN * 2 or number == 10**10
 
 
 def test_components_of_a_long_chain(spark):

@@ -4,8 +4,12 @@ Ranks become a vocabulary of mapped characters (one printable character for each
 list with every split of a token into two tokens, in rank order, so that merging always takes the
 lowest rank, leftmost first. Each match of the splitting pattern is encoded by itself.
 
-Nulls count as empty texts and give no ids; repeated rows stay; an empty table gives an empty one;
-a column whose name clashes with a new one is replaced.
+Decoding joins the tokens' characters and reverses the byte table; texts come from the bytes of PART
+ids at a time, a character split between parts coming with the later one.
+
+Nulls count as empty texts and give no ids; texts of any length are encoded whole; of equal merges the
+leftmost comes first; repeated rows stay and get equal ids; an empty table gives an empty one; a column
+whose name clashes with a new one is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import DataFrame
 from larder.llm.common import as_texts, map_batches
 
 CACHE_PIECES = 1 << 18
+#: Ids decoded at a time.
+PART = 1 << 16
 
 
 def byte_characters() -> list[str]:
@@ -51,6 +57,8 @@ class ByteCodec:
             for i in range(1, len(token))
             if token[:i] in ranks and token[i:] in ranks
         ]
+        self.names = [name(t) for t in self.bytes_of]
+        self.bytes_by_character = {ord(c): b for b, c in enumerate(chars)}
         self.model = BPE({name(t): r for t, r in ranks.items()}, merges, ignore_merges=True)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
@@ -77,7 +85,8 @@ class ByteCodec:
         return char_of[starts].astype(np.int32), (char_of[ends - 1] + 1).astype(np.int32)
 
     def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes whose characters the tokens are made of."""
+        return "".join(map(self.names.__getitem__, ids)).translate(self.bytes_by_character).encode("latin-1")
 
     def decode_parts(self, parts: list[list[int]]) -> list[str]:
         """Texts of successive parts of one sequence; a character split between parts comes with the later one."""
@@ -96,8 +105,8 @@ def codec(rank_file: str, pattern: str) -> ByteCodec:
     return _codecs[key]
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offsets: bool = True, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """Append ids, with offsets starts and ends (characters), with decoded the bytes that the ids give back."""
+def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offsets: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Append ids and, with offsets, starts and ends: the characters of the text that each token touches."""
 
     def make():
         own = codec(rank_file, pattern)
@@ -109,13 +118,11 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offs
             if offsets:
                 spans = [own.offsets(t, i) if i else (np.zeros(0, np.int32),) * 2 for t, i in zip(texts, ids, strict=True)]
                 out += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
-            if decoded:
-                out.append(pa.array([own.decode_bytes(i) for i in ids], pa.binary()))
             return out
 
         return work
 
-    new = "ids array<int>" + ", starts array<int>, ends array<int>" * offsets + ", decoded binary" * decoded
+    new = "ids array<int>" + ", starts array<int>, ends array<int>" * offsets
     return map_batches(df, make, new, keep)
 
 
@@ -126,8 +133,13 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", keep:
         own = codec(rank_file, pattern)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            raw = [own.decode_bytes(x or []) for x in batch.column(ids).to_pylist()]
-            return [pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())]
+            raws, texts = [], []
+            for whole in batch.column(ids):
+                at = whole.values.to_pylist() if whole.is_valid else []
+                parts = [at[k : k + PART] for k in range(0, len(at), PART)]
+                raws.append(b"".join(map(own.decode_bytes, parts)))
+                texts.append("".join(own.decode_parts(parts)))
+            return [pa.array(raws, pa.binary()), pa.array(texts, pa.string())]
 
         return work
 

@@ -44,10 +44,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def holding(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, which reads these materialized tables, so that release(df) deletes them too."""
+    df._larder_tables = tables
+    return df
+
+
 def release(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_larder_path", None)
-    if path:
+    """Delete the tables that materialize() wrote of df and of what holding() gave it, once nothing reads them any more."""
+    for table_of in getattr(df, "_larder_tables", ()):
+        release(table_of)
+    if path := getattr(df, "_larder_path", None):
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

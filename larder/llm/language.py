@@ -9,7 +9,8 @@ towards the whole. A further hypothesis, no known language, gives every trigram
 probability. A row is accepted unless that hypothesis wins or its text has no letters.
 
 Null or empty texts have no letters; null or unknown declared languages give no evidence; null hosts
-count as the empty host; repeated rows are judged alike; an empty table gives an empty one; clashing
+count as the empty host; texts of any length count whole; of languages of equal posterior the first in
+alphabetical order wins; repeated rows are judged alike; an empty table gives an empty one; clashing
 columns are replaced.
 """
 
@@ -45,6 +46,14 @@ def trigrams(raw: bytes) -> np.ndarray:
     return mixed * np.uint32(2654435761) >> np.uint32(32 - BUCKET_BITS)
 
 
+def page_texts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Append declared (the language of the html element, without its region) and page_text (the markup's text, without scripts and styles)."""
+    told = F.regexp_extract(F.col(html), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", 1)
+    text = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"&#?\w+;", " ")
+    return pages.withColumns({"declared": F.nullif(F.lower(told), F.lit("")), "page_text": text})
+
+
 def train(docs: DataFrame, text: str = "text", declared: str = "lang", languages: tuple[str, ...] = LANGUAGES) -> np.ndarray:
     """Trigram counts (buckets x languages, each plus a half) of all texts with a known declared language."""
     size = 1 << BUCKET_BITS

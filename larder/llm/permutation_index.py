@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import materialize, release
+from larder.llm.common import holding, materialize
 
 PIVOTS, POST, READ, FIRST, PREFIX = 14, 4, 96, 8, 32
 KEEP, RERANK = 0.5, 100
@@ -52,10 +52,6 @@ class Index:
     square: float  # the largest squared norm
     kind: str  # of the stored components
 
-    def release(self) -> None:
-        release(self.postings)
-        release(self.rows)
-
 
 def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, v as array<double>) of the vectors that take part."""
@@ -218,7 +214,7 @@ def search_index(index: Index, asked: DataFrame, k: int = 20, read: int = READ)
     bounded = asked.join(bounds, "node", "left").select("node", "id", "v", F.coalesce("bound", F.lit(-inf)).alias("bound"))
     bounded = materialize(bounded, "bounded-queries")
     rest = _visit(index, entries(bounded, FIRST, read), k)
-    return _ranked(first.union(rest), k).select("query_id", "rank", "id", "score")
+    return holding(_ranked(first.union(rest), k).select("query_id", "rank", "id", "score"), first, bounded, index.postings, index.rows)
 
 
 def search(vectors: DataFrame, queries: str, k: int = 20, key: str = "vec_id", vector: str = "embedding", read: int = READ) -> DataFrame:

@@ -29,6 +29,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("lang").alias("declared"), "source", "language", "confidence", "accepted")
 
 
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op3 where all its evidence is at hand: the language that a page's markup declares, and its host."""
+    pages = url_rules.url_parts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = language.identify(language.page_texts(pages), text="page_text", declared="declared", host="host", keep=["page_id", "declared", "host"])
+    return found.select("page_id", "declared", "host", "language", "confidence", "accepted")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -77,8 +84,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, offsets=False, decoded=True, keep=["doc_id"])
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = byte_bpe.encode(docs, *tokenizer, keep=["doc_id"])
+    back = byte_bpe.decode(coded, *tokenizer)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.length("decoded_text").cast("bigint").alias("n_characters"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("bigint").alias("last_end"),
+    )
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +113,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
+    "page_languages": page_languages,
 }
 
 ORACLE_SQL = {

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import as_bytes, broadcast_if_small, join_counted, map_batches, materialize, release
+from larder.llm.common import as_bytes, broadcast_if_small, holding, join_counted, map_batches, materialize, release
 
 SEED = 42
 #: Rows of a shard, or of a block of it, at most; members of a shard on average, at most, where links are exact.
@@ -416,7 +416,7 @@ def components(pairs: DataFrame) -> DataFrame:
         now, was, before = after, before, state(after)
         if was == before:
             break
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return holding(now.select(F.col("a").alias("id"), F.col("b").alias("component")), now)
 
 
 def cluster(docs: DataFrame, width: int = 4, bits: int = 64, radius: int = 4, text: str = "text") -> DataFrame:
@@ -426,7 +426,7 @@ def cluster(docs: DataFrame, width: int = 4, bits: int = 64, radius: int = 4, te
     labels = components(links(found, radius, bits))
     # ids that stand for several fingerprints join them
     named = found.join(labels, found["rep"] == labels["id"], "left").select("fingerprint", "n", F.coalesce("component", "rep").alias("component_id"))
-    return join_counted(prints, named, "fingerprint", prints.count()).select("doc_id", "fingerprint", "component_id")
+    return holding(join_counted(prints, named, "fingerprint", prints.count()).select("doc_id", "fingerprint", "component_id"), prints, found, labels)
 
 
 def digest(raw: bytes) -> bytes:
@@ -455,7 +455,7 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
     found = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fingerprint").alias("fingerprint"), F.count("*").alias("n"))
     found = materialize(found.withColumn("node", F.monotonically_increasing_id()), "classes")
     keys = candidate_keys(bits, least, found.count())
-    nodes, labels, sets, linked = found.where("rep IS NOT NULL").withColumn("component", F.col("rep")), None, None, None
+    nodes, labels, sets, linked, held = found.where("rep IS NOT NULL").withColumn("component", F.col("rep")), None, None, None, []
     for turn in range(ROUNDS + 1):
         pairs = materialize(candidates(nodes.select("fingerprint", "node", "component"), radius, keys, turn < ROUNDS), "candidates")
         if pairs.isEmpty():
@@ -468,6 +468,7 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
             near = map_batches(near, hashed, "digest binary, hashes binary", [])
             near = near.join(broadcast_if_small(nodes.select("digest", "node"), BROADCAST_ROWS), "digest")
             sets = materialize(near.groupBy("node").agg(F.first("hashes").alias("hashes")), "shingles")
+            held += [known, sets]
         new = alike(pairs, sets, least)
         rep = known.select("node", "rep")
         new = new.join(rep.toDF("a", "rep_a"), "a").join(rep.toDF("b", "rep_b"), "b").where("rep_a <> rep_b")
@@ -475,8 +476,10 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
         linked = materialize((new if linked is None else new.union(linked)).distinct(), "alike")
         release(pairs)
         labels = components(linked)
+        held += [linked, labels]
         nodes = known.join(labels, known["rep"] == labels["id"], "left").select(*known.columns, F.coalesce("component", "rep").alias("component"))
     named = found.select("digest", "rep", "n")
     if labels is not None:
         named = named.join(labels, named["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("rep"), "n")
-    return join_counted(prints, named.withColumnRenamed("rep", "component_id"), "digest", prints.count()).select("doc_id", "component_id")
+    out = join_counted(prints, named.withColumnRenamed("rep", "component_id"), "digest", prints.count()).select("doc_id", "component_id")
+    return holding(out, prints, found, *held)

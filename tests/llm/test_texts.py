@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larder.llm import bilinear_lm, byte_bpe, language, media, packing, queries, simhash, toxicity
+from larder.llm import bilinear_lm, byte_bpe, language, media, packing, queries, simhash, toxicity, url_rules
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 TEXT_QUERIES = ["op1_bilinear_lm", "op2_simhash", "op3_language", "op4_packing", "op5_media", "op8_toxicity", "op9_byte_bpe"]
@@ -58,7 +58,7 @@ def check_bpe(got, rows):
     want = []
     for doc_id, text in texts(rows):
         ids = own.encode_ordinary(text)
-        want.append((doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+        want.append((doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), len(text), len(text)))
     key = lambda r: (r[0] is None, r)
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
@@ -90,13 +90,22 @@ def encoding_once():
     return _once[0]
 
 
-def test_byte_bpe_decodes_columns(spark, edge):
+def test_byte_bpe_decodes_columns(spark, edge, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PART", 2)  # so that parts end within characters
     coded = byte_bpe.encode(edge, RANKS, P.PATTERN)
     back = byte_bpe.decode(coded, RANKS, P.PATTERN).select("text", "decoded_text", "ids", "starts", "ends").collect()
     for r in back:
         assert r["decoded_text"] == (r["text"] or "") and len(r["ids"]) == len(r["starts"]) == len(r["ends"])
 
 
+def test_byte_bpe_decodes_what_is_no_text(spark):
+    """Nulls and no ids give nothing; bytes that make no character come back as they are, and as U+FFFD in the text."""
+    broken = encoding_once()._encode_bytes(b"a\xe6\x97b")
+    rows = spark.createDataFrame([(1, None), (2, []), (3, broken)], "doc_id int, ids array<int>")
+    got = {r["doc_id"]: (bytes(r["decoded"]), r["decoded_text"]) for r in byte_bpe.decode(rows, RANKS, P.PATTERN).collect()}
+    assert got == {1: (b"", ""), 2: (b"", ""), 3: (b"a\xe6\x97b", b"a\xe6\x97b".decode("utf-8", "replace"))}
+
+
 def check_packing(got, rows, capacity=2048):
     plain = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     plain.encode_special_tokens = True
@@ -214,6 +223,81 @@ def test_shots_and_clips(spark):
     assert [(r["start_frame"], r["end_frame"], r["start_s"]) for r in found] == [(0, 5, 0.0), (5, 10, 0.2), (10, 15, 0.4)]
 
 
+def java_jpeg(spark, pixels):
+    """A JPEG of the runtime's own encoder, and the brightness that its own decoder gives."""
+    jvm, (high, wide) = spark._jvm, pixels.shape[:2]
+    grey = pixels.ndim == 2
+    image = jvm.java.awt.image.BufferedImage(wide, high, 10 if grey else 5)
+    flat = spark.sparkContext._gateway.new_array(jvm.int, pixels.size)
+    for k, x in enumerate(pixels.ravel().tolist()):
+        flat[k] = x
+    image.getRaster().setPixels(0, 0, wide, high, flat)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    raw = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(raw)).getRaster()
+    got = np.array(list(back.getPixels(0, 0, wide, high, spark.sparkContext._gateway.new_array(jvm.int, pixels.size)))).reshape(pixels.shape)
+    return raw, got if grey else got @ np.array([0.299, 0.587, 0.114])
+
+
+def waves(high, wide):
+    y, x = np.mgrid[0:high, 0:wide]
+    return ((np.sin(x / 7) + np.cos(y / 5)) * 60 + 120 + np.random.default_rng(0).normal(0, 10, x.shape)).clip(0, 255).astype(np.uint8)
+
+
+def test_ordinary_frames_decode_as_the_runtime_does(spark):
+    """Standard tables, all coefficients; grey, and in colour with subsampled components; sizes that fill no block."""
+    grey = waves(37, 53)
+    raw, want = java_jpeg(spark, grey)
+    assert np.abs(media.decode_frame(raw) - want).max() <= 1
+    raw, want = java_jpeg(spark, np.stack([grey, grey[::-1], grey[:, ::-1]], axis=-1))
+    assert np.abs(media.decode_frame(raw) - want).mean() < 1
+    (own,) = media.encode_frames(bytes(range(256)) * 4)
+    assert media.decode_frame(own)[::8, ::8].tobytes() == bytes(range(256)) * 4
+
+
+def avi(frames):
+    return media.mux(frames, 0).replace(b"payload=0", b"nothing=0")
+
+
+def test_media_that_store_did_not_write(spark):
+    """Ordinary frames give clips and no payload, with their index or without; broken media give a reason."""
+    dark, light = (java_jpeg(spark, np.full((24, 40), x, np.uint8))[0] for x in (20, 220))
+    whole = avi([dark] * 3 + [light] * 4)
+    bare = whole.replace(b"idx1", b"JUNK")
+    own = media.mux(media.encode_frames(b"abc" * 700), 2100)
+    cases = {"whole": whole, "bare": bare, "null": None, "empty": b"", "short": whole[: len(whole) // 2], "cut": own[:-3000], "progressive": avi([dark.replace(b"\xff\xc0", b"\xff\xc2")]), "text": b"RIFF....AVI movi", "own": own}
+    rows = spark.createDataFrame([(k, None if v is None else bytearray(v), 1) for k, v in cases.items()], "name string, media binary, reason int")
+    got = {r["name"]: r for r in media.read(rows).collect()}
+    assert set(got) == set(cases)
+    for name in ("whole", "bare"):
+        assert [(c["start_frame"], c["end_frame"]) for c in got[name]["clips"]] == [(0, 3), (3, 7)]
+        assert got[name]["payload"] is None and got[name]["reason"] is None
+    assert bytes(got["own"]["payload"]) == b"abc" * 700
+    for name in ("null", "empty", "short", "cut", "progressive", "text"):
+        assert got[name]["payload"] is None and got[name]["clips"] is None and (got[name]["reason"] is None) == (name == "null")
+
+
+def test_media_features_are_the_shots_of_plain_histograms(spark, edge_dir, edge):
+    got = Counter((r["doc_id"], r["feature"]) for r in queries.op5_media(spark, edge_dir).collect())
+    want = Counter()
+    for doc_id, text in texts(edge.collect()):
+        raw = text.encode()
+        size = media.WIDE * media.HIGH
+        raw += bytes(-len(raw) % size if raw else size)
+        frames = [Counter(b // 16 for b in raw[k : k + size]) for k in range(0, len(raw), size)]
+        apart = [0.0] + [sum(abs(a[x] - b[x]) for x in range(16)) / size / 2 for a, b in zip(frames, frames[1:], strict=False)]
+        starts = [0]
+        for k in range(1, len(frames)):
+            before = apart[max(starts[-1] + 1, k - media.WINDOW) : k]
+            mean = sum(before) / len(before) if before else 0.0
+            spread = math.sqrt(sum((x - mean) ** 2 for x in before) / len(before)) if before else 0.0
+            if apart[k] > max(mean + media.DEVIATIONS * spread, media.FLOOR):
+                starts.append(k)
+        want[(doc_id, "shots:" + ",".join(f"{a}-{b}" for a, b in zip(starts, [*starts[1:], len(frames)], strict=True)))] += 1
+    assert got == want
+
+
 def plain_fingerprint(text, width=4):
     words = text.encode().lower().split()
     shingles = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
@@ -352,6 +436,25 @@ def test_language_fuses_as_bayes_says(spark):
         assert np.allclose(r["posterior"], want, atol=1e-9)
 
 
+def test_language_without_what_is_declared(spark):
+    """A fifth of the documents, and of the pages, hide what they declare; their texts and hosts must tell."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hidden = docs.withColumns({"told": F.col("lang"), "lang": F.when(F.col("doc_id") % 5 != 0, F.col("lang"))})
+    rows = language.identify(hidden, keep=["doc_id", "told"]).where("doc_id % 5 = 0").collect()
+    assert len(rows) > 150 and np.mean([r["language"] == r["told"] for r in rows]) >= 0.98
+    pages = language.page_texts(url_rules.url_parts(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")))
+    hidden = pages.withColumns({"told": F.col("declared"), "declared": F.when(F.col("page_id") % 5 != 0, F.col("declared"))})
+    rows = language.identify(hidden, "page_text", "declared", "host", keep=["page_id", "told"]).where("page_id % 5 = 0").collect()
+    assert len(rows) == 50 and np.mean([r["language"] == r["told"] for r in rows]) >= 0.95
+
+
+def test_page_texts(spark):
+    html = "<!DOCTYPE html><HTML class='x' lang='en-GB'><style>p{margin:0}</style><script>var t='</p>';</script><!-- no --><p>one&amp;two</p>three"
+    rows = spark.createDataFrame([(1, html), (2, None), (3, "<html><p>plain"), (4, "")], "page_id int, html string")
+    got = {r["page_id"]: (r["declared"], r["page_text"] and r["page_text"].split()) for r in language.page_texts(rows).collect()}
+    assert got == {1: ("en", ["one", "two", "three"]), 2: (None, None), 3: (None, ["plain"]), 4: (None, "")}
+
+
 def test_hosts_that_declare_nothing_take_the_level_above(spark):
     a, b = language.LANGUAGES[:2]
     rows = [("one.firm.aa", a)] * 30 + [("two.firm.aa", None), ("new.other.aa", "zz"), ("new.bare.cc", None)] + [("x.bb", b)] * 30
@@ -416,20 +519,77 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
 
 
 def test_language_model_is_normalised():
-    uses = np.random.default_rng(0).integers(1, 1000, bilinear_lm.CLASSES).astype(float)
-    model = bilinear_lm.LogBilinear(uses)
+    uses = np.sort(np.random.default_rng(0).integers(1, 1000, 192).astype(float))[::-1]
+    model = bilinear_lm.LogBilinear(uses, np.array([0, 1, 5, 20, 90]))
     rng = np.random.default_rng(1)
-    ctx = rng.integers(0, bilinear_lm.CLASSES, (500, bilinear_lm.CONTEXT)).astype(np.uint8)
+    ctx = rng.integers(0, 192, (5000, bilinear_lm.CONTEXT)).astype(np.uint16)
     model.train(ctx, ctx[:, 0], rng)
-    one = np.repeat(ctx[:1], bilinear_lm.CLASSES, axis=0)
-    assert (10 ** model.log10(one, np.arange(bilinear_lm.CLASSES))).sum() == pytest.approx(1, abs=1e-5)
+    one = np.repeat(ctx[:1], 192, axis=0)
+    assert (10 ** model.log10(one, np.arange(192))).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_noise_contrastive_steps_learn_what_follows_what():
+    """Each unit is followed by one of two: the scores come near the true ones, far from the units' shares."""
+    rng = np.random.default_rng(2)
+    before = rng.integers(0, 40, 60_000)
+    after = (before * 7 + rng.integers(0, 2, len(before))) % 40
+    ctx = np.stack([before, rng.integers(0, 40, len(before)), rng.integers(0, 40, len(before))], axis=1)
+    model = bilinear_lm.LogBilinear(np.bincount(after, minlength=40).astype(float), np.array([0, 10, 20, 30]))
+    for _ in range(3):
+        model.train(ctx[:50_000], after[:50_000], rng)
+    got = -model.log10(ctx[50_000:], after[50_000:]).mean()
+    assert math.log10(2) <= got < 0.75 < math.log10(40)
+
+
+def test_language_model_scores_equal_a_sum_over_all_words(spark, edge):
+    """score of each text, from the fitted parameters, by plain sums over groups, units and words."""
+    docs = edge.where("doc_id <> 7").select("doc_id", "text").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).selectExpr("doc_id + 100", "text"))
+    docs = spark.createDataFrame(docs.collect(), docs.schema).repartition(1)
+    coded, units = bilinear_lm.read(docs, F.coalesce(F.col("doc_id") % 3 != 1, F.lit(True)))
+    flat = bilinear_lm.fit(coded, units)
+    model = bilinear_lm.LogBilinear(units.uses, units.starts).load(flat)
+    counts, of_unit = Counter(), {}
+    unit = lambda w: units.words.get(w, units.endings.get(w[-3:], units.rest))
+    rows = docs.collect()
+    words_of = [[*(r["text"] or "").encode().lower().split(), b"\n"] for r in rows]
+    for r, words in zip(rows, words_of, strict=True):
+        if r["doc_id"] is None or r["doc_id"] % 3 != 1:
+            counts.update(words)
+    for w in counts:
+        of_unit.setdefault(unit(w), []).append(w)
+    assert len(units.words) > 100 and len(units.endings) > 10 and len(units.starts) > 5
+    exps = lambda z: np.exp(z.astype(np.float64))
+    want = []
+    for r, words in zip(rows, words_of, strict=True):
+        own, total = [unit(w) for w in words], 0.0
+        for k, w in enumerate(words):
+            q = sum(model.before[own[k - 1 - j] if k > j else units.end] * model.places[j] for j in range(bilinear_lm.CONTEXT))
+            g = model.group[own[k]]
+            groups, members = exps(model.groups @ q + model.group_bias), np.flatnonzero(model.group == g)
+            inside = exps(model.after[members] @ q + model.bias[members])
+            p = groups[g] / groups.sum() * inside[members == own[k]][0] / inside.sum()
+            if units.shared[own[k]]:
+                p *= (counts[w] + 1) / (sum(counts[x] + 1 for x in of_unit.get(own[k], ())) + 1)
+            total += math.log10(p)
+        want.append((str(r["doc_id"]), total))
+    got = [(str(r["doc_id"]), r["score"]) for r in bilinear_lm.score_coded(coded, units, flat).collect()]
+    want.sort()
+    got.sort()
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-4)
+
+
+def test_units_grow_with_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    few, many = (len(bilinear_lm.read(d, F.lit(True))[1].uses) for d in (docs.limit(30), docs))
+    assert many > 2 * few
 
 
 def test_contexts_stop_at_the_text_before():
-    classes, lengths = np.array([5, 6, 7, 0, 8, 0, 0, 9, 4, 3, 2, 0], np.uint8), np.array([4, 2, 1, 5])
+    units, lengths = np.array([5, 6, 7, 0, 8, 0, 0, 9, 4, 3, 2, 0], np.uint16), np.array([4, 2, 1, 5])
     want, at = [], 0
     for n in lengths:
-        own = classes[at : at + n]
+        own = units[at : at + n]
         want += [[own[i - 1 - j] if i > j else 0 for j in range(bilinear_lm.CONTEXT)] for i in range(n)]
         at += n
-    assert bilinear_lm.contexts(classes, lengths).tolist() == np.array(want).tolist()
+    assert bilinear_lm.contexts(units, lengths, 0).tolist() == np.array(want).tolist()

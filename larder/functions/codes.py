@@ -24,11 +24,6 @@ def sku(brand: Column, number: Column) -> Column:
     return F.concat(F.upper(F.substring(brand, 1, 3)), F.lit("-"), F.lpad(number.cast("string"), 7, "0"))
 
 
-def hash_percent(*parts: Column) -> Column:
-    """Deterministic 0..99 from the parts' texts."""
-    return F.crc32(F.concat(*[p.cast("string") for p in parts])) % 100
-
-
 def weighted(draw: Column, weights: dict[str, int]) -> Column:
     """The key whose share of the cumulative weights holds the draw modulo their sum."""
     at, picked, total = 0, None, sum(weights.values())

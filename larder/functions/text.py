@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with diacritics and what they fold to.
-ACCENTED = "áàâäãåčćçďéèêëěíìîïňñóòôöõřšśťúùûüůýÿžźżłđ"
-PLAIN = "aaaaaacccdeeeeeiiiinnooooorsstuuuuuyyzzzld"
+# Lower-case Latin letters that don't decompose, and what they fold to, by one letter and by two.
+SINGLE = {"ø": "o", "đ": "d", "ð": "d", "ł": "l", "ħ": "h", "ı": "i", "ŧ": "t", "ŋ": "n"}
+DOUBLE = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij"}
+# All others fold to the letter that they decompose to.
+_FOLDED = {c: normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x250)) if c.islower() and normalize("NFD", c)[0].isascii() and len(normalize("NFD", c)) > 1} | SINGLE
+ACCENTED, PLAIN = "".join(_FOLDED), "".join(_FOLDED.values())
 
 # The public stop list of Czech.
 STOPWORDS = """
@@ -36,29 +41,44 @@ def tokens(text: Column) -> Column:
 
 
 def fold(word: Column) -> Column:
-    return F.translate(word, ACCENTED, PLAIN)
+    word = F.translate(word, ACCENTED, PLAIN)
+    for letter, two in DOUBLE.items():
+        word = F.replace(word, F.lit(letter), F.lit(two))
+    return word
 
 
 def folded_words(text: Column) -> Column:
     return F.transform(tokens(text), fold)
 
 
+def _without(word: Column, endings: list[str], least: int) -> Column:
+    """The word without the longest of the endings that leaves so many letters."""
+    out = None
+    for size in sorted({len(e) for e in endings}, reverse=True):
+        ends = (F.char_length(word) >= least + size) & F.right(word, F.lit(size)).isin([e for e in endings if len(e) == size])
+        shorter = F.substring(word, F.lit(1), F.char_length(word) - size)
+        out = F.when(ends, shorter) if out is None else out.when(ends, shorter)
+    return out.otherwise(word)
+
+
 def _without_case(word: Column) -> Column:
-    return F.regexp_replace(word, f"^(.{{3,}}?)(?:{'|'.join(CASE_ENDINGS)})$", "$1")
+    return _without(word, CASE_ENDINGS, 3)
 
 
 def _without_possessive(word: Column) -> Column:
-    return F.regexp_replace(word, f"^(.{{4,}})(?:{'|'.join(POSSESSIVES)})$", "$1")
+    return _without(word, POSSESSIVES, 4)
 
 
 def _palatalised(word: Column) -> Column:
+    size, last, last_but_one = F.char_length(word), F.right(word, F.lit(1)), F.substring(word, -2, 1)
+    but = lambda n: F.substring(word, F.lit(1), size - n)
     return (
-        F.when(word.endswith("čt"), F.regexp_replace(word, "čt$", "ck"))
-        .when(word.endswith("št"), F.regexp_replace(word, "št$", "sk"))
-        .when(word.rlike("[cč]$"), F.regexp_replace(word, "[cč]$", "k"))
-        .when(word.rlike("[zž]$"), F.regexp_replace(word, "[zž]$", "h"))
-        .when(word.rlike("e.$"), F.regexp_replace(word, "e(.)$", "$1"))
-        .when(word.rlike(".ů.$"), F.regexp_replace(word, "ů(.)$", "o$1"))
+        F.when(word.endswith("čt"), F.concat(but(2), F.lit("ck")))
+        .when(word.endswith("št"), F.concat(but(2), F.lit("sk")))
+        .when(last.isin("c", "č"), F.concat(but(1), F.lit("k")))
+        .when(last.isin("z", "ž"), F.concat(but(1), F.lit("h")))
+        .when((size >= 2) & (last_but_one == "e"), F.concat(but(2), last))
+        .when((size >= 3) & (last_but_one == "ů"), F.concat(but(2), F.lit("o"), last))
         .otherwise(word)
     )
 
@@ -83,14 +103,34 @@ def _swaps(term: Column) -> Column:
     return F.transform(places, lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, F.lit(1)), F.substring(term, i, F.lit(1)), F.substring(term, i + 2, F.char_length(term))))
 
 
+def _swap_and_edit(term: Column, word: Column) -> Column:
+    """Whether word is the term with two neighbouring letters swapped, and one more edit before or after them.
+
+    What is swapped isn't edited again, so that the pair must stand in the word as it is, after what
+    the term holds before it or before what the term holds after it.
+    """
+    size = F.char_length(term)
+    places = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
+
+    def at(i: Column) -> Column:
+        pair = F.concat(F.substring(term, i + 1, F.lit(1)), F.substring(term, i, F.lit(1)))
+        before, after = F.substring(term, F.lit(1), i - 1), F.substring(term, i + 2, size)
+        head, tail = F.concat(before, pair), F.concat(pair, after)
+        rest = F.substring(word, i + 2, F.char_length(word))
+        start = F.substring(word, F.lit(1), F.char_length(word) - F.char_length(tail))
+        return (word.startswith(head) & (F.levenshtein(after, rest) <= 1)) | (word.endswith(tail) & (F.levenshtein(before, start) <= 1))
+
+    return F.exists(places, at)
+
+
 def within_edits(term: Column, word: Column) -> Column:
-    """Whether word is within the term's allowed edits, a swap of neighbours counting as one.
+    """Whether word is within the term's allowed edits, a swap of neighbours counting as one and none within another edit.
 
     The built-in distance counts a swap as two, so the swapped forms of the term are tried as well.
     """
     k = allowed_edits(term)
     plain = F.levenshtein(term, word) <= k
-    swapped = F.exists(_swaps(term), lambda t: F.levenshtein(t, word) <= k - 1)
+    swapped = F.when(k == 1, F.exists(_swaps(term), lambda t: t == word)).otherwise(_swap_and_edit(term, word))
     twice = (k == 2) & (F.char_length(term) == F.char_length(word)) & F.exists(_swaps(term), lambda t: F.exists(_swaps(t), lambda u: u == word))
     return (F.abs(F.char_length(term) - F.char_length(word)) <= k) & (plain | ((k >= 1) & swapped) | twice)
 

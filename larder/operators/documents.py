@@ -16,6 +16,17 @@ def ancestors(slug_path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
+def hydrated(products: DataFrame, brands: DataFrame, categories: DataFrame, ids: DataFrame) -> DataFrame:
+    """The products of ids (id), with brand and slug path: products (brand_id, category_id), brands and categories (id, name or slug_path).
+
+    A product whose brand or category is missing is left out, as is an id without a product; an id
+    that is asked for twice comes once.
+    """
+    asked = products.join(ids.select("id").distinct(), "id", "left_semi")
+    named = asked.join(brands.select(F.col("id").alias("brand_id"), F.col("name").alias("brand")), "brand_id")
+    return named.join(categories.select(F.col("id").alias("category_id"), "slug_path"), "category_id").drop("brand_id", "category_id")
+
+
 def build_documents(products: DataFrame) -> DataFrame:
     """One document for each product row that already carries its brand and slug path."""
     return products.select(

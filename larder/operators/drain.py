@@ -87,7 +87,11 @@ class DrainResult:
     conflicts: int = 0
     failures: int = 0
     elapsed_milliseconds: int = 0
+    #: Rows of the batch that stay in the queue: refused, in conflict, or marked again meanwhile.
     still_pending: int = 0
+    #: Rows of the batch, and of the index in the queue after it.
+    taken: int = 0
+    queued: int = 0
 
 
 def drain(outbox: DataFrame, documents: DataFrame, index: DataFrame | None, index_name: str, limit: int = queue.DRAIN_LIMIT, refuse: Column | None = None, conflict: Column | None = None) -> tuple[DrainResult, DataFrame, DataFrame | None]:
@@ -108,8 +112,9 @@ def drain(outbox: DataFrame, documents: DataFrame, index: DataFrame | None, inde
     counts = outcome_counts(planned).first()
     through = planned.where(~F.col("outcome").isin("conflict", "failed"))
     rest = queue.release(outbox, through)
-    left = rest.where(F.col("index_name") == index_name).count()
-    result = DrainResult(**counts.asDict(), elapsed_milliseconds=(time.monotonic_ns() - began) // 1_000_000, still_pending=left)
+    taken, released = batch.count(), queue.released_count(outbox, through).first()["released"]
+    queued = outbox.where(F.col("index_name") == index_name).count() - released
+    result = DrainResult(**counts.asDict(), elapsed_milliseconds=(time.monotonic_ns() - began) // 1_000_000, still_pending=taken - released, taken=taken, queued=queued)
     return result, rest, applied(index, planned)
 
 
@@ -120,7 +125,7 @@ def check_refused(result: DrainResult) -> None:
 
 def run_row(spark, result: DrainResult, ran_at) -> DataFrame | None:
     """The run log's row; none for an empty batch."""
-    if not any((result.written, result.unchanged, result.deleted, result.conflicts, result.failures)):
+    if not result.taken:
         return None
     return spark.createDataFrame([(ran_at, result.written, result.unchanged, result.elapsed_milliseconds)], "ran_at timestamp, written_product_count int, unchanged_product_count int, elapsed_milliseconds int")
 

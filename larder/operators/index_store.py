@@ -8,9 +8,11 @@ are Hadoop paths, so any store with an atomic rename of files will do.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ from larder import schemas
 from larder.operators.documents import FIELDS
 
 
+class WriterBusy(RuntimeError):
+    """Another writer is at work."""
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str, alias: str = "products"):
         self.spark, self.root, self.alias = spark, root.rstrip("/"), alias
@@ -29,6 +35,21 @@ class IndexStore:
         self._options = jvm.Options.Rename
         self._fs.mkdirs(base)
 
+    @contextmanager
+    def lock(self) -> Iterator[None]:
+        """Keep other writers out: the file system creates the lock's file for one of them only."""
+        path = self._path(f"{self.root}/writer.lock")
+        try:
+            self._fs.create(path, False).close()
+        except Py4JJavaError as taken:
+            if not self._fs.exists(path):
+                raise
+            raise WriterBusy(f"another writer holds {path}; after a crash, delete that file") from taken
+        try:
+            yield
+        finally:
+            self._fs.delete(path, False)
+
     def path(self, version: int) -> str:
         return f"{self.root}/{self.alias}_v{version}"
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.codes import strict_date, two_decimals
-from larder.sources.catalog import small
+
 
 #: Days of the window and of the period that an order covers (review and delivery), and the service factor.
 WINDOW_DAYS, COVER_DAYS, SERVICE = 28, 14, 1.65
@@ -38,7 +38,7 @@ def with_stock(totals: DataFrame, products: DataFrame, stock: DataFrame) -> Data
     The totals are aggregated before they are joined, so only one row a pair meets the dimensions.
     """
     known = products.select(F.col("id").alias("product_id"), "sku")
-    joined = totals.join(small(known), "product_id").join(stock, ["store_number", "product_id"], "left")
+    joined = totals.join(known, "product_id").join(stock, ["store_number", "product_id"], "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("quantity_on_hand", "quantity_on_order")})
 
 

@@ -9,9 +9,11 @@ closeness; they are not comparable with those of other engines. Ties go by SKU.
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,6 +204,13 @@ class SearchResult:
     hits: list
     facets: dict[str, list[tuple[str, int]]]
 
+    def to_json(self) -> str:
+        """The whole result; times in ISO form, prices as numbers."""
+        rows = [hit.asDict(recursive=True) for hit in self.hits]
+        facets = {name: [{"value": value, "count": n} for value, n in values] for name, values in self.facets.items()}
+        plain = lambda x: float(x) if isinstance(x, Decimal) else x.isoformat()
+        return json.dumps({"total": self.total, "elapsed_milliseconds": self.elapsed_milliseconds, "hits": rows, "facets": facets}, default=plain, ensure_ascii=False)
+
 
 def search(documents: DataFrame | None, request: SearchRequest) -> SearchResult:
     """Run the whole request; None stands for an index that doesn't exist."""

@@ -62,6 +62,7 @@ INDEX = """
 """
 PLAN = f"""
     o AS ({FOLD.replace("FROM marks", "FROM marks WHERE CAST(marked AS DATE) = (SELECT max(CAST(marked AS DATE)) FROM marks)")}),
+    every AS ({FOLD}),
     j AS (
         SELECT o.product_id, o.scope_mask, p.id IS NOT NULL AS has_new, i.id IS NOT NULL AS has_old,
                p.name AS new_name, p.price AS new_price, p.stock_quantity AS new_stock,
@@ -109,6 +110,13 @@ def _availability(where: str) -> str:
             UNION ALL SELECT 'out_of_stock', count(*) FILTER (stock_quantity = 0), 2 FROM product WHERE visible AND {where})"""
 
 
+def _folded(word: str) -> str:
+    out = f"translate({word}, '{text.ACCENTED}', '{text.PLAIN}')"
+    for letter, two in text.DOUBLE.items():
+        out = f"replace({out}, '{letter}', '{two}')"
+    return out
+
+
 def _stems() -> str:
     q = lambda words: "|".join(words)
     stop = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -118,7 +126,7 @@ def _stems() -> str:
         "CASE WHEN x LIKE '%čt' THEN regexp_replace(x, 'čt$', 'ck') WHEN x LIKE '%št' THEN regexp_replace(x, 'št$', 'sk')"
         " WHEN regexp_matches(x, '[cč]$') THEN regexp_replace(x, '[cč]$', 'k') WHEN regexp_matches(x, '[zž]$') THEN regexp_replace(x, '[zž]$', 'h')"
         " WHEN regexp_matches(x, 'e.$') THEN regexp_replace(x, 'e(.)$', '\\1') WHEN regexp_matches(x, '.ů.$') THEN regexp_replace(x, 'ů(.)$', 'o\\1') ELSE x END",
-        f"translate(x, '{text.ACCENTED}', '{text.PLAIN}')",
+        _folded("x"),
     ]
     out = f"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '' AND x NOT IN ({stop}))"
     for step in steps:
@@ -207,6 +215,7 @@ ORACLE_SQL = {
         WITH {EVENTS}, o AS ({FOLD}), b AS (SELECT * FROM o ORDER BY marked_at, product_id LIMIT 100),
         again AS (SELECT * REPLACE (CASE WHEN product_id % 2 = 0 THEN marked_at + INTERVAL 5 MILLISECOND ELSE marked_at END AS marked_at) FROM o)
         SELECT a.* FROM again a ANTI JOIN b ON a.index_name = b.index_name AND a.product_id = b.product_id AND a.marked_at = b.marked_at""",
+    "drain_plan_whole_queue": f"WITH {PRODUCT}, {EVENTS}, {INDEX}, {PLAN.replace('FROM o LEFT', 'FROM every o LEFT')} SELECT product_id, scope_mask, action, outcome, name, price FROM plan",
     "drain_plan": f"WITH {PRODUCT}, {EVENTS}, {INDEX}, {PLAN} SELECT product_id, scope_mask, action, outcome, name, price FROM plan",
     "drain_outcome_counts": f"""
         WITH {PRODUCT}, {EVENTS}, {INDEX}, {PLAN}

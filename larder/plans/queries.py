@@ -173,6 +173,12 @@ def drain_plan(spark, sf_dir):
     return _plan(spark, sf_dir).select("product_id", "scope_mask", "action", "outcome", F.col("document.name").alias("name"), F.col("document.price").cast("double").alias("price"))
 
 
+def drain_plan_whole_queue(spark, sf_dir):
+    """The marks of all days, folded; most of them touch everything."""
+    planned = draining.plan(_folded(spark, sf_dir), _present(spark, sf_dir), _index(spark, sf_dir))
+    return planned.select("product_id", "scope_mask", "action", "outcome", F.col("document.name").alias("name"), F.col("document.price").cast("double").alias("price"))
+
+
 def drain_outcome_counts(spark, sf_dir):
     return draining.outcome_counts(_plan(spark, sf_dir))
 
@@ -283,6 +289,7 @@ QUERIES = {
     "queue_depth": queue_depth,
     "outbox_release": outbox_release,
     "drain_plan": drain_plan,
+    "drain_plan_whole_queue": drain_plan_whole_queue,
     "drain_outcome_counts": drain_outcome_counts,
     "drained_index": drained_index,
     "changed_since": changed_since,

@@ -1,5 +1,7 @@
 """The domain tables over the retail test tables, and scans of them.
 
+Joins carry no broadcast hints: the optimizer broadcasts a side by its size, at run time too.
+
 The catalogue has no tables of its own there, so products, stock and change events are derived from
 part, lineitem and events with integer arithmetic, which any engine can repeat.
 """
@@ -16,18 +18,12 @@ from larder.functions.codes import ean13
 INDEX = "products"
 EPOCH = dt.date(2001, 11, 4)
 PRICE, STOCK, EVERYTHING = 1, 2, 4
-BROADCAST_ROWS = 2_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it counts at most so many rows (a dimension); else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _days_before(days: Column) -> Column:
     return F.date_sub(F.lit(EPOCH), days).cast("timestamp_ntz")
 
@@ -64,15 +60,10 @@ def daily_store_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse daily sales; the triple repeats in the source, so quantities add up."""
     lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_quantity")
     stores = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("store_number"))
-    sold = lines.join(small(stores), "l_suppkey")
+    sold = lines.join(stores, "l_suppkey")
     return sold.groupBy("store_number", F.col("l_partkey").alias("product_id"), F.col("l_shipdate").cast("date").alias("sales_date")).agg(F.sum("l_quantity").cast("bigint").alias("quantity"))
 
 
-def sold_lines(spark: SparkSession, sf_dir: str, first: dt.date, last: dt.date) -> DataFrame:
-    """daily_store_sales of a window, with the window pushed into the scan of the lines."""
-    return daily_store_sales(spark, sf_dir).where(F.col("sales_date").between(F.lit(first), F.lit(last)))
-
-
 def store_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock of the pairs that ever sold, a fifth of them left out."""
     store, item = F.col("store_number"), F.col("product_id")
@@ -96,7 +87,7 @@ def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changed_since(products: DataFrame, brands: DataFrame, categories: DataFrame, since: dt.datetime) -> DataFrame:
     """Ids of products of which the row, the brand or the category changed at or after since."""
-    joined = products.join(small(brands), products["brand"] == brands["brand_name"]).join(small(categories), "slug_path")
+    joined = products.join(brands, products["brand"] == brands["brand_name"]).join(categories, "slug_path")
     at = F.lit(since).cast("timestamp_ntz")
     return joined.where((F.col("updated_at") >= at) | (F.col("brand_updated_at") >= at) | (F.col("category_updated_at") >= at)).select("id")
 

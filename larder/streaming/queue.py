@@ -6,10 +6,10 @@ failure does no harm: marks merge to the same row, and the drain looks at the pr
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators import drain as draining
@@ -44,28 +44,32 @@ def changes(spark: SparkSession, folder: str, schema: str, per_batch: int | None
     return reader.parquet(folder)
 
 
-def maintain(stream: DataFrame, stored: StoredQueue, index: IndexStore, documents: Callable[[], DataFrame], checkpoint: str, index_name: str, limit: int = queue.DRAIN_LIMIT, on_result: Callable[[draining.DrainResult], None] | None = None) -> StreamingQuery:
-    """Fold each micro-batch into the queue and drain it until a batch leaves nothing further to do."""
+def maintain(stream: DataFrame, stored: StoredQueue, index: IndexStore, documents: Callable[[], DataFrame], checkpoint: str, index_name: str, limit: int = queue.DRAIN_LIMIT, on_result: Callable[[draining.DrainResult], None] | None = None, runs: str | None = None) -> StreamingQuery:
+    """Fold each micro-batch into the queue and drain it until a batch leaves nothing further to do.
+
+    Only one writer drains an index at a time. Each batch is appended to the run log in the folder runs.
+    """
 
     def batch(marks: DataFrame, _: int) -> None:
+        with index.lock():
+            drain_all(marks)
+
+    def drain_all(marks: DataFrame) -> None:
         stored.write(queue.enqueue(stored.read(), marks))
         while True:
             result, rest, now = draining.drain(stored.read(), documents(), index.read(), index_name, limit)
             if result == draining.DrainResult():
                 return
-            before, superseded = stored.read().count(), index.current()
+            superseded = index.current()
             version = index.replace(now)
             stored.write(rest)  # still reads the superseded version
             index.keep_only(version, superseded)
+            if runs:
+                draining.run_row(stored.spark, result, dt.datetime.now(dt.UTC)).write.mode("append").parquet(runs)
             if on_result:
                 on_result(result)
             draining.check_refused(result)
-            if not result.still_pending or stored.read().count() == before:
+            if not result.queued or result.still_pending == result.taken:
                 return
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def mark_rates(stream: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Marks by time window and operation, for a dashboard; later rows than the watermark are left out."""
-    return stream.withWatermark("marked_at", late).groupBy(F.window("marked_at", window), "operation").agg(F.count("*").alias("marks"))

@@ -297,8 +297,21 @@ def links(found: DataFrame, radius: int, bits: int) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def first_met(prints: np.ndarray, a: np.ndarray, b: np.ndarray, earlier: Keys) -> np.ndarray:
+    """Which of the pairs (a[i], b[i]) share none of the earlier keys, and so haven't been met before."""
+    new = np.ones(len(a), bool)
+    if not earlier or not len(a):
+        return new
+    rows = np.unique(np.concatenate([a, b]))
+    own = shard_keys(prints[rows], earlier)
+    for k in range(0, len(a), CHUNK):
+        part = slice(k, k + CHUNK)
+        new[part] = ~(own[np.searchsorted(rows, a[part])] == own[np.searchsorted(rows, b[part])]).any(axis=1)
+    return new
+
+
 def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of nodes within the radius, of different components, that share one of the keys.
+    """Pairs (a, b) of nodes within the radius, of different components, that share one of the keys, each pair at its first key only.
 
     found: (fingerprint, node, component). All such pairs (a > b); or the nearest b for each a only.
     """
@@ -307,7 +320,7 @@ def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool) -> Data
         if batch.num_rows < 2:
             return
         prints = _prints(batch.column("fingerprint"))
-        node, component, side = (batch.column(c).to_numpy() for c in ("rep", "component", "side"))
+        node, component, side, key = (batch.column(c).to_numpy() for c in ("rep", "component", "side", "key"))
         one, two, bits_apart, held = [], [], [], 0
 
         def ended() -> pa.RecordBatch:
@@ -334,6 +347,8 @@ def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool) -> Data
                         j = np.where(fits[i], apart[i], np.iinfo(np.int16).max).argmin(axis=1)
                     else:
                         i, j = np.nonzero(fits & (node[x][:, None] > node[theirs][None]))
+                        new = first_met(prints, x[i], theirs[j], keys[: int(key[start]) >> len(keys[0])])
+                        i, j = i[new], j[new]
                     if len(i):
                         one.append(node[x[i]])
                         two.append(node[theirs[j]])

@@ -58,7 +58,9 @@ class ByteCodec:
             if token[:i] in ranks and token[i:] in ranks
         ]
         self.names = [name(t) for t in self.bytes_of]
-        self.bytes_by_character = {ord(c): b for b, c in enumerate(chars)}
+        self.sizes = np.array([len(t) for t in self.bytes_of], np.int64)
+        self.byte_of = np.zeros(512, np.uint8)  # by the character's number
+        self.byte_of[[ord(c) for c in chars]] = np.arange(256)
         self.model = BPE({name(t): r for t, r in ranks.items()}, merges, ignore_merges=True)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
@@ -80,13 +82,15 @@ class ByteCodec:
         """Characters [start, end) of the text that each token touches; a split character is touched by several."""
         raw = np.frombuffer(text.encode(), np.uint8)
         char_of = np.cumsum((raw & 0xC0) != 0x80) - 1
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids], dtype=np.int64)
-        starts = ends - np.array([len(self.bytes_of[i]) for i in ids], np.int64)
+        sizes = self.sizes[np.array(ids, np.int64)]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
         return char_of[starts].astype(np.int32), (char_of[ends - 1] + 1).astype(np.int32)
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """The bytes whose characters the tokens are made of."""
-        return "".join(map(self.names.__getitem__, ids)).translate(self.bytes_by_character).encode("latin-1")
+        characters = "".join(map(self.names.__getitem__, ids)).encode("utf-16-le")
+        return self.byte_of[np.frombuffer(characters, "<u2")].tobytes()
 
     def decode_parts(self, parts: list[list[int]]) -> list[str]:
         """Texts of successive parts of one sequence; a character split between parts comes with the later one."""

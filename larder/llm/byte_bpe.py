@@ -94,8 +94,13 @@ class ByteCodec:
 
     def decode_parts(self, parts: list[list[int]]) -> list[str]:
         """Texts of successive parts of one sequence; a character split between parts comes with the later one."""
-        decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        return [decoder.decode(self.decode_bytes(p), i == len(parts) - 1) for i, p in enumerate(parts)]
+        return characters([self.decode_bytes(p) for p in parts])
+
+
+def characters(parts: list[bytes]) -> list[str]:
+    """The texts of successive bytes; a character split between parts comes with the later one."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    return [decoder.decode(p, i == len(parts) - 1) for i, p in enumerate(parts)]
 
 
 _codecs: dict[tuple[str, str], ByteCodec] = {}
@@ -139,10 +144,10 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", keep:
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             raws, texts = [], []
             for whole in batch.column(ids):
-                at = whole.values.to_pylist() if whole.is_valid else []
-                parts = [at[k : k + PART] for k in range(0, len(at), PART)]
-                raws.append(b"".join(map(own.decode_bytes, parts)))
-                texts.append("".join(own.decode_parts(parts)))
+                at = whole.values.to_numpy(zero_copy_only=False).tolist() if whole.is_valid else []
+                parts = [own.decode_bytes(at[k : k + PART]) for k in range(0, len(at), PART)]
+                raws.append(b"".join(parts))
+                texts.append("".join(characters(parts)))
             return [pa.array(raws, pa.binary()), pa.array(texts, pa.string())]
 
         return work

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm.byte_bpe import byte_characters
-from larder.llm.common import as_texts, fields, materialize
+from larder.llm.common import as_texts, fields, materialize, release
 
 CACHE_WORDS, CACHE_PIECES = 1 << 18, 1 << 19
 #: Items that one task packs at a time; bins within SLACK tokens of the capacity count as full.
@@ -167,8 +167,10 @@ def _round(bins: DataFrame, capacity: int) -> DataFrame:
 def pack(items: DataFrame, capacity: int = 2048, length: str = "length") -> DataFrame:
     """Append sequence_id and offset: items of a sequence lie gapless from 0 and fill it to capacity at most.
 
-    Items longer than the capacity, or without a length, raise an error.
+    Items longer than the capacity, or without a length, raise an error. Items are written out first, so
+    that no task holds the Python worker that made them beside the one that packs them.
     """
+    items = materialize(items, "items")
     carried = [c for c in items.columns if c not in ("sequence_id", "offset")]
     checked = F.when(F.col(length).between(1, capacity), F.col(length)).otherwise(F.raise_error(F.lit("an item doesn't fit a sequence")).cast("bigint")).cast("bigint")
     member = F.struct(*carried, F.xxhash64(*carried).alias("_key"), F.lit(0).cast("bigint").alias("offset"))
@@ -178,6 +180,8 @@ def pack(items: DataFrame, capacity: int = 2048, length: str = "length") -> Data
     merged = False
     while True:
         table = materialize(_round(work, capacity), "packing")
+        if not done:
+            release(items)
         done.append(table.where("full").select("members"))
         rest = table.where("not full").select("members", "fill")
         count = rest.count()

@@ -55,6 +55,8 @@ CHUNK = 1 << 16
 ROUNDS, CELL = 2, 512
 #: Candidates: members of a shard on average, at most; the least bits that must agree; share of the pairs of the least similarity that may agree in no set of bits.
 CANDIDATE_MEAN, LEAST_BITS, MISSED = 1024, 12, 0.002
+#: Buckets of a tally of a text's shingle hashes.
+BUCKETS = 128
 
 
 def shingle_hashes(raw: bytes, width: int) -> Iterator[np.ndarray]:
@@ -310,10 +312,29 @@ def first_met(prints: np.ndarray, a: np.ndarray, b: np.ndarray, earlier: Keys) -
     return new
 
 
-def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool) -> DataFrame:
+def tally(hashes: np.ndarray) -> bytes:
+    """How many of the distinct hashes fall into each bucket, 255 at most."""
+    return np.minimum(np.bincount(hashes & np.uint64(BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def may_be_alike(tallies: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs (a[i], b[i]) may have that similarity: two sets share no more of a bucket than the lesser count there."""
+    out = np.ones(len(a), bool)
+    for k in range(0, len(a), CHUNK):
+        part = slice(k, k + CHUNK)
+        lesser = np.minimum(tallies[a[part]], tallies[b[part]])
+        both = lesser.sum(axis=1, dtype=np.int64)
+        total = tallies[a[part]].sum(axis=1, dtype=np.int64) + tallies[b[part]].sum(axis=1, dtype=np.int64)
+        # of counts cut off in both sets, nothing is known
+        out[part] = (both * (1 + least) >= least * total - 1e-6) | (lesser == 255).any(axis=1)
+    return out
+
+
+def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool, least: float = 0.0) -> DataFrame:
     """Pairs (a, b) of nodes within the radius, of different components, that share one of the keys, each pair at its first key only.
 
-    found: (fingerprint, node, component). All such pairs (a > b); or the nearest b for each a only.
+    found: (fingerprint, node, component), and perhaps tally, by which pairs that can't have the least
+    similarity are left out. All such pairs (a > b); or the nearest b for each a only.
     """
 
     def found_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -321,6 +342,7 @@ def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool) -> Data
             return
         prints = _prints(batch.column("fingerprint"))
         node, component, side, key = (batch.column(c).to_numpy() for c in ("rep", "component", "side", "key"))
+        tallies = np.frombuffer(b"".join(batch.column("tally").to_pylist()), np.uint8).reshape(-1, BUCKETS) if tallied else None
         one, two, bits_apart, held = [], [], [], 0
 
         def ended() -> pa.RecordBatch:
@@ -347,8 +369,12 @@ def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool) -> Data
                         j = np.where(fits[i], apart[i], np.iinfo(np.int16).max).argmin(axis=1)
                     else:
                         i, j = np.nonzero(fits & (node[x][:, None] > node[theirs][None]))
-                        new = first_met(prints, x[i], theirs[j], keys[: int(key[start]) >> len(keys[0])])
-                        i, j = i[new], j[new]
+                    # at the first key that a text shares with its nearest, its nearest is as near
+                    new = first_met(prints, x[i], theirs[j], keys[: int(key[start]) >> len(keys[0])])
+                    i, j = i[new], j[new]
+                    if tallies is not None:
+                        fit = may_be_alike(tallies, x[i], theirs[j], least)
+                        i, j = i[fit], j[fit]
                     if len(i):
                         one.append(node[x[i]])
                         two.append(node[theirs[j]])
@@ -359,7 +385,8 @@ def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool) -> Data
         if held:
             yield ended()
 
-    rows = found.select("fingerprint", F.col("node").alias("rep"), "component")
+    tallied = "tally" in found.columns
+    rows = found.select("fingerprint", F.col("node").alias("rep"), "component", *["tally"] * tallied)
     pairs = _search(rows, keys, found_in, "a bigint, b bigint, apart bigint")
     if nearest:
         return pairs.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
@@ -462,7 +489,8 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
         def run(batch: pa.RecordBatch) -> list[pa.Array]:
             raws = as_bytes(batch.column(text))
             sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(raw, width)])).tobytes() for raw in raws]
-            return [pa.array([digest(raw) for raw in raws], pa.binary()), pa.array(sets, pa.binary())]
+            tallies = [tally(np.frombuffer(s, np.uint64)) for s in sets]
+            return [pa.array([digest(raw) for raw in raws], pa.binary()), pa.array(sets, pa.binary()), pa.array(tallies, pa.binary())]
 
         return run
 
@@ -472,7 +500,7 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
     keys = candidate_keys(bits, least, found.count())
     nodes, labels, sets, linked, held = found.where("rep IS NOT NULL").withColumn("component", F.col("rep")), None, None, None, []
     for turn in range(ROUNDS + 1):
-        pairs = materialize(candidates(nodes.select("fingerprint", "node", "component"), radius, keys, turn < ROUNDS), "candidates")
+        pairs = materialize(candidates(nodes.drop("digest", "rep", "n"), radius, keys, turn < ROUNDS, least), "candidates")
         if pairs.isEmpty():
             break
         if sets is None:
@@ -480,11 +508,11 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
             nodes = materialize(nodes.drop("component").join(pairs.select(F.col("a").alias("node")), "node", "left_semi"), "candidate-nodes")
             known = nodes
             near = docs.select("doc_id", text).join(broadcast_if_small(nodes.select(F.col("rep").alias("doc_id")).distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
-            near = map_batches(near, hashed, "digest binary, hashes binary", [])
+            near = map_batches(near, hashed, "digest binary, hashes binary, tally binary", [])
             near = near.join(broadcast_if_small(nodes.select("digest", "node"), BROADCAST_ROWS), "digest")
-            sets = materialize(near.groupBy("node").agg(F.first("hashes").alias("hashes")), "shingles")
+            sets = materialize(near.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("tally").alias("tally")), "shingles")
             held += [known, sets]
-        new = alike(pairs, sets, least)
+        new = alike(pairs, sets.select("node", "hashes"), least)
         rep = known.select("node", "rep")
         new = new.join(rep.toDF("a", "rep_a"), "a").join(rep.toDF("b", "rep_b"), "b").where("rep_a <> rep_b")
         new = new.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b"))
@@ -493,6 +521,7 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
         labels = components(linked)
         held += [linked, labels]
         nodes = known.join(labels, known["rep"] == labels["id"], "left").select(*known.columns, F.coalesce("component", "rep").alias("component"))
+        nodes = nodes.join(sets.select("node", "tally"), "node")
     named = found.select("digest", "rep", "n")
     if labels is not None:
         named = named.join(labels, named["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("rep"), "n")

@@ -246,6 +246,22 @@ def test_near_duplicates_equal_exact_components(spark, monkeypatch, rows):
     assert len({want[i] for i in range(len(docs) - 4, len(docs) - 1)}) == 3  # one fingerprint, different texts
 
 
+def test_tallies_leave_out_no_pair_of_the_least_similarity():
+    rng = np.random.default_rng(3)
+    sets = []
+    for size, buckets in ((40, 0), (400, 0), (60_000, 0), (600, 1)):  # the last ones overflow a single bucket
+        base = rng.integers(0, 2**63, size, np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.12, 0.3, 1.0):
+            own = np.where(rng.random(size) < share, rng.integers(0, 2**63, size, np.uint64), base)
+            sets.append(np.unique(own & ~np.uint64(simhash.BUCKETS - 1) if buckets else own))
+    sets.append(np.zeros(0, np.uint64))
+    tallies = np.frombuffer(b"".join(simhash.tally(s) for s in sets), np.uint8).reshape(len(sets), -1)
+    a, b = np.array(list(combinations(range(len(sets)), 2))).T
+    may = simhash.may_be_alike(tallies, a, b, 0.8)
+    alike = np.array([simhash.similarity(sets[i], sets[j]) >= 0.8 for i, j in zip(a, b, strict=True)])
+    assert alike.any() and not (alike & ~may).any() and not may.all()
+
+
 def test_pipeline_removes_near_duplicates_only(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

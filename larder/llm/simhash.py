@@ -19,7 +19,9 @@ of many sets of bits, which grow in size and number with the table so that its w
 square and the share MISSED of the pairs at the least similarity isn't found. At a wide radius a BK-tree
 prunes nothing, so members are compared row by row. Each text first tries its nearest candidate of
 another component, ROUNDS times; then all candidates still apart are tried, so that a large group of
-near copies is not compared pair by pair once it hangs together.
+near copies is not compared pair by pair once it hangs together. From the second round on, pairs are left
+out before their sets are fetched where tallies of their hashes by bucket already bound the similarity
+below `least`; that loses no link.
 
 Null texts count as empty; texts without words have fingerprint zero; texts under the shingle's length
 are one shingle; texts of any length are hashed whole, in chunks; repeated rows, and texts that share a

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -28,6 +29,8 @@ from larder.llm.common import as_texts, map_batches
 CACHE_PIECES = 1 << 18
 #: Ids decoded at a time.
 PART = 1 << 16
+#: Texts whose ids and offsets a worker holds at a time.
+ROWS = 128
 
 
 def byte_characters() -> list[str]:
@@ -41,8 +44,6 @@ class ByteCodec:
     """Encodes and decodes by a rank file, remembering the ids of frequent pieces."""
 
     def __init__(self, rank_file: str, pattern: str):
-        from tokenizers.models import BPE
-
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
@@ -50,20 +51,30 @@ class ByteCodec:
             self.bytes_of[rank] = token
         chars = byte_characters()
         self.mapped = {b: chars[b] for b in range(256)}
-        name = lambda token: token.decode("latin-1").translate(self.mapped)
+        self.names = [self.name(t) for t in self.bytes_of]
+        self.sizes = np.array([len(t) for t in self.bytes_of], np.int64)
+        self.byte_of = np.zeros(512, np.uint8)  # by the character's number
+        self.byte_of[[ord(c) for c in chars]] = np.arange(256)
+        self.ranks = ranks
+        self.split = regex.compile(pattern).findall
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def name(self, token: bytes) -> str:
+        return token.decode("latin-1").translate(self.mapped)
+
+    @cached_property
+    def model(self):
+        """Only encoding needs the merges: a worker that decodes never holds them."""
+        from tokenizers.models import BPE
+
+        ranks, name = self.ranks, self.name
         merges = [
             (name(token[:i]), name(token[i:]))
             for token, _ in sorted(ranks.items(), key=lambda x: x[1])
             for i in range(1, len(token))
             if token[:i] in ranks and token[i:] in ranks
         ]
-        self.names = [name(t) for t in self.bytes_of]
-        self.sizes = np.array([len(t) for t in self.bytes_of], np.int64)
-        self.byte_of = np.zeros(512, np.uint8)  # by the character's number
-        self.byte_of[[ord(c) for c in chars]] = np.arange(256)
-        self.model = BPE({name(t): r for t, r in ranks.items()}, merges, ignore_merges=True)
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        return BPE({name(t): r for t, r in ranks.items()}, merges, ignore_merges=True)
 
     def piece(self, piece: str) -> tuple[int, ...]:
         return tuple(t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.mapped)))
@@ -132,7 +143,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offs
         return work
 
     new = "ids array<int>" + ", starts array<int>, ends array<int>" * offsets
-    return map_batches(df, make, new, keep)
+    return map_batches(df, make, new, keep, ROWS)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -152,4 +163,4 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", keep:
 
         return work
 
-    return map_batches(df, make, "decoded binary, decoded_text string", keep)
+    return map_batches(df, make, "decoded binary, decoded_text string", keep, ROWS)

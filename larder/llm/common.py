@@ -85,11 +85,11 @@ def fields(ddl: str) -> list[T.StructField]:
     return list(T.StructType.fromDDL(ddl).fields)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], new: str, keep: list[str] | None = None) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable], new: str, keep: list[str] | None = None, rows: int = BATCH_ROWS) -> DataFrame:
     """Append the columns ``new`` (DDL) that make()'s function returns, as a list of Arrow arrays, for each batch.
 
     make() runs once in each task. Columns in ``keep`` (all by default) are carried; a carried
-    column whose name clashes with a new one is replaced by it.
+    column whose name clashes with a new one is replaced by it; rows: how many the function gets at a time.
     """
     added = fields(new)
     names = {f.name for f in added}
@@ -99,8 +99,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], new: str, keep: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + work(batch), names=schema.names)
 
     return df.mapInArrow(run, schema)

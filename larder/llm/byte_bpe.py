@@ -125,42 +125,58 @@ def codec(rank_file: str, pattern: str) -> ByteCodec:
     return _codecs[key]
 
 
+def encoded(own: ByteCodec, texts: list[str], offsets: bool = True) -> list[pa.Array]:
+    ids = [own.encode(t) for t in texts]
+    out = [pa.array(ids, pa.list_(pa.int32()))]
+    if offsets:
+        spans = [own.offsets(t, i) if i else (np.zeros(0, np.int32),) * 2 for t, i in zip(texts, ids, strict=True)]
+        out += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
+    return out
+
+
+def decoded(own: ByteCodec, ids: pa.Array) -> list[pa.Array]:
+    raws, texts = [], []
+    for whole in ids:
+        at = whole.values.to_numpy(zero_copy_only=False).tolist() if whole.is_valid else []
+        parts = [own.decode_bytes(at[k : k + PART]) for k in range(0, len(at), PART)]
+        raws.append(b"".join(parts))
+        texts.append("".join(characters(parts)))
+    return [pa.array(raws, pa.binary()), pa.array(texts, pa.string())]
+
+
+IDS, SPANS, DECODED = "ids array<int>", ", starts array<int>, ends array<int>", "decoded binary, decoded_text string"
+
+
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", offsets: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Append ids and, with offsets, starts and ends: the characters of the text that each token touches."""
 
     def make():
         own = codec(rank_file, pattern)
+        return lambda batch: encoded(own, as_texts(batch.column(text)), offsets)
 
-        def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts = as_texts(batch.column(text))
-            ids = [own.encode(t) for t in texts]
-            out = [pa.array(ids, pa.list_(pa.int32()))]
-            if offsets:
-                spans = [own.offsets(t, i) if i else (np.zeros(0, np.int32),) * 2 for t, i in zip(texts, ids, strict=True)]
-                out += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
-            return out
-
-        return work
-
-    new = "ids array<int>" + ", starts array<int>, ends array<int>" * offsets
-    return map_batches(df, make, new, keep, ROWS)
+    return map_batches(df, make, IDS + SPANS * offsets, keep, ROWS)
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Append decoded (the bytes of the ids) and decoded_text (U+FFFD for bytes that make no character)."""
 
+    def make():
+        own = codec(rank_file, pattern)
+        return lambda batch: decoded(own, batch.column(ids))
+
+    return map_batches(df, make, DECODED, keep, ROWS)
+
+
+def encode_and_decode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """What encode() and then decode() append, in one pass: a task holds one Python worker with one codec, not two."""
+
     def make():
         own = codec(rank_file, pattern)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            raws, texts = [], []
-            for whole in batch.column(ids):
-                at = whole.values.to_numpy(zero_copy_only=False).tolist() if whole.is_valid else []
-                parts = [own.decode_bytes(at[k : k + PART]) for k in range(0, len(at), PART)]
-                raws.append(b"".join(parts))
-                texts.append("".join(characters(parts)))
-            return [pa.array(raws, pa.binary()), pa.array(texts, pa.string())]
+            found = encoded(own, as_texts(batch.column(text)))
+            return found + decoded(own, found[0])
 
         return work
 
-    return map_batches(df, make, "decoded binary, decoded_text string", keep, ROWS)
+    return map_batches(df, make, f"{IDS}{SPANS}, {DECODED}", keep, ROWS)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bilinear_lm, byte_bpe, language, media, packing, permutation_index, simhash, toxicity, url_rules, warc
+from larder.llm import bilinear_lm, byte_bpe, language, media, packing, permutation_index, piece_bpe, simhash, toxicity, url_rules, warc
 from larder.llm.common import key_hash, table
 
 #: The fixed policy of op6: verdict, host, path.
@@ -100,6 +100,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(pages), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = piece_bpe.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded_text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_bilinear_lm": op1_bilinear_lm,
     "op2_simhash": op2_simhash,
@@ -111,6 +122,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
+    "op11_sentencepiece": op11_sentencepiece,
     "page_languages": page_languages,
 }
 

@@ -6,8 +6,9 @@ token if and only if it is compatible with the last token of what lies before it
 merged by themselves, stay the two; for an encoding is right when all its neighbours are compatible. Ids
 are then recovered from the end of the table backwards. The work is linear in the text, however long.
 
-No piece of the vocabulary has a space after another character (checked when the model is loaded), so
-texts are cut before each run of spaces, and the ids of frequent cuts are remembered.
+Texts are cut between characters that no piece of the vocabulary holds side by side (checked when the model
+is loaded): before runs of spaces, and where Latin letters meet others. The ids of frequent cuts are
+remembered.
 
 Nulls and empty texts give no ids and an empty text; very long texts are encoded whole; of equal scores the
 leftmost pair merges first, as in the library; U+2581 counts as a space, as in the library; repeated rows
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 from itertools import groupby
 from math import inf
 
@@ -35,7 +37,9 @@ ROWS = 128
 SPACE = "▁"
 #: In the prefix table: the empty prefix, and a character that no piece has.
 START, UNKNOWN = -1, -2
-CUTS = re.compile(" *[^ ]+| +").findall
+#: Cuts that differ only in where two characters meet, the finest first.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+CUTS = [re.compile(p).findall for p in (f" *[{LATIN}]+| *[^ {LATIN}]+| +", " *[^ ]+| +")]
 
 codecs.register_error("larder-each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -52,17 +56,20 @@ class PieceCodec:
         special = {i for i in number if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.byte_ids = np.full(256, -1, np.int32)
         self.texts, self.score, self.id_of = [], {}, {}
-        self.odd = np.zeros(len(number), bool)  # ids that decode otherwise than by their text
+        self.odd = np.zeros(len(number), bool)  # ids that decode otherwise than by their text alone
+        self.plain_byte = np.zeros(len(number), bool)
         self.unknown_text = model.decode([model.unk_id()])
         self.unknown = model.unk_id()
         self.automaton = ahocorasick.Automaton()
         for i in number:
             piece = model.id_to_piece(i).replace(SPACE, " ")
-            if model.is_byte(i):
-                self.byte_ids[int(piece[3:5], 16)] = i
-            self.odd[i] = model.is_byte(i) or i in special
-            self.texts.append("" if self.odd[i] else piece)
-            if not self.odd[i]:
+            byte = int(piece[3:5], 16) if model.is_byte(i) else -1
+            if byte >= 0:
+                self.byte_ids[byte] = i
+            self.plain_byte[i] = 0 <= byte < 128
+            self.odd[i] = byte >= 128 or i in special
+            self.texts.append("" if self.odd[i] else chr(byte) if byte >= 0 else piece)
+            if byte < 0 and not self.odd[i]:
                 self.score[piece], self.id_of[piece] = model.get_score(i), i
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
@@ -70,7 +77,10 @@ class PieceCodec:
         self.check(model)
         self.sizes = [len(t) for t in self.texts]
         self.cuts: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: By the token before, START and UNKNOWN last: nothing merges with a character that no piece has.
+        self.pairs: list[dict[int, bool]] = [{} for _ in number]
+        self.pairs += [{}] * 2
+        self.tested = 0
         self.histories: dict[int, tuple[list[float], list[str], list[str]] | None] = {}
 
     def check(self, model) -> None:
@@ -80,7 +90,8 @@ class PieceCodec:
             raise ValueError("the model has no piece for some byte")
         if any(c not in pieces for p in pieces for c in p):
             raise ValueError("a piece has a character that isn't a piece itself")
-        if any(re.search("[^ ] ", p) for p in pieces):
+        self.cut = next((cut for cut in CUTS if all(cut(p) == [p] for p in pieces)), None)
+        if self.cut is None:
             raise ValueError("a piece has a space after another character, so texts can't be cut before spaces")
         for probe in ("a", " a  b ", "\tAﬁ Å é"):
             if model.decode(model.encode(probe)) != probe:
@@ -113,16 +124,19 @@ class PieceCodec:
 
         Either goes its own steps, the better-scored one's first, unless its neighbouring parts merge before.
         """
-        key = before, token
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._compatible(before, token)
+        row = self.pairs[before]
+        if (known := row.get(token)) is None:
+            if self.tested > CACHE_PAIRS:
+                for one in self.pairs:
+                    one.clear()
+                self.tested = 0
+            self.tested += 1
+            known = row[token] = self._compatible(before, token)
         return known
 
     def _compatible(self, before: int, token: int) -> bool:
         right = self.steps(token)
-        if right is None or before == START:
+        if right is None or before < 0:
             return right is not None
         left = self.steps(before)
         if left is None:
@@ -143,18 +157,17 @@ class PieceCodec:
         """The prefix table: the last token of the encoding of each prefix of the text, the empty one first."""
         table = [UNKNOWN] * (len(text) + 1)
         table[0] = START
-        known, compatible = self.pairs.get, self.compatible
+        pairs, compatible = self.pairs, self.compatible
         for last, (token, size) in self.automaton.iter(text):
             if table[last + 1] == UNKNOWN:
                 before = table[last + 1 - size]
-                before = before if before >= 0 else START  # nothing merges with a character that no piece has
-                fits = known((before, token))
+                fits = pairs[before].get(token)
                 if compatible(before, token) if fits is None else fits:
                     table[last + 1] = token
         return table
 
     def encode_cut(self, text: str) -> list[int]:
-        """Ids of a text in which spaces stand for U+2581, without any put before it."""
+        """Ids of a cut, by its prefix table."""
         table, ids, at = self.last_tokens(text), [], len(text)
         while at:
             if (token := table[at]) >= 0:
@@ -165,26 +178,29 @@ class PieceCodec:
                 at -= 1
         return ids[::-1]
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        cuts, known = CUTS(" " + text.replace(SPACE, " ")), self.cuts
+    def encode_spaced(self, text: str) -> bytes:
+        """Ids, as 32-bit numbers, of a text in which spaces stand for U+2581, without any put before it."""
+        cuts, known = self.cut(text), self.cuts
         missing = set(cuts).difference(known)
         if missing:
             if len(known) > CACHE_CUTS:
                 known.clear()
                 missing = set(cuts)
-            known.update((c, np.array(self.encode_cut(c), "<i4").tobytes()) for c in missing)
+            known.update((c, array("i", self.encode_cut(c)).tobytes()) for c in missing)
         return b"".join(map(known.__getitem__, cuts))
 
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as 32-bit numbers."""
+        return self.encode_spaced(" " + text.replace(SPACE, " ")) if text else b""
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that make no character become U+FFFD each, and the space before the first word goes."""
         odd = self.odd[ids]
         if not odd.any():
-            return "".join(map(self.texts.__getitem__, ids.tolist())).removeprefix(" ")
-        parts, at_start = [], True
-        for special, run in groupby(ids.tolist(), self.odd.__getitem__):
+            text = "".join(map(self.texts.__getitem__, ids.tolist()))
+            return text if len(ids) and self.plain_byte[ids[0]] else text.removeprefix(" ")
+        odd, parts, at_start = self.odd | self.plain_byte, [], True
+        for special, run in groupby(ids.tolist(), odd.__getitem__):
             if special:
                 for is_byte, some in groupby(run, self.byte_of.__contains__):
                     if is_byte:
@@ -209,9 +225,9 @@ def codec(model_file: str) -> PieceCodec:
 
 
 def lists(ids: list[bytes]) -> pa.Array:
-    """A column of lists of the little-endian 32-bit numbers."""
+    """A column of lists of the 32-bit numbers."""
     ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
 def decoded(own: PieceCodec, ids: pa.Array) -> pa.Array:

@@ -44,7 +44,7 @@ def test_whole_tables(spark, tables, edge, sf):
     )
 )
 def test_equals_the_library(text):
-    ids = np.frombuffer(OWN.encode(text), "<i4")
+    ids = np.frombuffer(OWN.encode(text), np.int32)
     assert ids.tolist() == LIBRARY.encode(text)
     assert OWN.decode(ids) == LIBRARY.decode(ids.tolist())
 
@@ -76,7 +76,7 @@ def test_small_caches_and_columns(spark, edge, monkeypatch):
     monkeypatch.setattr(piece_bpe, "CACHE_PAIRS", 3)
     own = piece_bpe.PieceCodec(MODEL)
     for text in ["one two three four", "a b c d e f", "one two"]:
-        assert np.frombuffer(own.encode(text), "<i4").tolist() == LIBRARY.encode(text)
+        assert np.frombuffer(own.encode(text), np.int32).tolist() == LIBRARY.encode(text)
     back = piece_bpe.decode(piece_bpe.encode(edge, MODEL), MODEL).select("text", "decoded_text").collect()
     assert all(r["decoded_text"] == (r["text"] or "") for r in back)
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id int, ids array<int>")

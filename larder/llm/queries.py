@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bilinear_lm, byte_bpe, language, media, packing, permutation_index, piece_bpe, simhash, toxicity, url_rules, warc
+from larder.llm import bilinear_lm, byte_bpe, divergence, language, media, packing, permutation_index, piece_bpe, simhash, toxicity, url_rules, warc
 from larder.llm.common import key_hash, table
 
 #: The fixed policy of op6: verdict, host, path.
@@ -111,6 +111,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
 QUERIES = {
     "op1_bilinear_lm": op1_bilinear_lm,
     "op2_simhash": op2_simhash,
@@ -123,6 +127,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_source_divergence": op12_source_divergence,
     "page_languages": page_languages,
 }
 
@@ -136,4 +141,34 @@ ORACLE_SQL = {
                CASE WHEN m.latest <> d.page_id THEN m.latest END AS refers_to
         FROM d LEFT JOIN m ON d.g = m.g AND d.n >= 1000
     """,
+    "op12_source_divergence": r"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS found
+            FROM documents),
+        t AS (SELECT lang, source, doc, unnest(found) AS term FROM d),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+        s AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY ALL),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        w AS (SELECT lang, source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT lang, source, term, coalesce(c.n, 0) AS n,
+                   CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (w.total + 2 * s.v) AS BIGINT) AS p,
+                   CAST(1 + CAST(1000000000 AS HUGEINT) * (k.n + 2) // (s.total + 2 * s.v) AS BIGINT) AS q
+            FROM w JOIN s USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        apart AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (
+            SELECT lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM g a JOIN g b USING (lang) LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+            WHERE a.source <> b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM r QUALIFY part = 'pair' OR rank <= 10
+    """,
 }

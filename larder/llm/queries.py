@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bilinear_lm, byte_bpe, divergence, language, media, packing, permutation_index, piece_bpe, simhash, toxicity, url_rules, warc
+from larder.llm import alignment, bilinear_lm, byte_bpe, divergence, language, media, packing, permutation_index, piece_bpe, simhash, toxicity, url_rules, warc
 from larder.llm.common import key_hash, table
 
 #: The fixed policy of op6: verdict, host, path.
@@ -115,6 +115,13 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    hashed = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", hashed.alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_bilinear_lm": op1_bilinear_lm,
     "op2_simhash": op2_simhash,
@@ -128,6 +135,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_source_divergence": op12_source_divergence,
+    "op13_alignment": op13_alignment,
     "page_languages": page_languages,
 }
 

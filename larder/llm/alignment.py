@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm import piece_bpe
-from larder.llm.common import as_texts, fields, join_counted, materialize
+from larder.llm.common import as_texts, fields, join_counted, materialize, release
 
 #: Characters of a block's texts; blocks of a span, by partitions and within each.
 BLOCK, SPAN = 1 << 24, 64
@@ -84,8 +84,8 @@ class Pair:
         breaks = all(any(start == 1 for _, (start, _) in split(p)) for p in probes)
         return breaks and not any(white in p[1:] and any(b == white and a not in WHITE for a, b in zip(p, p[1:], strict=False)) for p in self.own_b.id_of)
 
-    def align(self, segments: list[str]) -> tuple[list[np.ndarray], list[str], pa.Array]:
-        """Of each segment: its A tokens, B tokens and groups in numbers; its groups in ids; its links (A id, B id) as one number each."""
+    def align(self, segments: list[str]) -> tuple[list[str], pa.Array]:
+        """Of each segment: its groups in ids; its links (A id, B id) as one number each."""
         ids_a = [e.ids for e in self.own_a.encode_batch_fast(segments, add_special_tokens=False)]
         ids_b = [self.own_b.encode_spaced(s) for s in segments]
         n_a, n_b = np.fromiter(map(len, ids_a), np.int64), np.fromiter(map(len, ids_b), np.int64) // 4
@@ -96,7 +96,6 @@ class Pair:
             raise ValueError("a tokenizer changed the bytes of a segment")
         both, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
         groups_before = np.searchsorted(both, whole, side="right")
-        n_groups = np.diff(groups_before, prepend=0)
         named_a, named_b = list(map(self.number.__getitem__, flat_a.tolist())), list(map(self.number.__getitem__, flat_b.tolist()))
         stop_a, stop_b, texts, one, other = (at_a + 1).tolist(), (at_b + 1).tolist(), [], 0, 0
         for a, b in zip(stop_a, stop_b, strict=True):
@@ -108,7 +107,7 @@ class Pair:
             joined.append(";".join(texts[first:last]))
             first = last
         links = pa.ListArray.from_arrays(pa.array(np.append(0, groups_before).astype(np.int32)), pa.array((flat_a[at_a] << 32) | flat_b[at_b]))
-        return [n_a, n_b, n_groups], joined, links
+        return joined, links
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -129,12 +128,41 @@ def int_list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
+def packed_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers as 16 bits each; those from 65,535 on as that and two halves. Frequent segments come early, so most are short."""
+    long = numbers >= 0xFFFF
+    if not long.any():
+        return numbers.astype("<u2").tobytes()
+    out = np.repeat(np.where(long, 0xFFFF, numbers), np.where(long, 3, 1)).astype("<u2")
+    at = np.cumsum(np.where(long, 3, 1))[long]
+    out[at - 2], out[at - 1] = numbers[long] & 0xFFFF, numbers[long] >> 16
+    return out.tobytes()
+
+
+def unpacked_numbers(packed: bytes) -> np.ndarray:
+    halves = np.frombuffer(packed, "<u2").astype(np.int64)
+    if not (halves == 0xFFFF).any():
+        return halves
+    # a mark may also be a half of a long number, so marks are found from the left
+    starts, at = [], 0
+    marks = np.flatnonzero(halves == 0xFFFF)
+    for mark in marks.tolist():
+        if mark >= at:
+            starts.append(mark)
+            at = mark + 3
+    starts = np.array(starts)
+    keep = np.ones(len(halves), bool)
+    keep[starts + 1] = keep[starts + 2] = False
+    halves[starts] = halves[starts + 1] | (halves[starts + 2] << 16)
+    return halves[keep]
+
+
 def blocks(docs: DataFrame, byte_file: str, model_file: str, text: str, keep: list[str]) -> DataFrame:
-    """Two kinds of rows: (block, keep, numbers) for each document; (block, number, segment, n) for each distinct segment of a block.
+    """Two kinds of rows: document (block, keep, numbers), and segment (block, number, segment, n) for each distinct one of a block.
 
-    numbers is null for documents without tokens.
+    numbers (see packed_numbers) is null for documents without tokens.
     """
-    schema = T.StructType(fields("block bigint") + [T.StructField(c, docs.schema[c].dataType) for c in keep] + fields("numbers array<int>, number int, segment string, n bigint"))
+    schema = T.StructType(fields("kind string, block bigint") + [T.StructField(c, docs.schema[c].dataType) for c in keep] + fields("numbers binary, number int, segment string, n bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -150,27 +178,24 @@ def blocks(docs: DataFrame, byte_file: str, model_file: str, text: str, keep: li
             for at in range(0, len(known), SEGMENTS):
                 some = known[at : at + SEGMENTS]
                 number = np.arange(at, at + len(some), dtype=np.int32)
-                yield rows(len(some), {"block": pa.array(np.full(len(some), block)), "number": pa.array(number), "segment": pa.array(some, pa.string()), "n": pa.array(n[number])})
+                yield rows(len(some), {"kind": pa.array(["segment"] * len(some)), "block": pa.array(np.full(len(some), block)), "number": pa.array(number), "segment": pa.array(some, pa.string()), "n": pa.array(n[number])})
 
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                flat, offsets, kept = [], [0], []
+                packed = []
                 for value in as_texts(batch.column(text)):
-                    kept.append(bool(value) and piece_bpe.SPACE not in value)
-                    if kept[-1]:
+                    packed.append(None)
+                    if value and piece_bpe.SPACE not in value:
                         cuts = cut(" " + value)
                         for new in set(cuts).difference(place):
                             place[new] = len(known)
                             known.append(new)
-                        flat.append(np.array(list(map(place.__getitem__, cuts)), np.int32))
+                        numbers = np.array(list(map(place.__getitem__, cuts)), np.int64)
+                        counts.append(numbers.astype(np.int32))
+                        packed[-1] = packed_numbers(numbers)
                         size += len(value)
-                    offsets.append(offsets[-1] + (len(flat[-1]) if kept[-1] else 0))
-                values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-                counts.append(values)
-                numbers = int_list(values, np.array(offsets))
-                numbers = pc.if_else(pa.array(kept), numbers, pa.nulls(len(kept), numbers.type))
-                yield rows(batch.num_rows, {"block": pa.array(np.full(batch.num_rows, block)), "numbers": numbers} | {c: batch.column(c) for c in keep})
+                yield rows(batch.num_rows, {"kind": pa.array(["document"] * batch.num_rows), "block": pa.array(np.full(batch.num_rows, block)), "numbers": pa.array(packed, pa.binary())} | {c: batch.column(c) for c in keep})
                 if size >= BLOCK:
                     yield from ended()
                     block, place, size, known, counts = block + 1, {}, 0, [], []
@@ -179,14 +204,14 @@ def blocks(docs: DataFrame, byte_file: str, model_file: str, text: str, keep: li
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-ALIGNED = "n_a int, n_b int, n_groups int, links array<bigint>, groups string, n bigint, at_block array<bigint>, at_number array<int>"
+ALIGNED = "links array<bigint>, groups string, n bigint, at_block array<bigint>, at_number array<int>"
 
 
 def segments(dealt: DataFrame, byte_file: str, model_file: str) -> DataFrame:
     """A row for each distinct segment of a span: its alignment, n (its occurrences) and the blocks and numbers where it goes."""
     # a span's partitions and blocks of each; partition numbers are a block's upper half
     span = F.shiftright(F.col("block"), 32) / SPAN, F.col("block").bitwiseAND((1 << 32) - 1) / SPAN
-    listed = dealt.where("number IS NOT NULL").select("segment", "block", "number", "n", *[c.cast("int").alias(f"span{k}") for k, c in enumerate(span)])
+    listed = dealt.where("kind = 'segment'").select("segment", "block", "number", "n", *[c.cast("int").alias(f"span{k}") for k, c in enumerate(span)])
     met = listed.repartition(F.xxhash64("segment"), "span0", "span1").sortWithinPartitions("segment", "span0", "span1", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +223,10 @@ def segments(dealt: DataFrame, byte_file: str, model_file: str) -> DataFrame:
                 start, stop = first[k : k + SEGMENTS], ends[k : k + SEGMENTS]
                 part = rows.slice(start[0], stop[-1] - start[0])
                 offsets = np.append(start, stop[-1]) - start[0]
-                numbers, groups, links = own.align(part.column("segment").take(pa.array(offsets[:-1])).to_pylist())
+                groups, links = own.align(part.column("segment").take(pa.array(offsets[:-1])).to_pylist())
                 n = np.add.reduceat(part.column("n").to_numpy(), offsets[:-1])
                 places = [int_list(part.column(c).to_numpy(), offsets) for c in ("block", "number")]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in numbers), links, pa.array(groups, pa.string()), pa.array(n), *places], names=names(ALIGNED))
+                yield pa.RecordBatch.from_arrays([links, pa.array(groups, pa.string()), pa.array(n), *places], names=names(ALIGNED))
 
         def joined() -> pa.RecordBatch:
             return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
@@ -234,7 +259,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return named.select("link", "count", (F.col("count") == F.col("highest")).alias("best"), "n")
 
 
-PLACES = "block bigint, number array<int>, n_a array<int>, n_b array<int>, n_groups array<int>, n_best array<int>, count_sum array<bigint>, groups array<string>"
+PLACES = "block bigint, number array<int>, n_best array<int>, count_sum array<bigint>, groups array<string>"
 
 
 def _packed(batch: pa.RecordBatch, n_best: np.ndarray, count_sum: np.ndarray) -> pa.RecordBatch:
@@ -245,13 +270,13 @@ def _packed(batch: pa.RecordBatch, n_best: np.ndarray, count_sum: np.ndarray) ->
     block, row = block[order], np.repeat(np.arange(batch.num_rows), times)[order]
     new = np.flatnonzero(np.diff(block, prepend=-1) != 0)
     offsets = np.append(new, len(block))
-    ints = [number[order], *(batch.column(c).to_numpy()[row] for c in ("n_a", "n_b", "n_groups")), n_best[row].astype(np.int32), count_sum[row].astype(np.int64)]
+    ints = [number[order], n_best[row].astype(np.int32), count_sum[row].astype(np.int64)]
     groups = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), batch.column("groups").take(pa.array(row)))
     return pa.RecordBatch.from_arrays([pa.array(block[new]), *(int_list(x, offsets) for x in ints), groups], names=names(PLACES))
 
 
 def places(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """What each segment brings to its places, packed by block: numbers of tokens, groups and best links, its links' counts, its groups."""
+    """What each segment brings to its places, packed by block: its best links, its links' counts, its groups."""
     if pairs.count() <= PAIRS:
         table = pairs.select("link", "count", "best").toArrow().sort_by("link")
         known = found.sparkSession.sparkContext.broadcast([table.column(c).to_numpy() for c in ("link", "count", "best")])
@@ -282,37 +307,66 @@ COMPOSED = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigi
 
 
 def composed(dealt: DataFrame, brought: DataFrame, keep: list[str]) -> DataFrame:
-    """The documents of each block, from their segments' alignments."""
-    documents = dealt.where("number IS NULL").select("block", *keep, "numbers")
+    """The documents of each block, from their segments' alignments: of a block these come first, so that its documents can be streamed."""
+    documents = dealt.where("kind = 'document'").select("block", *keep, "numbers")
     schema = T.StructType([documents.schema[c] for c in keep] + fields(COMPOSED))
-    summed = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
-
-    def of_block(docs: pa.Table, known: pa.Table) -> pa.Table:
-        flat = {c: pa.chunked_array([x.flatten() for x in known.column(c).chunks], known.schema.field(c).type.value_type) for c in known.column_names if c != "block"}
-        order = np.argsort(flat["number"].to_numpy())
-        groups = flat["groups"].take(pa.array(order)).to_pylist()
-        numbers = docs.column("numbers")
-        at = np.concatenate([np.zeros(0, np.int32), *(x.flatten().to_numpy() for x in numbers.chunks)])
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(numbers), 0).to_numpy())
-        starts = np.append(0, ends[:-1]).astype(np.int64)[: len(ends)]
-        out = {}
-        for c in summed:
-            so_far = np.append(0, np.cumsum(flat[c].to_numpy()[order].astype(np.int64)[at]))
-            out[c] = pa.array(so_far[ends] - so_far[starts])
-        own = list(map(groups.__getitem__, at.tolist()))
-        out["groups"] = pa.array([";".join(own[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.string())
-        out["n_links"] = out["n_groups"]
-        return pa.table([*(docs.column(c) for c in keep), *(out[c] for c in names(COMPOSED))], names=schema.names)
-
-    return documents.groupBy("block").cogroup(brought.groupBy("block")).applyInArrow(of_block, schema)
+    lists = [c for c in names(PLACES) if c != "block"]
+    none = lambda df, columns: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns]
+    first = brought.select("block", F.lit(0).alias("turn"), *lists, *none(documents, [*keep, "numbers"]))
+    then = documents.select("block", F.lit(1).alias("turn"), *none(brought, lists), *keep, "numbers")
+    rows = first.unionByName(then).repartition("block").sortWithinPartitions("block", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, tables = None, [], None
+        for whole in batches:
+            turn, of = whole.column("turn").to_numpy(), whole.column("block").to_numpy()
+            cuts = np.flatnonzero((np.diff(turn) != 0) | (np.diff(of) != 0)) + 1
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), whole.num_rows], strict=True):
+                if stop == start:
+                    continue
+                if of[start] != block:
+                    block, held, tables = of[start], [], None
+                part = whole.slice(start, stop - start)
+                if turn[start] == 0:
+                    held.append([part.column(c).flatten() for c in lists])
+                    continue
+                if tables is None:
+                    tables, held = Segments(held), []
+                for at in range(0, part.num_rows, 256):
+                    some = part.slice(at, 256)
+                    own = tables.compose(some.column("numbers"))
+                    yield pa.RecordBatch.from_arrays([*(some.column(c) for c in keep), *own], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+class Segments:
+    """A block's segments by number, and documents composed of them."""
+
+    def __init__(self, held: list[list[pa.Array]]):
+        columns = [pa.concat_arrays([h[k] for h in held]) if held else pa.array([], pa.int64()) for k in range(4)]
+        order = np.argsort(columns[0].to_numpy())
+        self.groups = columns[3].take(pa.array(order)).to_pylist()
+        # of each segment: tokens of A and B, groups, best links, counts
+        n_groups = np.fromiter((g.count(";") + 1 for g in self.groups), np.int64, len(self.groups))
+        commas = np.fromiter((sum(x.index("|") and x[: x.index("|")].count(",") for x in g.split(";")) for g in self.groups), np.int64, len(self.groups))
+        every = np.fromiter((g.count(",") for g in self.groups), np.int64, len(self.groups))
+        self.sums = [n_groups + commas, n_groups + every - commas, n_groups, n_groups, columns[1].to_numpy()[order].astype(np.int64), columns[2].to_numpy()[order].astype(np.int64)]
+
+    def compose(self, packed: pa.Array) -> list[pa.Array]:
+        numbers = [unpacked_numbers(p) if p else np.zeros(0, np.int64) for p in packed.to_pylist()]
+        sums = [pa.array([int(s[n].sum()) for n in numbers], pa.int64()) for s in self.sums]
+        return [*sums, pa.array([";".join(map(self.groups.__getitem__, n.tolist())) for n in numbers], pa.string())]
 
 
 def align(docs: DataFrame, byte_file: str, model_file: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append n_a, n_b, n_groups, n_links, n_best, count_sum and groups (a1,a2|b1;a3|b2,b3: ids of A and B in order)."""
     kept = {c: f"kept_{k}" for k, c in enumerate(docs.columns if keep is None else keep) if c not in names(COMPOSED)}
     renamed = docs.select(F.col(text).alias("aligned_text"), *[F.col(c).alias(own) for c, own in kept.items()])
-    dealt = materialize(blocks(renamed, byte_file, model_file, "aligned_text", list(kept.values())), "blocks")
+    both = blocks(renamed, byte_file, model_file, "aligned_text", list(kept.values()))
+    dealt = materialize(both, "blocks", "kind")
     found = materialize(segments(dealt, byte_file, model_file), "segments")
+    release(dealt, "kind=segment")
     pairs = materialize(pair_counts(found), "pairs")
     out = composed(dealt, places(found, pairs), list(kept.values()))
     return out.select(*[F.col(own).alias(c) for c, own in kept.items()], *names(COMPOSED))

@@ -34,11 +34,11 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{_local_scratch[0]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to shared storage and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df as Parquet to shared storage, in folders by a column if one is named, and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/larder/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._larder_path = path
     return out
@@ -50,13 +50,13 @@ def holding(df: DataFrame, *tables: DataFrame) -> DataFrame:
     return df
 
 
-def release(df: DataFrame) -> None:
-    """Delete the tables that materialize() wrote of df and of what holding() gave it, once nothing reads them any more."""
+def release(df: DataFrame, folder: str = "") -> None:
+    """Delete the tables that materialize() wrote of df and of what holding() gave it, once nothing reads them any more; or one folder of df's."""
     for table_of in getattr(df, "_larder_tables", ()):
         release(table_of)
     if path := getattr(df, "_larder_path", None):
         spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}" if folder else path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -111,10 +112,17 @@ def test_smallest_tables(spark, sf):
 def test_each_segment_is_aligned_once(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     dealt = alignment.blocks(docs, *FILES, "text", ["doc_id"]).cache()
-    distinct = dealt.where("number IS NOT NULL").select("segment").distinct().count()
+    distinct = dealt.where("kind = 'segment'").select("segment").distinct().count()
     found = alignment.segments(dealt, *FILES).cache()
     assert found.count() == distinct
-    assert found.agg(F.sum("n")).first()[0] == dealt.agg(F.sum(F.size("numbers"))).first()[0]
+    cut = alignment.pair(*FILES).cut
+    assert found.agg(F.sum("n")).first()[0] == sum(len(cut(" " + r["text"])) for r in docs.where("text <> ''").collect())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 9), st.integers(65_530, 65_540), st.integers(0, 2**31 - 1), st.sampled_from([0xFFFF, 0xFFFFFFF, 0xFFFF0000])), max_size=30))
+def test_numbers_are_packed_without_loss(numbers):
+    assert alignment.unpacked_numbers(alignment.packed_numbers(np.array(numbers, np.int64))).tolist() == numbers
 
 
 @settings(max_examples=300, deadline=None)

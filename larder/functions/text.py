@@ -83,6 +83,14 @@ def _palatalised(word: Column) -> Column:
     )
 
 
+def stem(word: Column) -> Column:
+    """The folded stem of one lower-case word; null for a word of the stop list."""
+    out = word
+    for step in (_without_case, _without_possessive, _palatalised, fold):
+        out = step(out)
+    return F.when(~word.isin(STOPWORDS), out)
+
+
 def stems(text: Column) -> Column:
     """Folded Czech stems: the stop list and the stemmer see the diacritics, folding comes last."""
     words = F.filter(tokens(text), lambda x: ~x.isin(STOPWORDS))
@@ -135,6 +143,12 @@ def within_edits(term: Column, word: Column) -> Column:
     return (F.abs(F.char_length(term) - F.char_length(word)) <= k) & (plain | ((k >= 1) & swapped) | twice)
 
 
+def edits(term: Column, word: Column) -> Column:
+    """0, 1 or 2 edits, for words within two: the swap of two neighbours is one edit."""
+    one = (F.levenshtein(term, word) <= 1) | ((F.char_length(term) == F.char_length(word)) & F.exists(_swaps(term), lambda t: t == word))
+    return F.when(term == word, 0).when(one, 1).otherwise(2)
+
+
 def closeness(term: Column, words: Column) -> Column:
     """1 for an exact word, less the more edits the nearest allowed word needs, 0 without one."""
     near = F.filter(words, lambda w: within_edits(term, w))

@@ -1,10 +1,13 @@
 """Faceted search over analysed documents.
 
 A document is found if any text clause matches: all words within typing tolerance in one field, all
-words but a last one that may be a beginning, a SKU beginning, or exact codes lifted from the text.
+words but a last one that may be a beginning, a SKU beginning, or exact codes lifted from the text. With a
+text index (text_index.py) a text's matches, scores and highlights come from its postings, and documents
+needn't be analysed; without one, analysed documents are scanned, and scores order clauses by their weights
+and closeness only.
 Price narrows hits and facets alike; brand, category and availability narrow the hits, and each
-facet is counted under the other dimensions' selections. Scores order clauses by their weights and
-closeness; they are not comparable with those of other engines. Ties go by SKU.
+facet is counted under the other dimensions' selections. Scores are not comparable with those of other
+engines. Ties go by SKU.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from larder.functions.codes import EAN_INSIDE, SKU_INSIDE, SKU_PREFIX
 from larder.functions.text import closeness, fold, folded_words, marked, html_escaped, stems, within_edits
 from larder.operators.facets import facet_counts, selections
+from larder.operators.text_index import TextIndex
 
 MAX_WINDOW = 10_000
 NAME_WEIGHT, PREFIX_WEIGHT, SKU_PREFIX_WEIGHT, CODE_WEIGHT = 3.0, 1.5, 20.0, 10.0
@@ -161,8 +165,8 @@ def highlight(clauses: TextClauses) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"][0].isNotNull()))
 
 
-def base(documents: DataFrame, request: SearchRequest) -> DataFrame:
-    """The analysed documents that the query itself finds, with their score; selections come later."""
+def base(documents: DataFrame, request: SearchRequest, index: TextIndex | None = None) -> DataFrame:
+    """The documents that the query itself finds, with their score; selections come later."""
     found = documents.where("visible")
     if request.price_from is not None:
         found = found.where(F.col("price") >= request.price_from)
@@ -170,6 +174,8 @@ def base(documents: DataFrame, request: SearchRequest) -> DataFrame:
         found = found.where(F.col("price") <= request.price_to)
     if request.words is None:
         return found.withColumn("score", F.lit(0.0))
+    if index is not None:
+        return found.join(index.matches(request.words), "id")
     clauses = text_clauses(request.words)
     score = sum(clauses.scores[1:], clauses.scores[0])
     return found.where(_any(clauses.matches)).withColumn("score", score)
@@ -185,16 +191,21 @@ def order(request: SearchRequest) -> list[Column]:
     return [first, F.asc("sku")]
 
 
-def hits(documents: DataFrame, request: SearchRequest) -> DataFrame:
+def hits(documents: DataFrame, request: SearchRequest, index: TextIndex | None = None) -> DataFrame:
     """The page's hits in order: (place, id, sku, name, brand, category_path, price, stock_quantity, ean, updated_at, score, highlight)."""
     offset = request.offset
-    page = selected(base(documents, request), request).orderBy(*order(request)).offset(offset).limit(request.size)
-    marks = highlight(text_clauses(request.words)) if request.words else F.create_map().cast("map<string,array<string>>")
+    page = selected(base(documents, request, index), request).orderBy(*order(request)).offset(offset).limit(request.size)
+    if index is not None and request.words:
+        # the order is lost in the join
+        page = page.join(index.highlights(request.words, page), "id").orderBy(*order(request))
+        marks = F.col("highlight")
+    else:
+        marks = highlight(text_clauses(request.words)) if request.words else F.create_map().cast("map<string,array<string>>")
     return page.select("id", "sku", "name", "brand", F.element_at("category.path", -1).alias("category_path"), "price", "stock_quantity", "ean", F.col("product_updated_at").alias("updated_at"), "score", marks.alias("highlight"))
 
 
-def total(documents: DataFrame, request: SearchRequest) -> int:
-    return selected(base(documents, request), request).count()
+def total(documents: DataFrame, request: SearchRequest, index: TextIndex | None = None) -> int:
+    return selected(base(documents, request, index), request).count()
 
 
 @dataclass
@@ -212,14 +223,14 @@ class SearchResult:
         return json.dumps({"total": self.total, "elapsed_milliseconds": self.elapsed_milliseconds, "hits": rows, "facets": facets}, default=plain, ensure_ascii=False)
 
 
-def search(documents: DataFrame | None, request: SearchRequest) -> SearchResult:
+def search(documents: DataFrame | None, request: SearchRequest, index: TextIndex | None = None) -> SearchResult:
     """Run the whole request; None stands for an index that doesn't exist."""
     if documents is None:
         raise SearchUnavailable("there is no index")
     began = time.monotonic_ns()
-    rows = hits(documents, request).collect()
-    count = total(documents, request)
+    rows = hits(documents, request, index).collect()
+    count = total(documents, request, index)
     facets: dict[str, list[tuple[str, int]]] = {"brand": [], "category": [], "availability": []}
-    for row in facet_counts(base(documents, request), request.brands, request.category, request.availability).orderBy("dimension", "place").collect():
+    for row in facet_counts(base(documents, request, index), request.brands, request.category, request.availability).orderBy("dimension", "place").collect():
         facets[row["dimension"]].append((row["value"], row["n"]))
     return SearchResult(count, (time.monotonic_ns() - began) // 1_000_000, rows, facets)

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from larder.functions import text
 
+#: What the text queries ask for: two words of the test documents, one misspelt; words as they might be typed.
+DOCUMENT_WORDS = "thtoin eriner"
+TYPED = ["a", "th", "teh", "fro", "hation", "ertoin", "thaneble", "inging", "enheti", "thanedbleinre"]
+
 _EAN = "'859' || lpad(CAST(p_partkey AS VARCHAR), 9, '0')"
 PRODUCT = f"""
     product AS (
@@ -117,7 +121,8 @@ def _folded(word: str) -> str:
     return out
 
 
-def _stems() -> str:
+def _stem_list(value: str) -> str:
+    """The stems of a text in order."""
     q = lambda words: "|".join(words)
     stop = ", ".join(f"'{w}'" for w in text.STOPWORDS)
     steps = [
@@ -128,10 +133,35 @@ def _stems() -> str:
         " WHEN regexp_matches(x, 'e.$') THEN regexp_replace(x, 'e(.)$', '\\1') WHEN regexp_matches(x, '.ů.$') THEN regexp_replace(x, 'ů(.)$', 'o\\1') ELSE x END",
         _folded("x"),
     ]
-    out = f"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '' AND x NOT IN ({stop}))"
+    out = f"list_filter(string_split_regex(lower(coalesce({value}, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '' AND x NOT IN ({stop}))"
     for step in steps:
         out = f"list_transform({out}, lambda x: {step})"
-    return f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n_stems, md5(array_to_string(s, ' ')) AS stems_md5 FROM (SELECT doc_id, {out} AS s FROM documents)"
+    return out
+
+
+def _stems() -> str:
+    return f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n_stems, md5(array_to_string(s, ' ')) AS stems_md5 FROM (SELECT doc_id, {_stem_list('text')} AS s FROM documents)"
+
+
+def _clause(fields: str, words: str) -> str:
+    """Tables up to sides(id, field, value): what all stems of the words, within their edits, score in a field; fields: SQL for (id, field, s)."""
+    return f"""
+        f AS ({fields}),
+        l AS (SELECT id, field, s, len(s) AS size FROM f WHERE len(s) > 0),
+        tf AS (SELECT id, field, term, count(*) AS n FROM (SELECT id, field, unnest(s) AS term FROM l) GROUP BY ALL),
+        df AS (SELECT field, term, count(*) AS has FROM tf GROUP BY ALL),
+        q AS (SELECT unnest({_stem_list(f"'{words}'")}) AS query),
+        e AS (
+            SELECT field, query, term, has, damerau_levenshtein(query, term) AS edits FROM q, df
+            WHERE abs(length(query) - length(term)) <= 2
+              AND damerau_levenshtein(query, term) <= CASE WHEN length(query) < 3 THEN 0 WHEN length(query) <= 5 THEN 1 ELSE 2 END),
+        h AS (SELECT field, query, max(has) AS has FROM e GROUP BY ALL),
+        m AS (SELECT field, CAST(count(*) AS DOUBLE) AS docs, sum(size) / CAST(count(*) AS DOUBLE) AS mean FROM l GROUP BY ALL),
+        v AS (
+            SELECT id, field, query, max((1 - edits / least(length(query), length(term)))
+                   * ln(1 + (docs - h.has + 0.5::DOUBLE) / (h.has + 0.5::DOUBLE)) * n / (n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))) AS value
+            FROM tf JOIN e USING (field, term) JOIN h USING (field, query) JOIN l USING (id, field) JOIN m USING (field) GROUP BY ALL),
+        sides AS (SELECT id, field, sum(value) AS value FROM v GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM q))"""
 
 
 def _page(where: str = "TRUE", order: str = "sku", limit: int = 24, offset: int = 0) -> str:
@@ -197,6 +227,31 @@ ORACLE_SQL = {
         WHERE len(list_filter(string_split(name, ' '), lambda w: damerau_levenshtein('wigdet', w) <= 2)) > 0
           AND len(list_filter(string_split(name, ' '), lambda w: damerau_levenshtein('colt', w) <= 1)) > 0""",
     "stem_analyzer": _stems(),
+    "search_text": f"""
+        WITH {PRODUCT}, {_clause(f"SELECT id, 'name' AS field, {_stem_list('name')} AS s FROM product UNION ALL SELECT id, 'description', {_stem_list('description')} FROM product", "smal widget")}
+        SELECT id, sku, round(max(CASE field WHEN 'name' THEN 3 ELSE 1 END * value), 6) AS score
+        FROM sides JOIN product USING (id) WHERE visible GROUP BY ALL""",
+    "document_scores": f"""
+        WITH {_clause(f"SELECT doc_id AS id, 'description' AS field, {_stem_list('text')} AS s FROM documents", DOCUMENT_WORDS)}
+        SELECT id, round(value, 6) AS score FROM sides""",
+    "fuzzy_terms": f"""
+        WITH t AS (SELECT DISTINCT unnest({_stem_list('text')}) AS term FROM documents), q AS (SELECT unnest({TYPED}) AS query)
+        SELECT query, term, CAST(damerau_levenshtein(query, term) AS INTEGER) AS edits FROM q, t
+        WHERE abs(length(query) - length(term)) <= 2
+          AND damerau_levenshtein(query, term) <= CASE WHEN length(query) < 3 THEN 0 WHEN length(query) <= 5 THEN 1 ELSE 2 END""",
+    "text_index_terms": f"""
+        WITH {PRODUCT}, f AS (
+            SELECT id, 'name' AS field, unnest({_stem_list('name')}) AS term FROM product
+            UNION ALL SELECT id, 'description', unnest({_stem_list('description')}) FROM product
+            UNION ALL SELECT id, 'name.words', unnest(string_split(lower(name), ' ')) FROM product
+            UNION ALL SELECT id, 'sku', lower(sku) FROM product UNION ALL SELECT id, 'ean', ean FROM product)
+        SELECT field, term, count(DISTINCT id) AS documents, count(*) AS occurrences FROM f GROUP BY ALL""",
+    "highlights": f"""
+        WITH {PRODUCT}, p AS (SELECT *, string_split(name, ' ') AS w FROM product),
+        r AS (SELECT ln(1 + (count(*) - count(*) FILTER (list_contains(w, 'small')) + 0.5::DOUBLE) / (count(*) FILTER (list_contains(w, 'small')) + 0.5::DOUBLE)) AS rarity FROM p)
+        SELECT sku, name, '{{"name":["<mark>small</mark> <mark>' || w[2] || '</mark>"],"description":["<mark>small</mark> ' || substr(description, 7) || '"]}}' AS highlight,
+               round(1.5::DOUBLE * (rarity / 2.2::DOUBLE + 1), 6) AS score
+        FROM p, r WHERE visible AND w[1] = 'small' AND starts_with(w[2], 'wid') ORDER BY sku LIMIT 100""",
     "facet_brand": f"WITH {PRODUCT} {_facet('brand', 'SELECT brand AS value FROM product WHERE visible')}",
     "facet_category_root": f"WITH {PRODUCT} {_facet('category', 'SELECT l1 AS value FROM product WHERE visible')}",
     "facet_category_child": f"WITH {PRODUCT} {_facet('category', 'SELECT l2 AS value FROM product WHERE visible AND l1 = ' + chr(39) + 'economy' + chr(39))}",

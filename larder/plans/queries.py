@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from larder.functions import text
 from larder.operators import drain as draining
-from larder.operators import drift, facets, generators, index_store, layout_bench, replenishment, search
+from larder.operators import drift, facets, generators, index_store, layout_bench, replenishment, search, text_index
 from larder.operators import outbox as queue
 from larder.operators.documents import analysed, ancestors, build_documents
 from larder.operators.search import SearchRequest
+from larder.operators.store import Change, Store
+from larder.plans.oracle import DOCUMENT_WORDS, TYPED
+from larder.session import shared_folder
 from larder.sources import catalog
 
 AS_OF = catalog.EPOCH
@@ -88,9 +91,53 @@ def stem_analyzer(spark, sf_dir):
     return docs.select("doc_id", F.size("stems").cast("bigint").alias("n_stems"), F.md5(F.array_join("stems", " ")).alias("stems_md5"))
 
 
+def _indexed(spark, docs, tables=text_index.TABLES):
+    """A text index of the documents in a store of its own."""
+    store = Store(spark, shared_folder(spark, "text"), tables)
+    lease = store.take("query", 3600)
+    index, change = text_index.TextIndex(store), Change(store, lease)
+    index.fill(change, docs)
+    change.commit()
+    return index
+
+
+def _corpus(spark, sf_dir):
+    """The test documents' texts as descriptions."""
+    none = F.lit(None).cast("string")
+    return catalog.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("name"), F.col("text").alias("description"), none.alias("sku"), none.alias("ean"))
+
+
 def highlights(spark, sf_dir):
-    found = search.hits(_docs(spark, sf_dir), SearchRequest(text="small wid", size=100))
-    return found.select("sku", "name", F.to_json("highlight").alias("highlight"), "score")
+    docs = documents(spark, sf_dir)
+    found = search.hits(docs, SearchRequest(text="small wid", size=100), _indexed(spark, docs))
+    return found.select("sku", "name", F.to_json("highlight").alias("highlight"), F.round("score", 6).alias("score"))
+
+
+def search_text(spark, sf_dir):
+    """A misspelt word and one of another form, over the whole catalogue."""
+    docs = documents(spark, sf_dir)
+    found = search.base(docs, SearchRequest(text="smal widget"), _indexed(spark, docs))
+    return found.select("id", "sku", F.round("score", 6).alias("score"))
+
+
+def text_index_terms(spark, sf_dir):
+    return _indexed(spark, documents(spark, sf_dir)).store.read("terms").select("field", "term", "documents", "occurrences")
+
+
+def document_scores(spark, sf_dir):
+    """Documents that hold two words, one misspelt, with their scores."""
+    index = _indexed(spark, _corpus(spark, sf_dir))
+    return index.matches(DOCUMENT_WORDS).select("id", F.round("score", 6).alias("score"))
+
+
+def fuzzy_terms(spark, sf_dir):
+    """The stems of the documents within typing tolerance of the products' words."""
+    store = Store(spark, shared_folder(spark, "neighbours"), text_index.TABLES)
+    change = Change(store, store.take("query", 3600))
+    stems = text_index.postings(_corpus(spark, sf_dir)).where(F.col("field") == text_index.DESCRIPTION).select("term").distinct()
+    change.replace("neighbours", text_index.neighbours(stems))
+    change.commit()
+    return text_index.TextIndex(store).expansions(TYPED)
 
 
 def sales_window_totals(spark, sf_dir):
@@ -242,10 +289,6 @@ def store_stock_crc32(spark, sf_dir):
     return generators.stock(catalog.product(spark, sf_dir), 3, 200)
 
 
-def catalogue_generated(spark, sf_dir):
-    return generators.catalogue(spark, 1000, ["naradi/elektro/vrtacky", "naradi/rucni/kladiva", "zahrada/zavlaha/hadice"])
-
-
 def feed_marks(spark, sf_dir):
     """What a supplier's file leaves in the queue."""
     products = catalog.product(spark, sf_dir)
@@ -279,6 +322,10 @@ QUERIES = {
     "search_fuzzy": search_fuzzy,
     "stem_analyzer": stem_analyzer,
     "highlights": highlights,
+    "search_text": search_text,
+    "text_index_terms": text_index_terms,
+    "document_scores": document_scores,
+    "fuzzy_terms": fuzzy_terms,
     "facet_brand": lambda s, d: _facets(s, d, "brand"),
     "facet_category_root": lambda s, d: _facets(s, d, "category"),
     "facet_category_child": lambda s, d: _facets(s, d, "category", category="economy"),
@@ -304,5 +351,4 @@ QUERIES = {
     "feed_marks": feed_marks,
     "sales_history_crc32": sales_history_crc32,
     "store_stock_crc32": store_stock_crc32,
-    "catalogue_generated": catalogue_generated,
 }

@@ -1,110 +1,13 @@
-"""Versioned snapshots of the documents behind one pointer, swapped by an atomic rename.
-
-A rebuild writes a new version that nobody reads, catches up with what changed meanwhile, moves the
-pointer, catches up once more, and then drops all versions but the new and the superseded one. Paths
-are Hadoop paths, so any store with an atomic rename of files will do.
-"""
+"""What a catch-up does to the indexed documents: changed ones in, deleted ones out."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from datetime import datetime
-
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder import schemas
 from larder.operators.documents import FIELDS
 
 
-class WriterBusy(RuntimeError):
-    """Another writer is at work."""
-
-
-class IndexStore:
-    def __init__(self, spark: SparkSession, root: str, alias: str = "products"):
-        self.spark, self.root, self.alias = spark, root.rstrip("/"), alias
-        jvm = spark._jvm.org.apache.hadoop.fs
-        self._path = jvm.Path
-        base = self._path(self.root)
-        self._fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._context = jvm.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
-        self._options = jvm.Options.Rename
-        self._fs.mkdirs(base)
-
-    @contextmanager
-    def lock(self) -> Iterator[None]:
-        """Keep other writers out: the file system creates the lock's file for one of them only."""
-        path = self._path(f"{self.root}/writer.lock")
-        try:
-            self._fs.create(path, False).close()
-        except Py4JJavaError as taken:
-            if not self._fs.exists(path):
-                raise
-            raise WriterBusy(f"another writer holds {path}; after a crash, delete that file") from taken
-        try:
-            yield
-        finally:
-            self._fs.delete(path, False)
-
-    def path(self, version: int) -> str:
-        return f"{self.root}/{self.alias}_v{version}"
-
-    def versions(self) -> list[int]:
-        """All versions, orphans of failed rebuilds too."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        return sorted(int(m[1]) for m in (re.fullmatch(re.escape(self.alias) + r"_v(\d+)", n) for n in names) if m)
-
-    def next_version(self) -> int:
-        return max(self.versions(), default=0) + 1
-
-    def current(self) -> int | None:
-        pointer = self._path(f"{self.root}/{self.alias}.pointer")
-        if not self._fs.exists(pointer):
-            return None
-        stream = self._fs.open(pointer)
-        try:
-            return int(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def switch(self, version: int) -> None:
-        """Point readers at the version, by renaming a finished pointer over the old one."""
-        fresh, pointer = self._path(f"{self.root}/.{self.alias}.pointer.new"), self._path(f"{self.root}/{self.alias}.pointer")
-        stream = self._fs.create(fresh, True)
-        stream.write(bytearray(str(version).encode()))
-        stream.close()
-        overwrite = self.spark.sparkContext._gateway.new_array(self._options, 1)
-        overwrite[0] = self._options.OVERWRITE
-        self._context.rename(fresh, pointer, overwrite)
-
-    def write(self, version: int, documents: DataFrame) -> None:
-        """Write a version; a failed task fails the job, and the pointer still says the old one."""
-        documents.select(*FIELDS).write.mode("overwrite").parquet(self.path(version))
-
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """A version's documents, the current one's by default; None where there is none."""
-        version = self.current() if version is None else version
-        return None if version is None else self.spark.read.parquet(self.path(version))
-
-    def replace(self, documents: DataFrame) -> int:
-        """Write documents as the next version and switch to it."""
-        version = self.next_version()
-        self.write(version, documents)
-        self.switch(version)
-        return version
-
-    def keep_only(self, *versions: int | None) -> list[int]:
-        """Drop all other versions; returns them."""
-        gone = [v for v in self.versions() if v not in versions]
-        for v in gone:
-            self._fs.delete(self._path(self.path(v)), True)
-        return gone
-
-
 def caught_up(index: DataFrame, changed: DataFrame, tombstones: DataFrame) -> DataFrame:
     """The index with changed documents in place of its own, without the deleted ids."""
     fresh = changed.select(*FIELDS)
@@ -115,29 +18,3 @@ def caught_up(index: DataFrame, changed: DataFrame, tombstones: DataFrame) -> Da
 def deleted_count(index: DataFrame, tombstones: DataFrame) -> DataFrame:
     """One row: documents that the tombstones really remove; ids that the index lacks aren't counted."""
     return index.join(tombstones.select("id"), "id", "left_semi").agg(F.count("*").alias("deleted"))
-
-
-def rebuild(store: IndexStore, documents: Callable[[], DataFrame], changed_since: Callable[[datetime], DataFrame], deleted_since: Callable[[datetime], DataFrame], now: Callable[[], datetime], declared=None) -> int:
-    """Build and switch to a new version; the callables read the products as they are when called. Returns the version.
-
-    The first catch-up covers what changed since before the fill, the second what changed since the
-    first began. A failure before the switch leaves the old version in place and an orphan behind,
-    which the next rebuild drops.
-    """
-    superseded = store.current()
-    before_fill = now()
-    version = store.next_version()
-    fill = documents()
-    store.write(version, schemas.assert_schema(fill, declared) if declared is not None else fill)
-    before_catch_up = now()
-    final = version + 1
-    store.write(final, caught_up(store.read(version), changed_since(before_fill), deleted_since(before_fill)))
-    store.switch(final)
-    late, gone = changed_since(before_catch_up), deleted_since(before_catch_up)
-    if not late.isEmpty() or not gone.isEmpty():
-        after = final + 1
-        store.write(after, caught_up(store.read(final), late, gone))
-        store.switch(after)
-        final = after
-    store.keep_only(final, superseded)
-    return final

@@ -1,39 +1,20 @@
-"""The change queue as a stream: marks are folded into the stored queue, then drained batch by batch.
+"""The change queue as a stream: marks are folded into the store's queue, then drained batch by batch.
 
-One streaming query a checkpoint is the queue's only writer. A batch that is run again after a
-failure does no harm: marks merge to the same row, and the drain looks at the products' present state.
+A batch that is run again after a failure does no harm: marks merge to the same row, and the drain looks at
+the products' present state. The stream waits for other writers, for marks must not be lost.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators import drain as draining
+from larder.operators import maintenance
 from larder.operators import outbox as queue
-from larder.operators.index_store import IndexStore
-
-
-class StoredQueue:
-    """Queue snapshots by version, behind a pointer like the index's."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.schema = spark, schema
-        self.store = IndexStore(spark, root, "outbox")
-
-    def read(self) -> DataFrame:
-        at = self.store.current()
-        return self.spark.createDataFrame([], self.schema) if at is None else self.spark.read.parquet(self.store.path(at))
-
-    def write(self, rows: DataFrame) -> None:
-        at = self.store.next_version()
-        rows.write.mode("overwrite").parquet(self.store.path(at))
-        before = self.store.current()
-        self.store.switch(at)
-        self.store.keep_only(at, before)
+from larder.operators.store import Change, Store
 
 
 def changes(spark: SparkSession, folder: str, schema: str, per_batch: int | None = None) -> DataFrame:
@@ -44,32 +25,19 @@ def changes(spark: SparkSession, folder: str, schema: str, per_batch: int | None
     return reader.parquet(folder)
 
 
-def maintain(stream: DataFrame, stored: StoredQueue, index: IndexStore, documents: Callable[[], DataFrame], checkpoint: str, index_name: str, limit: int = queue.DRAIN_LIMIT, on_result: Callable[[draining.DrainResult], None] | None = None, runs: str | None = None) -> StreamingQuery:
-    """Fold each micro-batch into the queue and drain it until a batch leaves nothing further to do.
-
-    Only one writer drains an index at a time. Each batch is appended to the run log in the folder runs.
-    """
+def maintain(stream: DataFrame, store: Store, documents: Callable[[], DataFrame], checkpoint: str, index_name: str, owner: str = "stream", limit: int = queue.DRAIN_LIMIT, on_result: Callable[[draining.DrainResult], None] | None = None, patience: float = 3600.0) -> StreamingQuery:
+    """Fold each micro-batch into the queue and drain it until a batch leaves nothing further to do."""
 
     def batch(marks: DataFrame, _: int) -> None:
-        with index.lock():
-            drain_all(marks)
-
-    def drain_all(marks: DataFrame) -> None:
-        stored.write(queue.enqueue(stored.read(), marks))
-        while True:
-            result, rest, now = draining.drain(stored.read(), documents(), index.read(), index_name, limit)
-            if result == draining.DrainResult():
-                return
-            superseded = index.current()
-            version = index.replace(now)
-            stored.write(rest)  # still reads the superseded version
-            index.keep_only(version, superseded)
-            if runs:
-                draining.run_row(stored.spark, result, dt.datetime.now(dt.UTC)).write.mode("append").parquet(runs)
-            if on_result:
-                on_result(result)
-            draining.check_refused(result)
-            if not result.queued or result.still_pending == result.taken:
-                return
+        lease = maintenance.wait_for_lease(store, owner, patience)
+        try:
+            change = Change(store, lease)
+            maintenance.enqueue(store, change, marks)
+            change.commit()
+            for result in maintenance._drain(store, lease, documents, index_name, limit):
+                if on_result:
+                    on_result(result)
+        finally:
+            store.release(lease)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import text
-from larder.operators import documents, drain, generators, index_store, search
+from larder.operators import documents, drain, generators, search
 from larder.sources import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -88,14 +88,6 @@ def test_a_batch_of_absent_deletions_is_a_run_of_its_own(spark):
     assert drain.latest_run(log.limit(0)).collect() == []
 
 
-def test_one_writer_at_a_time(spark, tmp_path):
-    store, other = (index_store.IndexStore(spark, f"file://{tmp_path}") for _ in range(2))
-    with store.lock(), pytest.raises(index_store.WriterBusy), other.lock():
-        pass
-    with other.lock():
-        pass
-
-
 def test_hydration_by_ids(spark):
     products = spark.createDataFrame([(1, 10, 100, "a"), (2, 11, 100, "b"), (3, 10, 999, "c")], "id int, brand_id int, category_id int, sku string")
     brands = spark.createDataFrame([(10, "X"), (11, "Y")], "id int, name string")

@@ -6,9 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder import schemas
-from larder.operators import drain, drift, index_store, outbox
+from larder.operators import drain, drift, outbox
 from larder.operators.documents import build_documents
-from larder.streaming import queue as streaming
 
 T = dt.datetime(2026, 9, 30, 12, 0, 0, 1000)
 MS = dt.timedelta(milliseconds=1)
@@ -104,32 +103,6 @@ def test_tombstones(spark):
     assert sorted(outbox.tombstones(stored, more).collect()) == [("a", T + MS), ("b", T)]
 
 
-def test_versions_pointer_and_retention(spark, tmp_path):
-    store = index_store.IndexStore(spark, f"file://{tmp_path}", "products")
-    assert store.current() is None and store.read() is None and store.next_version() == 1
-    for v in (3, 7, 8):
-        store.write(v, docs(spark, a=v))
-    store.switch(7)
-    assert (store.current(), store.next_version()) == (7, 9)
-    assert store.keep_only(9, 7) == [3, 8] and store.versions() == [7]
-
-
-def test_rebuild_catches_up(spark, tmp_path):
-    store = index_store.IndexStore(spark, f"file://{tmp_path}", "products")
-    store.replace(docs(spark, old=1))
-    calls = []
-
-    def changed(since):
-        calls.append(since)
-        return docs(spark, a=9) if len(calls) == 1 else docs(spark, b=8)
-
-    gone = lambda since: spark.createDataFrame([("c",)], "id string")
-    clock = iter([T, T + MS])
-    version = index_store.rebuild(store, lambda: docs(spark, a=1, b=1, c=1), changed, gone, lambda: next(clock))
-    assert {r["id"]: float(r["price"]) for r in store.read().collect()} == {"a": 9.0, "b": 8.0}
-    assert calls == [T, T + MS] and store.current() == version and store.versions() == [1, version]
-
-
 def test_strict_schema(spark):
     d = docs(spark, a=1)
     assert schemas.assert_schema(d, schemas.DOCUMENT).columns == schemas.DOCUMENT.names
@@ -145,15 +118,3 @@ def test_drift(spark):
     assert drift.surplus(docs(spark, a=1), docs(spark, a=1, x=1)).first()[0] == 1
     assert drift.surplus(now, None).first()[0] == 0
     assert drift.report(drift.drifted(now, index)) == (["b", "c"], 2)
-
-
-def test_stream_drains_the_queue(spark, tmp_path):
-    marks(spark, ("a", 1, "write", T), ("a", 2, "write", T), ("b", 4, "delete", T)).write.parquet(str(tmp_path / "in"))
-    index = index_store.IndexStore(spark, f"file://{tmp_path}/index", "products")
-    index.replace(docs(spark, a=1, b=1))
-    stored = streaming.StoredQueue(spark, f"file://{tmp_path}/queue", "index_name string, product_id string, scope_mask int, operation string, marked_at timestamp")
-    results = []
-    stream = streaming.changes(spark, str(tmp_path / "in"), EVENT)
-    streaming.maintain(stream, stored, index, lambda: docs(spark, a=7), str(tmp_path / "cp"), "products", on_result=results.append).awaitTermination()
-    assert {r["id"]: float(r["price"]) for r in index.read().collect()} == {"a": 7.0}
-    assert stored.read().count() == 0 and [(r.written, r.deleted) for r in results] == [(1, 1)]

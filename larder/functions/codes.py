@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The forms of codes.
 SKU_PREFIX = re.compile(r"[A-Za-z]{3}-[A-Za-z0-9]*")
 SKU_INSIDE = re.compile(r"(?<![A-Za-z])[A-Za-z]{3}-[A-Za-z0-9]+")
 EAN_INSIDE = re.compile(r"(?<!\d)\d{13}(?!\d)")
@@ -20,20 +21,6 @@ def ean13(number: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
-def sku(brand: Column, number: Column) -> Column:
-    return F.concat(F.upper(F.substring(brand, 1, 3)), F.lit("-"), F.lpad(number.cast("string"), 7, "0"))
-
-
-def weighted(draw: Column, weights: dict[str, int]) -> Column:
-    """The key whose share of the cumulative weights holds the draw modulo their sum."""
-    at, picked, total = 0, None, sum(weights.values())
-    for key, weight in weights.items():
-        at += weight
-        below = draw % total < at
-        picked = F.when(below, key) if picked is None else picked.when(below, key)
-    return picked
-
-
 def strict_integer(value: object) -> int:
     if isinstance(value, int) and not isinstance(value, bool):
         return value
@@ -42,18 +29,6 @@ def strict_integer(value: object) -> int:
     raise ValueError(f"{value!r} isn't an integer")
 
 
-def strict_float(value: object) -> float:
-    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
-        raise ValueError(f"{value!r} isn't a number")
-    return float(value)
-
-
-def strict_string(value: object) -> str:
-    if isinstance(value, (str, int, float, bool)):
-        return str(value)
-    raise ValueError(f"{value!r} isn't a scalar")
-
-
 def strict_date(text: str) -> dt.date:
     """YYYY-MM-DD that names a real day and is written in full."""
     if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
@@ -63,7 +38,3 @@ def strict_date(text: str) -> dt.date:
 
 def two_decimals(number: Column) -> Column:
     return F.format_string("%.2f", number)
-
-
-def iso_microseconds(moment: Column) -> Column:
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")

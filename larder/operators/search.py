@@ -26,6 +26,7 @@ from larder.functions.text import closeness, fold, folded_words, marked, html_es
 from larder.operators.facets import facet_counts, selections
 from larder.operators.text_index import TextIndex
 
+# The result window, the clauses' weights, the orders and availabilities of a request.
 MAX_WINDOW = 10_000
 NAME_WEIGHT, PREFIX_WEIGHT, SKU_PREFIX_WEIGHT, CODE_WEIGHT = 3.0, 1.5, 20.0, 10.0
 SORTS, AVAILABILITIES = ("relevance", "price_asc", "price_desc"), ("in_stock", "out_of_stock")

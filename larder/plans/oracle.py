@@ -6,7 +6,7 @@ from larder.functions import text
 
 #: What the text queries ask for: two words of the test documents, one misspelt; words as they might be typed.
 DOCUMENT_WORDS = "thtoin eriner"
-TYPED = ["a", "th", "teh", "fro", "hation", "ertoin", "thaneble", "inging", "enheti", "thanedbleinre"]
+TYPED = ["a", "th", "teh", "fro", "hation", "ertoin", "inging", "enheti", "thanedbleinre"]
 
 _EAN = "'859' || lpad(CAST(p_partkey AS VARCHAR), 9, '0')"
 PRODUCT = f"""
@@ -174,6 +174,11 @@ def _all(where: str, columns: str = SCORED) -> str:
 
 _hash = lambda salt: f"((id * 7919 + {salt} * 104729) % 100003)"
 
+DRAINED = f"""
+        WITH {PRODUCT}, {EVENTS}, {INDEX}, {PLAN}
+        SELECT id, name, price, stock_quantity FROM idx WHERE id NOT IN (SELECT product_id FROM plan)
+        UNION ALL SELECT product_id, name, price, stock_quantity FROM plan WHERE action <> 'delete'"""
+
 ORACLE_SQL = {
     "replenishment_suggestions": f"""
         WITH {PRODUCT}, {SALES}, {STOCK}, t AS ({totals()}),
@@ -276,10 +281,18 @@ ORACLE_SQL = {
         WITH {PRODUCT}, {EVENTS}, {INDEX}, {PLAN}
         SELECT count(*) FILTER (outcome IN ('created', 'updated')) AS written, count(*) FILTER (outcome = 'noop') AS unchanged,
                count(*) FILTER (outcome = 'deleted') AS deleted, 0::BIGINT AS conflicts, 0::BIGINT AS failures FROM plan""",
-    "drained_index": f"""
-        WITH {PRODUCT}, {EVENTS}, {INDEX}, {PLAN}
-        SELECT id, name, price, stock_quantity FROM idx WHERE id NOT IN (SELECT product_id FROM plan)
-        UNION ALL SELECT product_id, name, price, stock_quantity FROM plan WHERE action <> 'delete'""",
+    "drained_index": DRAINED,
+    "drained_store": DRAINED,
+    "drain_outcome_counts_whole_queue": f"""
+        WITH {PRODUCT}, {EVENTS}, {INDEX}, {PLAN.replace('FROM o LEFT', 'FROM every o LEFT')}
+        SELECT count(*) FILTER (outcome IN ('created', 'updated')) AS written, count(*) FILTER (outcome = 'noop') AS unchanged,
+               count(*) FILTER (outcome = 'deleted') AS deleted, 0::BIGINT AS conflicts, 0::BIGINT AS failures FROM plan""",
+    "drained_index_whole_queue": DRAINED.replace('FROM o LEFT', 'FROM every o LEFT'),
+    "feed_marks": f"""
+        WITH {PRODUCT}
+        SELECT 'products' AS index_name, id AS product_id, CASE WHEN {_hash(307)} % 50 = 0 THEN 4 ELSE 3 END AS scope_mask,
+               CASE WHEN {_hash(307)} % 50 = 0 THEN 'delete' ELSE 'write' END AS operation, TIMESTAMP '2001-11-05' AS marked_at
+        FROM product WHERE id IN (SELECT l_partkey FROM lineitem)""",
     "changed_since": f"WITH {PRODUCT}, {CHANGED} SELECT id FROM changed",
     "tombstone_catchup": f"WITH {PRODUCT}, {CHANGED} SELECT id FROM gone",
     "reindex_result": f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import text
 from larder.operators import drain as draining
-from larder.operators import drift, facets, generators, index_store, layout_bench, replenishment, search, text_index
+from larder.operators import drift, facets, generators, index_store, layout_bench, maintenance, replenishment, search, text_index
 from larder.operators import outbox as queue
 from larder.operators.documents import analysed, ancestors, build_documents
 from larder.operators.search import SearchRequest
@@ -274,28 +274,53 @@ def recently_changed(spark, sf_dir):
     return catalog.recently_changed(catalog.product(spark, sf_dir), 50)
 
 
+def _hashed(salt: str):
+    salts = {"": 11, "price": 101, "stock": 211, "withdrawn": 307}
+    return (F.col("id") * 7919 + salts[salt] * 104_729) % 100_003
+
+
 def feed_apply(spark, sf_dir):
-    salts = {"": 11, "price": 101, "stock": 211}
-    hashed = lambda salt: (F.col("id") * 7919 + salts[salt] * 104_729) % 100_003
-    fed = generators.feed_changes(catalog.product(spark, sf_dir), "feed", FEED_AT, hashed)
+    fed = generators.feed_changes(catalog.product(spark, sf_dir), "feed", FEED_AT, _hashed)
     return fed.select("id", "price_in_minor_units", "stock_quantity", "updated_at")
 
 
 def sales_history_crc32(spark, sf_dir):
-    return generators.sales_history(catalog.product(spark, sf_dir), 3, 200, 60, AS_OF)
+    return generators.sales_history(catalog.product(spark, sf_dir), 3, None, 60, AS_OF)
 
 
 def store_stock_crc32(spark, sf_dir):
-    return generators.stock(catalog.product(spark, sf_dir), 3, 200)
+    return generators.stock(catalog.product(spark, sf_dir), 3, None)
 
 
 def feed_marks(spark, sf_dir):
-    """What a supplier's file leaves in the queue."""
-    products = catalog.product(spark, sf_dir)
-    _, marks, _ = generators.apply_feed(products, generators.feed_lines(spark, 2000, "feed", 1000), "feed", FEED_AT, catalog.INDEX, 50)
+    """What a supplier's file that names every ordered product leaves in the queue."""
+    lines = catalog.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"))
+    _, marks, _ = generators.apply_feed(catalog.product(spark, sf_dir), lines, "feed", FEED_AT, catalog.INDEX, 50, _hashed)
     return queue.fold(marks)
 
 
+def drain_outcome_counts_whole_queue(spark, sf_dir):
+    return draining.outcome_counts(draining.plan(_folded(spark, sf_dir), _present(spark, sf_dir), _index(spark, sf_dir)))
+
+
+def drained_index_whole_queue(spark, sf_dir):
+    planned = draining.plan(_folded(spark, sf_dir), _present(spark, sf_dir), _index(spark, sf_dir))
+    return draining.applied(_index(spark, sf_dir), planned).select("id", "name", F.col("price").cast("double").alias("price"), "stock_quantity")
+
+
+def drained_store(spark, sf_dir):
+    """The documents of a store after its queue was drained, batch by batch: the last day's marks, layers merged on read."""
+    store = maintenance.open_store(spark, shared_folder(spark, "store"))
+    lease = store.take("fill", 3600)
+    change = Change(store, lease)
+    change.replace("documents", _index(spark, sf_dir))
+    maintenance.enqueue(store, change, _last_day(spark, sf_dir).withColumn("seq", F.lit(0).cast("bigint")))
+    change.commit()
+    store.release(lease)
+    maintenance.drain_queue(store, "drain", lambda: _present(spark, sf_dir), catalog.INDEX)
+    return store.read("documents").select("id", "name", F.col("price").cast("double").alias("price"), "stock_quantity")
+
+
 QUERIES = {
     "replenishment_suggestions": replenishment_suggestions,
     "sales_window_totals": sales_window_totals,
@@ -339,6 +364,9 @@ QUERIES = {
     "drain_plan_whole_queue": drain_plan_whole_queue,
     "drain_outcome_counts": drain_outcome_counts,
     "drained_index": drained_index,
+    "drain_outcome_counts_whole_queue": drain_outcome_counts_whole_queue,
+    "drained_index_whole_queue": drained_index_whole_queue,
+    "drained_store": drained_store,
     "changed_since": changed_since,
     "tombstone_catchup": tombstone_catchup,
     "reindex_result": reindex_result,

@@ -1,4 +1,4 @@
-"""Edit distance and folding against plain ones, run log, lock, hydration, JSON, and generators of own tables."""
+"""Edit distance and folding against plain ones, run log, hydration, JSON."""
 
 import datetime as dt
 import json
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import text
-from larder.operators import documents, drain, generators, search
+from larder.operators import documents, drain, search
 from larder.sources import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -108,10 +108,3 @@ def test_a_result_as_json(spark):
     found = json.loads(search.search(docs, search.SearchRequest(text="small ring", size=3)).to_json())
     assert found["total"] >= len(found["hits"]) > 0 and {"brand", "category", "availability"} == set(found["facets"])
     assert found["hits"][0]["score"] > 0 and isinstance(found["hits"][0]["price"], float) and "<mark>" in found["hits"][0]["highlight"]["name"][0]
-
-
-def test_generated_catalogues_take_own_brands_and_prices(spark):
-    rows = generators.catalogue(spark, 400, ["a/b"], brands={"P": 1, "Q": 3}, prices=[(50, 20_000), (100, 30_000)]).collect()
-    assert {r["brand"] for r in rows} == {"P", "Q"} and all(10_000 <= r["price_in_minor_units"] <= 30_000 for r in rows)
-    assert sum(r["brand"] == "Q" for r in rows) > sum(r["brand"] == "P" for r in rows)
-    assert 0.3 < sum(r["price_in_minor_units"] < 20_000 for r in rows) / 400 < 0.7

@@ -209,3 +209,11 @@ def test_long_empty_and_null_texts(spark, tmp_path):
     assert index.store.read("lengths").where("field = 'name'").first()["documents"] == 1
     empty, _ = filled(spark, tmp_path / "empty", documents(spark, rows[:0]))
     assert empty.matches("slovo").collect() == []
+
+
+def test_fields_that_no_request_reads_are_reported(spark, shop, tmp_path):
+    from larder.operators.field_use import unused_fields
+
+    assert unused_fields(shop[1].store) == []
+    extra, _ = filled(spark, tmp_path, shop[0].withColumn("colour", F.lit("red")))
+    assert unused_fields(extra.store) == ["colour"]

@@ -52,6 +52,8 @@ SHARD_ROWS, SHARD_MEAN = 2048, 64
 VISITS = 1 << 20
 #: Hot shards, and classes, that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
+#: Nodes of candidate pairs that may be broadcast, with their ids and digests (56 bytes each, so 30 MB), lest texts be shuffled.
+CANDIDATE_ROWS = 1 << 19
 CHUNK = 1 << 16
 #: Rounds of nearest candidates; texts of a side of a cell of pairs compared by their shingles.
 ROUNDS, CELL = 2, 512
@@ -509,10 +511,14 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
             # every node of a pair has a nearest one
             nodes = materialize(nodes.drop("component").join(pairs.select(F.col("a").alias("node")), "node", "left_semi"), "candidate-nodes")
             known = nodes
-            near = docs.select("doc_id", text).join(broadcast_if_small(nodes.select(F.col("rep").alias("doc_id")).distinct(), BROADCAST_ROWS), "doc_id", "left_semi")
-            near = map_batches(near, hashed, "digest binary, hashes binary, tally binary", [])
-            near = near.join(broadcast_if_small(nodes.select("digest", "node"), BROADCAST_ROWS), "digest")
-            sets = materialize(near.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("tally").alias("tally")), "shingles")
+            wanted = broadcast_if_small(nodes.select(F.col("rep").alias("doc_id"), "node", F.col("digest").alias("node_digest")), CANDIDATE_ROWS)
+            near = docs.select("doc_id", text).join(wanted, "doc_id")
+            near = map_batches(near, hashed, "digest binary, hashes binary, tally binary", ["node", "node_digest"])
+            sets = materialize(near.where("digest = node_digest").select("node", "hashes", "tally"), "shingles")
+            if sets.count() > nodes.count():  # rows of one id and text
+                repeated = sets
+                sets = materialize(repeated.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("tally").alias("tally")), "shingles")
+                release(repeated)
             held += [known, sets]
         new = alike(pairs, sets.select("node", "hashes"), least)
         rep = known.select("node", "rep")

@@ -33,9 +33,17 @@ def filled(spark, root, docs):
     return index, lease
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_folders():
+    before, text_index.BUCKETS = text_index.BUCKETS, 4
+    yield
+    text_index.BUCKETS = before
+
+
 @pytest.fixture(scope="module")
 def shop(spark, tmp_path_factory):
-    index, _ = filled(spark, tmp_path_factory.mktemp("shop"), documents(spark, ROWS))
+    index, lease = filled(spark, tmp_path_factory.mktemp("shop"), documents(spark, ROWS))
+    index.store.release(lease)
     return index.store.read("documents"), index
 
 
@@ -211,9 +219,13 @@ def test_long_empty_and_null_texts(spark, tmp_path):
     assert empty.matches("slovo").collect() == []
 
 
-def test_fields_that_no_request_reads_are_reported(spark, shop, tmp_path):
+def test_fields_that_no_request_reads_are_reported(shop):
     from larder.operators.field_use import unused_fields
 
     assert unused_fields(shop[1].store) == []
-    extra, _ = filled(spark, tmp_path, shop[0].withColumn("colour", F.lit("red")))
-    assert unused_fields(extra.store) == ["colour"]
+    store = shop[1].store
+    lease = store.take("later", 60)
+    change = Change(store, lease)
+    change.replace("documents", shop[0].withColumn("colour", F.lit("red")))
+    change.commit()
+    assert unused_fields(store) == ["colour"]

@@ -5,7 +5,8 @@ with the least room that still holds them), nearly full bins are emitted, and un
 items of the next round, in fewer partitions, until one level holds them all or a task would hold
 more than MERGE_ITEMS of them. Bins carry their members, never more than the capacity.
 
-Null texts count as empty (their ids are the end id alone); repeated rows are packed as often as
+Null texts count as empty (their ids are the end id alone); texts over a sequence are cut into pieces,
+however long; items of equal length go by the hashes of their columns; repeated rows are packed as often as
 they occur; an empty table gives an empty one; other columns of the items are carried along.
 """
 

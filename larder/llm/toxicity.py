@@ -8,7 +8,8 @@ prior, most of the texts that have them would be toxic; a proximal step keeps th
 
 The fit takes at most MAX_POSITIVE toxic and MAX_UNLABELLED unlabelled training texts, those of the lowest
 id hashes; equal texts and near copies count once. Null texts count as empty and score by the bias; without positives
-every score is the prior; repeated rows score alike; an empty table gives an empty one.
+every score is the prior; texts of any length are scored whole; a score of exactly 0.5 counts as toxic in the
+query; repeated rows score alike; a column named score is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations

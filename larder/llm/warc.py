@@ -6,7 +6,8 @@ frame and the place within it. Bundles are rows of a table (bundle, content, ind
 them is a Spark write with its commit and retries; save() also writes them as files.
 
 Null html is an empty payload; a null page id is written as "null" and read back as null, and never
-referred to; rows that repeat the largest page id of a group are all responses; an empty table gives
+referred to; html of any length is one record, and a frame of its own where it fills one; rows that repeat the
+largest page id of a group are all responses; other columns, whatever their names, are not carried; an empty table gives
 an empty one. Control characters in URLs are percent-encoded.
 """
 

@@ -58,6 +58,13 @@ def test_url_rules(spark, tables, pages):
         assert r["rule"] == rule and r["verdict"] == (verdict or "allow")
 
 
+def test_long_urls_are_judged_whole(spark):
+    long = "http://Example.com/en/" + "/".join(f"part{i}" for i in range(5000)) + "?" + "&".join(f"k{i}=v" for i in range(500))
+    judged = url_rules.judge(spark.createDataFrame([(1, long), (1, long), (2, "http://example.com/de/" + "x" * 100_000)], "page_id bigint, url string"), queries.POLICY, None).collect()
+    assert [(r["host"], r["rule"], r["verdict"]) for r in judged if r["page_id"] == 1] == [("example.com", "example.com/en/", "block")] * 2
+    assert [(len(r["path"]), r["verdict"]) for r in judged if r["page_id"] == 2] == [(100_004, "allow")]
+
+
 def test_mined_rules_equal_brute_force(spark):
     """All token sets that reach the support and confidence, matched to all URLs."""
     rng = np.random.default_rng(0)

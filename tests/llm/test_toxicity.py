@@ -1,0 +1,50 @@
+"""The classifier's training against the risk written out plainly, with slopes by differences."""
+
+import math
+
+import numpy as np
+import pytest
+
+from larder.llm import toxicity
+
+
+def risks(x, n_pos, w, b):
+    """Positive risk, unlabelled negative risk and positives' negative risk of the logistic loss."""
+    z = x @ w + b
+    return np.logaddexp(0, -z[:n_pos]).mean(), np.logaddexp(0, z[n_pos:]).mean(), np.logaddexp(0, z[:n_pos]).mean()
+
+
+def plain_descent(x, n_pos, prior, base, sparse, steps, rate):
+    at = np.append(np.zeros(x.shape[1]), base)
+    first, second, flipped = np.zeros(len(at)), np.zeros(len(at)), 0
+
+    def objective(at):
+        positive, unlabelled, as_negative = risks(x, n_pos, at[:-1], at[-1])
+        rest = unlabelled - prior * as_negative
+        return prior * positive + rest, rest
+
+    for step in range(1, steps + 1):
+        below = objective(at)[1] < 0  # then the step goes up the negative part
+        flipped += below
+        value = (lambda a: -objective(a)[1]) if below else (lambda a: objective(a)[0])
+        slope = np.array([(value(at + e) - value(at - e)) / 2e-6 for e in np.eye(len(at)) * 1e-6])
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+        m, v = first / (1 - 0.9**step), second / (1 - 0.99**step)
+        scale = rate / (np.sqrt(v) + 1e-4)
+        at = at - scale * m
+        at[:-1] = np.sign(at[:-1]) * np.maximum(np.abs(at[:-1]) - scale[:-1] * sparse, 0)
+    return at[:-1], at[-1], flipped
+
+
+@pytest.mark.parametrize(("prior", "negative_part"), [(0.2, False), (0.9, True)])
+def test_steps_follow_the_risk(monkeypatch, prior, negative_part):
+    monkeypatch.setattr(toxicity, "STEPS", 12)
+    rng = np.random.default_rng(1)
+    x = (rng.random((40, 6)) < 0.4).astype(float)
+    x[:10, 0] = 1
+    docs = [np.flatnonzero(row).astype(np.int32) for row in x]
+    base = math.log(prior / (1 - prior))
+    w, b = toxicity._descend(docs, np.arange(6), 10, prior, base, 1e-3)
+    want_w, want_b, flipped = plain_descent(x, 10, prior, base, 1e-3, 12, toxicity.RATE)
+    assert np.allclose(w, want_w, atol=1e-3) and abs(b - want_b) < 1e-3
+    assert (flipped > 0) == negative_part

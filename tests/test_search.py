@@ -101,7 +101,7 @@ def test_stems_and_swaps(spark):
 
 
 def test_every_document_field_is_used(docs):
-    """A field that no search or projection reads shouldn't be declared."""
+    """The declared fields are those that documents are built of; test_text_index looks at which of them plans read."""
     from larder import schemas
     from larder.operators import documents as d
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -122,13 +123,19 @@ def test_fuzzy_terms_equal_all_pairs(spark, tmp_path):
     assert got == want and len(rows) == len(names)
 
 
-def plain_scores(spark, rows, words):
-    """BM25 of the two text clauses over (id, name, description), by the library's analysis of single words."""
-    lists = lambda value: [w for w in spark.range(1).select(F.transform(F.regexp_extract_all(F.lit(value), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), F.lower)).first()[0]]
-    analysed = {}
-    for key, name, description in rows:
-        one = spark.range(1).select(*[F.array_compact(F.array(*[text.stem(F.lit(w)) for w in lists(v)]) if lists(v) else F.array().cast("array<string>")) for v in (name, description)], F.array(*[text.fold(F.lit(w)) for w in lists(name)])).first()
-        analysed[key] = [list(x) for x in one]
+def analysed_words(spark, rows):
+    """{id: [stems of the name, stems of the description, folded words of the name]}, a word at a time."""
+    words = [(key, field, k, w.lower()) for key, *texts in rows for field, value in enumerate(texts) for k, w in enumerate(re.findall(r"\w+", value))]
+    out = {key: [[], [], []] for key, *_ in rows}
+    frame = spark.createDataFrame(words, "id string, field int, k int, word string").coalesce(1).orderBy("id", "field", "k")
+    for r in frame.select("id", "field", text.stem(F.col("word")).alias("stem"), text.fold(F.col("word")).alias("folded")).collect():
+        out[r["id"]][r["field"]] += [r["stem"]] if r["stem"] is not None else []
+        out[r["id"]][2] += [r["folded"]] if r["field"] == 0 else []
+    return out
+
+
+def plain_scores(spark, analysed, words):
+    """BM25 of the two text clauses."""
     stems, folded = text_index.query_terms(spark, words)
     allowed = lambda t: 0 if len(t) < 3 else 1 if len(t) <= 5 else 2
 
@@ -172,9 +179,10 @@ def test_scores_equal_plain_arithmetic(spark, tmp_path):
     own = spark.createDataFrame([(k, d) for k, _, d in SHELF], "id string, d string")
     docs = documents(spark, rows).join(own, "id").withColumn("description", F.col("d")).drop("d")
     index, _ = filled(spark, tmp_path, docs)
+    analysed = analysed_words(spark, SHELF)
     for words in ("red widget", "kladivo", "red wid", "wigdet red red"):
         got = {r["id"]: r["score"] for r in index.matches(words).collect()}
-        want = plain_scores(spark, SHELF, words)
+        want = plain_scores(spark, analysed, words)
         assert got == pytest.approx(want) and want
     # the order of scores that aren't zero
     ordered = [r["sku"] for r in hits(index.store.read("documents"), SearchRequest(text="wigdet red red"), index).collect()]

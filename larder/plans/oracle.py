@@ -269,6 +269,7 @@ ORACLE_SQL = {
         UNION ALL
         SELECT * FROM ({_availability("price >= 900 AND l1 = 'economy' AND brand IN ('Brand#1', 'Brand#2')")})""",
     "outbox_fold": f"WITH {EVENTS} {FOLD}",
+    "outbox_stream": f"WITH {EVENTS} {FOLD}",
     "pending_batch": f"WITH {EVENTS} {FOLD} ORDER BY marked_at, product_id LIMIT 100",
     "queue_depth": f"WITH {EVENTS} SELECT index_name, count(*) AS pending FROM ({FOLD}) GROUP BY ALL",
     "outbox_release": f"""

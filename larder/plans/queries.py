@@ -17,11 +17,15 @@ from larder.operators.store import Change, Store
 from larder.plans.oracle import DOCUMENT_WORDS, TYPED
 from larder.session import shared_folder
 from larder.sources import catalog
+from larder.streaming import keyed
+from larder.streaming import queue as streaming
 
 AS_OF = catalog.EPOCH
 SINCE = dt.datetime(2001, 11, 1)
 FEED_AT = dt.datetime(2001, 11, 5)
 EAN_OF_9 = "8590000000091"
+#: Marks to a partition of a stream's state.
+STATE_ROWS = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +183,22 @@ def outbox_fold(spark, sf_dir):
     return _folded(spark, sf_dir)
 
 
+def outbox_stream(spark, sf_dir):
+    """The marks arrive as a stream of four files, in no order; the rows are those that its keyed state then holds."""
+    marks, folder = catalog.change_events(spark, sf_dir), shared_folder(spark, "marks")
+    marks.repartition(4, F.xxhash64("seq")).write.parquet(f"{folder}/arrived")
+    arrived = streaming.changes(spark, f"{folder}/arrived", marks.schema, per_batch=2)
+    number = spark.read.parquet(f"{folder}/arrived").count()
+    stream = keyed.merged(arrived, delay=86_400, remember=86_400)
+    with keyed.state_partitions(spark, max(8, number // STATE_ROWS)):
+        running = stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").start()
+    try:
+        keyed.settle(running)
+    finally:
+        running.stop()
+    return keyed.held(spark, f"{folder}/checkpoint").select(*queue.COLUMNS)
+
+
 def pending_batch(spark, sf_dir):
     return queue.pending(_folded(spark, sf_dir), catalog.INDEX, 100)
 
@@ -357,6 +377,7 @@ QUERIES = {
     "facet_availability": lambda s, d: _facets(s, d, "availability", availability="in_stock"),
     "facets_single_scan": lambda s, d: _facets(s, d, brands=("Brand#1", "Brand#2"), category="economy", availability="in_stock", price_from=900),
     "outbox_fold": outbox_fold,
+    "outbox_stream": outbox_stream,
     "pending_batch": pending_batch,
     "queue_depth": queue_depth,
     "outbox_release": outbox_release,

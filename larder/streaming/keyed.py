@@ -11,11 +11,13 @@ key like any other; further columns aren't carried.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from larder.operators import outbox as queue
 
@@ -78,7 +80,30 @@ def merged(stream: DataFrame, delay: float, remember: float) -> DataFrame:
     return marks.groupBy(*queue.KEY).transformWithState(processor, out, "Update", "ProcessingTime")
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, number: int) -> Iterator[None]:
+    """Streams that first start meanwhile keep their state in so many partitions, for good: a store is opened for each at every batch."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, number)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def held(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The merged marks (with seq) that a stream's state holds as of its last batch."""
     rows = spark.read.format("statestore").option("stateVarName", "mark").load(checkpoint)
     return rows.select("key.*", "value.*").select(*COLUMNS)
+
+
+def settle(query: StreamingQuery) -> None:
+    """Wait until a batch found nothing further in the sources; timers keep batches coming, so the query itself never counts as done."""
+    while True:
+        if failure := query.exception():
+            raise failure
+        progress = query.lastProgress
+        if progress and all(source["startOffset"] == source["endOffset"] for source in progress["sources"]):
+            return
+        time.sleep(0.1)

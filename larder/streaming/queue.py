@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from larder.operators import drain as draining
 from larder.operators import maintenance
@@ -18,7 +19,7 @@ from larder.operators import outbox as queue
 from larder.operators.store import Change, Store
 
 
-def changes(spark: SparkSession, folder: str, schema: str, per_batch: int | None = None) -> DataFrame:
+def changes(spark: SparkSession, folder: str, schema: str | StructType, per_batch: int | None = None) -> DataFrame:
     """The stream of marks that files of a folder bring."""
     reader = spark.readStream.schema(schema)
     if per_batch:

@@ -5,7 +5,6 @@ import itertools
 import random
 import time
 
-
 from larder.operators import maintenance, outbox
 from larder.operators.documents import build_documents
 from larder.streaming import keyed

@@ -21,7 +21,8 @@ prunes nothing, so members are compared row by row. Each text first tries its ne
 another component, ROUNDS times; then all candidates still apart are tried, so that a large group of
 near copies is not compared pair by pair once it hangs together. From the second round on, pairs are left
 out before their sets are fetched where tallies of their hashes by bucket already bound the similarity
-below `least`; that loses no link.
+below `least`, and a text is dealt only under the keys where the round before met another component
+within the radius; neither loses a link.
 
 Null texts count as empty; texts without words have fingerprint zero; texts under the shingle's length
 are one shingle; texts of any length are hashed whole, in chunks; repeated rows, and texts that share a
@@ -39,6 +40,7 @@ from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -236,18 +238,25 @@ def classes(prints: DataFrame) -> DataFrame:
 
 
 def _search(found: DataFrame, keys: Keys, found_in: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], out: str) -> DataFrame:
-    """What found_in() finds in whole blocks of shards of found (fingerprint, rep and any others), ordered by key, block, side and rep."""
-    number, carried = len(keys), found.columns
+    """What found_in() finds in whole blocks of shards of found (fingerprint, rep and any others), ordered by key, block, side and rep.
+
+    at: the numbers of the keys under which a row is dealt; all of them without that column.
+    """
+    number, carried, all_keys = len(keys), [c for c in found.columns if c != "at"], "at" not in found.columns
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK // 4):
                 part = batch.slice(at, CHUNK // 4)
                 own = shard_keys(_prints(part.column("fingerprint")), keys)
-                rows = np.repeat(np.arange(part.num_rows), number)
-                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), *(part.column(c).take(pa.array(rows)) for c in carried)], names=["key", *carried])
-
-    rows = found.where("rep IS NOT NULL").mapInArrow(dealt, T.StructType([T.StructField("key", T.LongType()), *found.schema]))
+                rows, which = np.repeat(np.arange(part.num_rows), number), np.tile(np.arange(number), part.num_rows)
+                if not all_keys:
+                    asked = part.column("at")
+                    rows = np.repeat(np.arange(part.num_rows), pc.list_value_length(asked).to_numpy())
+                    which = asked.flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(own[rows, which]), *(part.column(c).take(pa.array(rows)) for c in carried)], names=["key", *carried])
+
+    rows = found.where("rep IS NOT NULL").mapInArrow(dealt, T.StructType([T.StructField("key", T.LongType()), *(found.schema[c] for c in carried)]))
     hot = rows.groupBy("key").count().where(F.col("count") > SHARD_ROWS).select("key", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("parts"))
     hot = materialize(hot, "hot-shards")
     if hot.isEmpty():
@@ -337,8 +346,11 @@ def may_be_alike(tallies: np.ndarray, a: np.ndarray, b: np.ndarray, least: float
 def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool, least: float = 0.0) -> DataFrame:
     """Pairs (a, b) of nodes within the radius, of different components, that share one of the keys, each pair at its first key only.
 
-    found: (fingerprint, node, component), and perhaps tally, by which pairs that can't have the least
-    similarity are left out. All such pairs (a > b); or the nearest b for each a only.
+    found: (fingerprint, node, component), perhaps tally, by which pairs that can't have the least
+    similarity are left out, and perhaps at, the numbers of the keys to look under. All such pairs (a > b);
+    or a row (a, b, at) for each a with any other component within the radius: the nearest b, or null where
+    that is left out, and the keys that a shares with any such node. Components only grow together, so
+    no later round needs another key.
     """
 
     def found_in(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -347,18 +359,19 @@ def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool, least:
         prints = _prints(batch.column("fingerprint"))
         node, component, side, key = (batch.column(c).to_numpy() for c in ("rep", "component", "side", "key"))
         tallies = np.frombuffer(b"".join(batch.column("tally").to_pylist()), np.uint8).reshape(-1, BUCKETS) if tallied else None
-        one, two, bits_apart, held = [], [], [], 0
+        out, held = [], 0
 
         def ended() -> pa.RecordBatch:
-            nonlocal one, two, bits_apart, held
-            columns = [pa.array(np.concatenate(x), pa.int64()) for x in (one, two, bits_apart)]
-            one, two, bits_apart, held = [], [], [], 0
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "apart"])
+            nonlocal out, held
+            one, two, bits_apart, number, fit = map(np.concatenate, zip(*out, strict=True))
+            out, held = [], 0
+            columns = [pa.array(one, pa.int64()), pa.array(two, pa.int64(), mask=~fit), pa.array(bits_apart, pa.int64()), pa.array(number, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "apart", "at"])
 
         for start, size in zip(*_blocks(batch), strict=True):
             if size < 2:
                 continue
-            rows = np.arange(start, start + size)
+            rows, number = np.arange(start, start + size), int(key[start]) >> len(keys[0])
             other = side[rows] != side[start]
             # of two blocks, each is compared with the other
             for own, theirs in [(rows[~other], rows[other]), (rows[other], rows[~other])] if other.any() else [(rows, rows)]:
@@ -374,15 +387,13 @@ def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool, least:
                     else:
                         i, j = np.nonzero(fits & (node[x][:, None] > node[theirs][None]))
                     # at the first key that a text shares with its nearest, its nearest is as near
-                    new = first_met(prints, x[i], theirs[j], keys[: int(key[start]) >> len(keys[0])])
-                    i, j = i[new], j[new]
+                    fit = first_met(prints, x[i], theirs[j], keys[:number])
                     if tallies is not None:
-                        fit = may_be_alike(tallies, x[i], theirs[j], least)
-                        i, j = i[fit], j[fit]
+                        fit[fit] = may_be_alike(tallies, x[i[fit]], theirs[j[fit]], least)
+                    if not nearest:
+                        i, j, fit = i[fit], j[fit], fit[fit]
                     if len(i):
-                        one.append(node[x[i]])
-                        two.append(node[theirs[j]])
-                        bits_apart.append(apart[i, j])
+                        out.append((node[x[i]], node[theirs[j]], apart[i, j], np.full(len(i), number), fit))
                         held += len(i)
                     if held >= CHUNK:
                         yield ended()
@@ -390,10 +401,11 @@ def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool, least:
             yield ended()
 
     tallied = "tally" in found.columns
-    rows = found.select("fingerprint", F.col("node").alias("rep"), "component", *["tally"] * tallied)
-    pairs = _search(rows, keys, found_in, "a bigint, b bigint, apart bigint")
+    rows = found.select("fingerprint", F.col("node").alias("rep"), "component", *(c for c in ("tally", "at") if c in found.columns))
+    pairs = _search(rows, keys, found_in, "a bigint, b bigint, apart bigint, at int")
     if nearest:
-        return pairs.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+        closest = F.min(F.when(F.col("b").isNotNull(), F.struct("apart", "b")))["b"]
+        return pairs.groupBy("a").agg(closest.alias("b"), F.collect_set("at").alias("at"))
     return pairs.select("a", "b").distinct()
 
 
@@ -502,9 +514,11 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
     found = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fingerprint").alias("fingerprint"), F.count("*").alias("n"))
     found = materialize(found.withColumn("node", F.monotonically_increasing_id()), "classes")
     keys = candidate_keys(bits, least, found.count())
-    nodes, labels, sets, linked, held = found.where("rep IS NOT NULL").withColumn("component", F.col("rep")), None, None, None, []
+    nodes, labels, sets, linked, pairs, held = found.where("rep IS NOT NULL").withColumn("component", F.col("rep")), None, None, None, None, []
     for turn in range(ROUNDS + 1):
-        pairs = materialize(candidates(nodes.drop("digest", "rep", "n"), radius, keys, turn < ROUNDS, least), "candidates")
+        before, pairs = pairs, materialize(candidates(nodes.drop("digest", "rep", "n"), radius, keys, turn < ROUNDS, least), "candidates")
+        if before is not None:
+            release(before)
         if pairs.isEmpty():
             break
         if sets is None:
@@ -520,18 +534,18 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
                 sets = materialize(repeated.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("tally").alias("tally")), "shingles")
                 release(repeated)
             held += [known, sets]
-        new = alike(pairs, sets.select("node", "hashes"), least)
+        new = alike(pairs.where("b IS NOT NULL").select("a", "b"), sets.select("node", "hashes"), least)
         rep = known.select("node", "rep")
         new = new.join(rep.toDF("a", "rep_a"), "a").join(rep.toDF("b", "rep_b"), "b").where("rep_a <> rep_b")
         new = new.select(F.greatest("rep_a", "rep_b").alias("a"), F.least("rep_a", "rep_b").alias("b"))
         linked = materialize((new if linked is None else new.union(linked)).distinct(), "alike")
-        release(pairs)
         labels = components(linked)
         held += [linked, labels]
         nodes = known.join(labels, known["rep"] == labels["id"], "left").select(*known.columns, F.coalesce("component", "rep").alias("component"))
-        nodes = nodes.join(sets.select("node", "tally"), "node")
+        if turn < ROUNDS:
+            nodes = nodes.join(sets.select("node", "tally"), "node").join(pairs.select(F.col("a").alias("node"), "at"), "node")
     named = found.select("digest", "rep", "n")
     if labels is not None:
         named = named.join(labels, named["rep"] == labels["id"], "left").select("digest", F.coalesce("component", "rep").alias("rep"), "n")
     out = join_counted(prints, named.withColumnRenamed("rep", "component_id"), "digest", prints.count()).select("doc_id", "component_id")
-    return holding(out, prints, found, *held)
+    return holding(out, prints, found, pairs, *held)

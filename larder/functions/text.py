@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from unicodedata import normalize
 
 from pyspark.sql import Column
@@ -85,10 +86,35 @@ def _palatalised(word: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """The folded stem of one lower-case word; null for a word of the stop list."""
-    out = word
+    # a step to an array each: nested in one another, the steps would be repeated within each other
+    out = F.array(word)
     for step in (_without_case, _without_possessive, _palatalised, fold):
-        out = step(out)
-    return F.when(~word.isin(STOPWORDS), out)
+        out = F.transform(out, step)
+    return F.when(~word.isin(STOPWORDS), F.get(out, F.lit(0)))
+
+
+_STOP, _FOLDS = frozenset(STOPWORDS), str.maketrans(_FOLDED | DOUBLE)
+_ENDINGS = [([(n, {e for e in endings if len(e) == n}) for n in sorted({len(e) for e in endings}, reverse=True)], least) for endings, least in ((CASE_ENDINGS, 3), (POSSESSIVES, 4))]
+
+
+@lru_cache(1 << 17)
+def analysed_word(word: str) -> tuple[str | None, str]:
+    """The folded stem (see stem; None for a word of the stop list) and the folded form of a word as it stands in a text."""
+    word = word.lower()
+    folded = word.translate(_FOLDS)
+    if word in _STOP:
+        return None, folded
+    for sizes, least in _ENDINGS:
+        word = next((word[:-n] for n, endings in sizes if len(word) >= least + n and word[-n:] in endings), word)
+    if word.endswith(("čt", "št")):
+        word = word[:-2] + {"č": "ck", "š": "sk"}[word[-2]]
+    elif word[-1] in "cčzž":
+        word = word[:-1] + ("k" if word[-1] in "cč" else "h")
+    elif len(word) >= 2 and word[-2] == "e":
+        word = word[:-2] + word[-1]
+    elif len(word) >= 3 and word[-2] == "ů":
+        word = word[:-2] + "o" + word[-1]
+    return word.translate(_FOLDS), folded
 
 
 def stems(text: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.codes import EAN_INSIDE, SKU_INSIDE, SKU_PREFIX
-from larder.functions.text import edits, fold, html_escaped, stem, within_edits
+from larder.functions.text import analysed_word, edits, html_escaped, within_edits
 from larder.operators.store import Change, Store, Table
 
 #: The fields' weights, and how the two code clauses and the beginning of a code weigh.
@@ -39,7 +39,8 @@ LONG, LONGEST, PARTS = 24, 200, 5
 #: Terms that a search may name in its filters; with more of them it joins instead.
 NAMED = 1000
 WORD = regex.compile(r"[\p{L}\p{N}_]+").finditer
-SPOTS = "array<struct<word:string,place:int,start:int,stop:int>>"
+#: Places of terms that are gathered, a text's at least, before they are passed on.
+SPOTS = 100_000
 
 TABLES = {
     "postings": Table(("id",), partition="bucket"),
@@ -49,48 +50,63 @@ TABLES = {
 }
 
 
-def words(documents: DataFrame) -> DataFrame:
-    """The documents with the words of name and description, and the characters from which to which they stand."""
-    schema = T.StructType([*documents.schema, *T.StructType.fromDDL(f"name_spots {SPOTS}, description_spots {SPOTS}")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spot = pa.list_(pa.struct([("word", pa.string()), ("place", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                found = []
-                for column in (NAME, DESCRIPTION):
-                    of = [[{"word": m[0], "place": k, "start": m.start(), "stop": m.end()} for k, m in enumerate(WORD(t or ""))] for t in batch.column(column).to_pylist()]
-                    found.append(pa.array(of, spot))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=schema.names)
-
-    return documents.mapInArrow(run, schema)
-
-
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(BUCKETS)).cast("int")
 
 
-def _field(spots: str, term) -> Column:
-    """The field's terms with their places; words without a term are left out."""
-    return F.filter(F.transform(spots, lambda s: F.struct(term(F.lower(s["word"])).alias("term"), s["place"].alias("place"), s["start"].alias("start"), s["stop"].alias("stop"))), lambda s: s["term"].isNotNull())
+def _terms(column: str, value: str) -> dict[str, tuple[int, dict[str, list[tuple[int, int, int]]]]]:
+    """{field: (size, {term: places})} of what a column holds, terms in order of their first places; words of the stop list have no stem."""
+    if column in (SKU, EAN):
+        return {column: (1, {value.lower() if column == SKU else value: [(0, 0, len(value))]})}
+    stems: dict[str, list[tuple[int, int, int]]] = {}
+    folded: dict[str, list[tuple[int, int, int]]] = {}
+    size = place = 0
+    for m in WORD(value):
+        stem, word = analysed_word(m[0])
+        at = (place, *m.span())
+        place += 1
+        if stem is not None:
+            size += 1
+            stems.setdefault(stem, []).append(at)
+        if column == NAME:
+            folded.setdefault(word, []).append(at)
+    return {column: (size, stems)} | ({NAME_WORDS: (place, folded)} if column == NAME else {})
 
 
-def occurrences(documents: DataFrame) -> DataFrame:
-    """(id, field, term, size, first, place, start, stop): each occurrence of a term; size: terms of the field; first: the first one's place."""
-    found = words(documents.select("id", NAME, DESCRIPTION, SKU, EAN))
-    code = lambda value: F.when(value.isNotNull(), F.array(F.struct(value.alias("term"), F.lit(0).alias("place"), F.lit(0).alias("start"), F.char_length(value).alias("stop"))))
-    fields = {NAME: _field("name_spots", stem), DESCRIPTION: _field("description_spots", stem), NAME_WORDS: _field("name_spots", fold), SKU: code(F.lower(SKU)), EAN: code(F.col(EAN))}
-    rows = found.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("spots")) for k, v in fields.items()])).alias("f"))
-    rows = rows.select("id", "f.field", F.col("f.spots").alias("spots"), F.size("f.spots").alias("size"), F.get("f.spots", F.lit(0))["place"].alias("first"))
-    return rows.select("id", "field", "size", "first", F.inline("spots"))
+def postings(documents: DataFrame) -> DataFrame:
+    """(bucket, field, term, id, n, size, leads, spots): size: terms of the field; leads marks one posting of each document's field.
+
+    A document's terms are gathered where its text is read, so that only finished postings are shuffled.
+    """
+    schema = T.StructType([*T.StructType.fromDDL("field string, term string"), documents.schema["id"], *T.StructType.fromDDL("n int, size int, leads boolean, spots array<struct<place:int,start:int,stop:int>>")])
 
+    def packed(ids: pa.Array, rows: list[tuple], spots: list[tuple]) -> pa.RecordBatch:
+        field, term, row, n, size, leads, ends = zip(*rows, strict=True)
+        places = pa.StructArray.from_arrays([pa.array(k, pa.int32()) for k in zip(*spots, strict=True)], names=["place", "start", "stop"])
+        lists = pa.ListArray.from_arrays(pa.array((0, *ends), pa.int32()), places)
+        columns = [pa.array(field, pa.string()), pa.array(term, pa.string()), ids.take(pa.array(row, pa.int64())), pa.array(n, pa.int32()), pa.array(size, pa.int32()), pa.array(leads, pa.bool_()), lists]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-def postings(documents: DataFrame) -> DataFrame:
-    """(bucket, field, term, id, n, size, leads, spots): leads marks one posting of each document's field."""
-    spots = F.array_sort(F.collect_list(F.struct("place", "start", "stop"))).alias("spots")
-    rows = occurrences(documents).groupBy("field", "term", "id", "size", "first").agg(F.count("*").cast("int").alias("n"), spots)
-    return rows.select(bucket(F.col("term")).alias("bucket"), "field", "term", "id", "n", "size", (F.col("first") == F.col("spots")[0]["place"]).alias("leads"), "spots")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                rows, spots = [], []
+                for row, values in enumerate(zip(*[batch.column(c).to_pylist() for c in (NAME, DESCRIPTION, SKU, EAN)], strict=True)):
+                    for column, value in zip((NAME, DESCRIPTION, SKU, EAN), values, strict=True):
+                        for field, (size, terms) in _terms(column, value).items() if value is not None else ():
+                            for k, (term, places) in enumerate(terms.items()):
+                                spots += places
+                                rows.append((field, term, row, len(places), size, k == 0, len(spots)))
+                    if len(spots) >= SPOTS:
+                        yield packed(batch.column("id"), rows, spots)
+                        rows, spots = [], []
+                if rows:
+                    yield packed(batch.column("id"), rows, spots)
+
+    # by id, as a file may come as one partition
+    found = documents.select("id", NAME, DESCRIPTION, SKU, EAN).repartition("id").mapInArrow(run, schema)
+    return found.select(bucket(F.col("term")).alias("bucket"), *schema.names)
 
 
 def laid_out(rows: DataFrame) -> DataFrame:
@@ -166,12 +182,8 @@ def bm25(n: Column, size: Column, mean: Column, documents: Column, having: Colum
 
 def query_terms(spark: SparkSession, text: str) -> tuple[list[str], list[str]]:
     """The stems and the folded words of a text, in order."""
-    lowered = [F.lower(F.lit(m[0])) for m in WORD(text)]
-    if not lowered:
-        return [], []
-    # constants, which the optimizer computes without a job
-    row = spark.range(1).select(F.array_compact(F.array(*[stem(w) for w in lowered])).alias("stems"), F.array(*[fold(w) for w in lowered]).alias("words")).first()
-    return row["stems"], row["words"]
+    found = [analysed_word(m[0]) for m in WORD(text)]
+    return [stem for stem, _ in found if stem is not None], [word for _, word in found]
 
 
 @dataclass

@@ -233,3 +233,24 @@ def test_fields_that_no_request_reads_are_reported(shop):
     change.replace("documents", shop[0].withColumn("colour", F.lit("red")))
     change.commit()
     assert unused_fields(store) == ["colour"]
+
+
+def test_one_analysis_of_words(spark):
+    """The index's word by word analysis and the columns' give the same stems and folded words."""
+    endings = ["", *text.CASE_ENDINGS, *text.POSSESSIVES]
+    words = [chr(k) for k in range(0x30, 0x250)] + [b + m + e for b in ("a", "ko", "bruš", "Žluť", "dům") for m in ("", "k", "čt", "št", "c", "z", "ž", "en", "ůl", "ß") for e in endings] + [*text.STOPWORDS, "ŘEŘICHA", "Ἀθῆναι", "18v", "x" * 300]
+    words = [w for w in words if re.fullmatch(r"\w+", w)]
+    lower = F.lower(F.col("word"))
+    rows = spark.createDataFrame([(w,) for w in words], "word string").withColumn("lower", lower).select("word", text.stem(F.col("lower")).alias("stem"), text.fold(F.col("lower")).alias("folded"), text.stems(F.col("word")).alias("stems")).collect()
+    assert {r["word"]: (r["stem"], r["folded"]) for r in rows} == {w: text.analysed_word(w) for w in words}
+    assert all(r["stems"] == ([] if r["stem"] is None else [r["stem"]]) for r in rows if r["word"] not in ("İ",))
+
+
+def test_postings_are_shuffled_whole(spark):
+    """A document's terms are gathered with its text: nothing is grouped after it, occurrence by occurrence."""
+    plan = text_index.postings(documents(spark, ROWS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan and len(plan) < 20_000
+    own = spark.createDataFrame([("SKU", "Kladivo a kladiva, zeď", "", None, None)], "id string, name string, description string, sku string, ean string")
+    found = {(r["field"], r["term"]): (r["n"], r["size"], r["leads"], [tuple(s) for s in r["spots"]]) for r in text_index.postings(own).collect()}
+    assert found[("name", "kladiv")] == (2, 3, True, [(0, 0, 7), (2, 10, 17)])
+    assert found[("name.words", "a")] == (1, 4, False, [(1, 8, 9)]) and ("name", "a") not in found and len(found) == 6

@@ -157,16 +157,34 @@ def _swap_and_edit(term: Column, word: Column) -> Column:
     return F.exists(places, at)
 
 
-def within_edits(term: Column, word: Column) -> Column:
+def _swap_apart(term: Column, word: Column) -> Column:
+    """Whether word is the term with two letters swapped between which one was put in, or which one stood between that was left out."""
+    size = F.char_length(term)
+    places = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
+
+    def at(i: Column) -> Column:
+        letter = lambda k: F.substring(term, i + k, F.lit(1))
+        before = F.substring(term, F.lit(1), i - 1)
+        put = (F.char_length(word) == size + 1) & word.startswith(F.concat(before, letter(1))) & word.endswith(F.concat(letter(0), F.substring(term, i + 2, size)))
+        left = (i + 2 <= size) & (word == F.concat(before, letter(2), letter(0), F.substring(term, i + 3, size)))
+        return put | left
+
+    return F.exists(places, at)
+
+
+def within_edits(term: Column, word: Column, apart: bool = False) -> Column:
     """Whether word is within the term's allowed edits, a swap of neighbours counting as one and none within another edit.
 
-    The built-in distance counts a swap as two, so the swapped forms of the term are tried as well.
+    apart: two letters may also be swapped around a letter that is put in or left out, which makes two edits
+    (the unrestricted distance). The built-in distance counts a swap as two, so the swapped forms of the term are
+    tried as well.
     """
     k = allowed_edits(term)
     plain = F.levenshtein(term, word) <= k
     swapped = F.when(k == 1, F.exists(_swaps(term), lambda t: t == word)).otherwise(_swap_and_edit(term, word))
     twice = (k == 2) & (F.char_length(term) == F.char_length(word)) & F.exists(_swaps(term), lambda t: F.exists(_swaps(t), lambda u: u == word))
-    return (F.abs(F.char_length(term) - F.char_length(word)) <= k) & (plain | ((k >= 1) & swapped) | twice)
+    more = (k == 2) & _swap_apart(term, word) if apart else F.lit(False)
+    return (F.abs(F.char_length(term) - F.char_length(word)) <= k) & (plain | ((k >= 1) & swapped) | twice | more)
 
 
 def edits(term: Column, word: Column) -> Column:

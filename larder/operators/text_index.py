@@ -54,22 +54,27 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(BUCKETS)).cast("int")
 
 
-def _terms(column: str, value: str) -> dict[str, tuple[int, dict[str, list[tuple[int, int, int]]]]]:
-    """{field: (size, {term: places})} of what a column holds, terms in order of their first places; words of the stop list have no stem."""
+def _terms(column: str, value: str) -> dict[str, tuple[int, dict[str, list[int]]]]:
+    """{field: (size, {term: places})} of what a column holds, terms in order of their first places; words of the stop list have no stem.
+
+    A place is three numbers: the word's, and those of the characters from which to which it stands.
+    """
     if column in (SKU, EAN):
-        return {column: (1, {value.lower() if column == SKU else value: [(0, 0, len(value))]})}
-    stems: dict[str, list[tuple[int, int, int]]] = {}
-    folded: dict[str, list[tuple[int, int, int]]] = {}
+        return {column: (1, {value.lower() if column == SKU else value: [0, 0, len(value)]})}
+    stems: dict[str, list[int]] = {}
+    folded: dict[str, list[int]] = {}
     size = place = 0
-    for m in WORD(value):
-        stem, word = analysed_word(m[0])
-        at = (place, *m.span())
-        place += 1
+    for place, m in enumerate(WORD(value), 1):
+        start, stop = m.span()
+        stem, word = analysed_word(value[start:stop])
         if stem is not None:
             size += 1
-            stems.setdefault(stem, []).append(at)
+            if stem in stems:
+                stems[stem] += (place - 1, start, stop)
+            else:
+                stems[stem] = [place - 1, start, stop]
         if column == NAME:
-            folded.setdefault(word, []).append(at)
+            folded.setdefault(word, []).extend((place - 1, start, stop))
     return {column: (size, stems)} | ({NAME_WORDS: (place, folded)} if column == NAME else {})
 
 
@@ -80,9 +85,9 @@ def postings(documents: DataFrame) -> DataFrame:
     """
     schema = T.StructType([*T.StructType.fromDDL("field string, term string"), documents.schema["id"], *T.StructType.fromDDL("n int, size int, leads boolean, spots array<struct<place:int,start:int,stop:int>>")])
 
-    def packed(ids: pa.Array, rows: list[tuple], spots: list[tuple]) -> pa.RecordBatch:
+    def packed(ids: pa.Array, rows: list[tuple], spots: list[int]) -> pa.RecordBatch:
         field, term, row, n, size, leads, ends = zip(*rows, strict=True)
-        places = pa.StructArray.from_arrays([pa.array(k, pa.int32()) for k in zip(*spots, strict=True)], names=["place", "start", "stop"])
+        places = pa.StructArray.from_arrays([pa.array(spots[k::3], pa.int32()) for k in range(3)], names=["place", "start", "stop"])
         lists = pa.ListArray.from_arrays(pa.array((0, *ends), pa.int32()), places)
         columns = [pa.array(field, pa.string()), pa.array(term, pa.string()), ids.take(pa.array(row, pa.int64())), pa.array(n, pa.int32()), pa.array(size, pa.int32()), pa.array(leads, pa.bool_()), lists]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -97,8 +102,8 @@ def postings(documents: DataFrame) -> DataFrame:
                         for field, (size, terms) in _terms(column, value).items() if value is not None else ():
                             for k, (term, places) in enumerate(terms.items()):
                                 spots += places
-                                rows.append((field, term, row, len(places), size, k == 0, len(spots)))
-                    if len(spots) >= SPOTS:
+                                rows.append((field, term, row, len(places) // 3, size, k == 0, len(spots) // 3))
+                    if len(spots) >= 3 * SPOTS:
                         yield packed(batch.column("id"), rows, spots)
                         rows, spots = [], []
                 if rows:
@@ -156,9 +161,11 @@ def neighbours(terms: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                some = batch.column("term").slice(at, 256).to_pylist()
-                rows = [(form, deleted, term) for term in some for form, deleted in forms_of_stem(term)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["form", "deleted", "term"])
+                some = batch.column("term").slice(at, 256)
+                found = [forms_of_stem(term) for term in some.to_pylist()]
+                of = pa.array([k for k, forms in enumerate(found) for _ in forms], pa.int64())
+                form, deleted = (pa.array([f[k] for forms in found for f in forms], t) for k, t in enumerate((pa.string(), pa.int32())))
+                yield pa.RecordBatch.from_arrays([form, deleted, some.take(of)], names=["form", "deleted", "term"])
 
     rows = terms.select("term").mapInArrow(run, "form string, deleted int, term string")
     rows = rows.select(F.pmod(F.xxhash64("form"), F.lit(BUCKETS)).cast("int").alias("bucket"), "form", "deleted", "term")
@@ -201,10 +208,14 @@ class Asked:
 
 
 class TextIndex:
-    """Writes and searches the text tables of a store."""
+    """Writes and searches the text tables of a store.
+
+    apart: letters may be swapped around an edit, see within_edits; forms with two letters left out and parts
+    find these terms as well.
+    """
 
-    def __init__(self, store: Store):
-        self.store, self.spark = store, store.spark
+    def __init__(self, store: Store, apart: bool = False):
+        self.store, self.spark, self.apart = store, store.spark, apart
 
     # writing
 
@@ -240,7 +251,7 @@ class TextIndex:
         asked = asked.withColumn("bucket", F.pmod(F.xxhash64("form"), F.lit(BUCKETS)).cast("int"))
         near = self.store.read("neighbours", folded=False).join(F.broadcast(asked), ["bucket", "form"]).where("deleted <= most")  # at most 200 letters' forms
         found = near.select("query", "term").distinct()
-        return found.where(within_edits(F.col("query"), F.col("term"))).withColumn("edits", edits(F.col("query"), F.col("term")))
+        return found.where(within_edits(F.col("query"), F.col("term"), self.apart)).withColumn("edits", edits(F.col("query"), F.col("term")))
 
     def _asked(self, text: str) -> Asked:
         """What a text asks of the index."""

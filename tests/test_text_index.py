@@ -254,3 +254,32 @@ def test_postings_are_shuffled_whole(spark):
     found = {(r["field"], r["term"]): (r["n"], r["size"], r["leads"], [tuple(s) for s in r["spots"]]) for r in text_index.postings(own).collect()}
     assert found[("name", "kladiv")] == (2, 3, True, [(0, 0, 7), (2, 10, 17)])
     assert found[("name.words", "a")] == (1, 4, False, [(1, 8, 9)]) and ("name", "a") not in found and len(found) == 6
+
+
+def unrestricted(a, b):
+    """Edits by a breadth-first walk over all words that one edit gives; a swap may be edited again."""
+    near, letters = {a}, set(a + b)
+    for k in range(3):
+        if b in near:
+            return k
+        near |= {v for w in near for i in range(len(w) + 1) for v in [w[:i] + w[i + 1 :], w[:i] + w[i : i + 2][::-1] + w[i + 2 :], *(w[:i] + c + w[i + x :] for c in letters for x in (0, 1))]}
+    return 3
+
+
+def test_letters_swapped_around_an_edit(spark, tmp_path):
+    """What the SQL's distance counts as two edits and optimal alignment as three."""
+    rng = random.Random(7)
+    stems = {"eroutin", "erortin", "athtion", "ertoin", "hation"} | {"".join(rng.choice("abc") for _ in range(rng.randint(1, 8))) for _ in range(120)}
+    long = "abcdefghijklmnopqrstuvwxyz"
+    stems |= {long, long[:9] + "kxj" + long[11:], long[:9] + "lj" + long[12:], long[::-1]}
+    store = Store(spark, f"file://{tmp_path}", text_index.TABLES)
+    change = Change(store, store.take("test", 60))
+    change.replace("neighbours", text_index.neighbours(spark.createDataFrame([(n,) for n in sorted(stems)], "term string")))
+    change.commit()
+    asked = ["ertoin", "hation", long, *rng.sample(sorted(n for n in stems if len(n) < 9), 15)]
+    got = {(r["query"], r["term"], r["edits"]) for r in TextIndex(store, apart=True).expansions(asked).collect()}
+    allowed = lambda t: 0 if len(t) < 3 else 1 if len(t) <= 5 else 2
+    short = [q for q in asked if len(q) < 9]
+    assert {g for g in got if g[0] != long} == {(q, n, d) for q in short for n in stems if abs(len(q) - len(n)) < 3 and (d := unrestricted(q, n)) <= allowed(q)}
+    assert {t for q, t, _ in got if q == long} == stems & {long, long[:9] + "kxj" + long[11:], long[:9] + "lj" + long[12:]}
+    assert {("ertoin", "eroutin", 2), ("ertoin", "erortin", 2), ("hation", "athtion", 2)} <= got

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from dataclasses import dataclass
 
@@ -123,11 +124,15 @@ def check_refused(result: DrainResult) -> None:
         raise RefusedDocuments(f"{result.failures} documents were refused and stay marked")
 
 
+def run_rows(spark, results: list[DrainResult], ran_at: dt.datetime) -> DataFrame | None:
+    """The run log's rows, a microsecond apart; none for empty batches."""
+    rows = [(ran_at + dt.timedelta(microseconds=k), r.written, r.unchanged, r.elapsed_milliseconds) for k, r in enumerate(results) if r.taken]
+    return spark.createDataFrame(rows, "ran_at timestamp, written_product_count int, unchanged_product_count int, elapsed_milliseconds int") if rows else None
+
+
 def run_row(spark, result: DrainResult, ran_at) -> DataFrame | None:
     """The run log's row; none for an empty batch."""
-    if not result.taken:
-        return None
-    return spark.createDataFrame([(ran_at, result.written, result.unchanged, result.elapsed_milliseconds)], "ran_at timestamp, written_product_count int, unchanged_product_count int, elapsed_milliseconds int")
+    return run_rows(spark, [result], ran_at)
 
 
 def latest_run(runs: DataFrame) -> DataFrame:

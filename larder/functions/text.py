@@ -94,18 +94,19 @@ def stem(word: Column) -> Column:
 
 
 _STOP, _FOLDS = frozenset(STOPWORDS), str.maketrans(_FOLDED | DOUBLE)
-_ENDINGS = [([(n, {e for e in endings if len(e) == n}) for n in sorted({len(e) for e in endings}, reverse=True)], least) for endings, least in ((CASE_ENDINGS, 3), (POSSESSIVES, 4))]
+_ENDINGS = [({e[-1] for e in endings}, [(n, {e for e in endings if len(e) == n}) for n in sorted({len(e) for e in endings}, reverse=True)], least) for endings, least in ((CASE_ENDINGS, 3), (POSSESSIVES, 4))]
 
 
 @lru_cache(1 << 17)
 def analysed_word(word: str) -> tuple[str | None, str]:
     """The folded stem (see stem; None for a word of the stop list) and the folded form of a word as it stands in a text."""
     word = word.lower()
-    folded = word.translate(_FOLDS)
+    folded = word if word.isascii() else word.translate(_FOLDS)
     if word in _STOP:
         return None, folded
-    for sizes, least in _ENDINGS:
-        word = next((word[:-n] for n, endings in sizes if len(word) >= least + n and word[-n:] in endings), word)
+    for last, sizes, least in _ENDINGS:
+        if word[-1] in last:
+            word = next((word[:-n] for n, endings in sizes if len(word) >= least + n and word[-n:] in endings), word)
     if word.endswith(("čt", "št")):
         word = word[:-2] + {"č": "ck", "š": "sk"}[word[-2]]
     elif word[-1] in "cčzž":
@@ -114,7 +115,7 @@ def analysed_word(word: str) -> tuple[str | None, str]:
         word = word[:-2] + word[-1]
     elif len(word) >= 3 and word[-2] == "ů":
         word = word[:-2] + "o" + word[-1]
-    return word.translate(_FOLDS), folded
+    return word if word.isascii() else word.translate(_FOLDS), folded
 
 
 def stems(text: Column) -> Column:

@@ -14,9 +14,11 @@ A word is a run of letters, digits and _ in the text as it stands, lower-cased a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,13 +36,15 @@ K1, B = 1.2, 0.75
 NAME, DESCRIPTION, NAME_WORDS, SKU, EAN = "name", "description", "name.words", "sku", "ean"
 #: Folders of the postings.
 BUCKETS = 64
-#: Stems longer than this are found by their parts instead of their shortened forms; queries have at most LONGEST letters.
-LONG, LONGEST, PARTS = 24, 200, 5
+#: Stems of more than SHORT letters are found by the shortened forms of their halves, those of more than LONG by their parts;
+#: queries have at most LONGEST letters.
+SHORT, LONG, LONGEST, PARTS = 7, 24, 200, 5
 #: Terms that a search may name in its filters; with more of them it joins instead.
 NAMED = 1000
 WORD = regex.compile(r"[\p{L}\p{N}_]+").finditer
-#: Places of terms that are gathered, a text's at least, before they are passed on.
-SPOTS = 100_000
+CUT, ASCII_CUT = regex.compile(r"([\p{L}\p{N}_]+)"), re.compile(r"(\w+)", re.ASCII)
+#: Places of terms that are gathered, a text's at least, before they are passed on; words whose terms a task remembers.
+SPOTS, KNOWN = 100_000, 1 << 18
 
 TABLES = {
     "postings": Table(("id",), partition="bucket"),
@@ -54,63 +58,107 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(BUCKETS)).cast("int")
 
 
-def _terms(column: str, value: str) -> dict[str, tuple[int, dict[str, list[int]]]]:
-    """{field: (size, {term: places})} of what a column holds, terms in order of their first places; words of the stop list have no stem.
+def dealt(rows: DataFrame, column: str) -> DataFrame:
+    """rows by the hash of a column, in parts that aren't joined by their bytes: few bytes may be much work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), column)
 
-    A place is three numbers: the word's, and those of the characters from which to which it stands.
-    """
-    if column in (SKU, EAN):
-        return {column: (1, {value.lower() if column == SKU else value: [0, 0, len(value)]})}
-    stems: dict[str, list[int]] = {}
-    folded: dict[str, list[int]] = {}
-    size = place = 0
-    for place, m in enumerate(WORD(value), 1):
-        start, stop = m.span()
-        stem, word = analysed_word(value[start:stop])
-        if stem is not None:
-            size += 1
-            if stem in stems:
-                stems[stem] += (place - 1, start, stop)
-            else:
-                stems[stem] = [place - 1, start, stop]
-        if column == NAME:
-            folded.setdefault(word, []).extend((place - 1, start, stop))
-    return {column: (size, stems)} | ({NAME_WORDS: (place, folded)} if column == NAME else {})
+
+class _Codes(dict):
+    """Numbers of words: equal ones for words of equal terms, -1 for those without one; terms: by number."""
+
+    def __init__(self, term_of: Callable[[str], str | None]):
+        self.term_of, self.terms, self.numbers = term_of, [], {}
+
+    def __missing__(self, word: str) -> int:
+        term = self.term_of(word)
+        code = -1 if term is None else self.numbers.setdefault(term, len(self.terms))
+        if code == len(self.terms):
+            self.terms.append(term)
+        self[word] = code
+        return code
+
+    def bound(self) -> None:
+        """Forget all words where they have become too many; numbers given before are void then."""
+        if len(self) > KNOWN:
+            self.clear()
+            self.terms, self.numbers = [], {}
+
+
+def _words(value: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of a text, and from and to which characters they stand."""
+    pieces = (ASCII_CUT if value.isascii() else CUT).split(value)
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int32, len(pieces)), dtype=np.int32)
+    return pieces[1::2], ends[:-1:2], ends[1::2]
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """(bucket, field, term, id, n, size, leads, spots): size: terms of the field; leads marks one posting of each document's field.
+    """(bucket, field, term, id, n, size, leads, spots) as in flat_postings, each spot as (place, start, stop)."""
+    return flat_postings(documents).withColumn("spots", spots())
 
-    A document's terms are gathered where its text is read, so that only finished postings are shuffled.
-    """
-    schema = T.StructType([*T.StructType.fromDDL("field string, term string"), documents.schema["id"], *T.StructType.fromDDL("n int, size int, leads boolean, spots array<struct<place:int,start:int,stop:int>>")])
 
-    def packed(ids: pa.Array, rows: list[tuple], spots: list[int]) -> pa.RecordBatch:
-        field, term, row, n, size, leads, ends = zip(*rows, strict=True)
-        places = pa.StructArray.from_arrays([pa.array(spots[k::3], pa.int32()) for k in range(3)], names=["place", "start", "stop"])
-        lists = pa.ListArray.from_arrays(pa.array((0, *ends), pa.int32()), places)
-        columns = [pa.array(field, pa.string()), pa.array(term, pa.string()), ids.take(pa.array(row, pa.int64())), pa.array(n, pa.int32()), pa.array(size, pa.int32()), pa.array(leads, pa.bool_()), lists]
+def spots() -> Column:
+    """The spots of a stored posting, as (place, start, stop)."""
+    at = lambda k: F.get(F.col("spots"), k).alias
+    return F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(at(k * 3)("place"), at(k * 3 + 1)("start"), at(k * 3 + 2)("stop")))
+
+
+def flat_postings(documents: DataFrame) -> DataFrame:
+    """(bucket, field, term, id, n, size, leads, spots): size: terms of the field; leads marks the posting of the first term of each document's field.
+
+    A document's terms are gathered where its text is read, so that only finished postings are shuffled. spots holds
+    three numbers for each word: its place, and those of the characters from which to which it stands, one after another
+    lest each be a row within the row. Words of the stop list have no stem.
+    """
+    schema = T.StructType([*T.StructType.fromDDL("field string, term string"), documents.schema["id"], *T.StructType.fromDDL("n int, size int, leads boolean, spots array<int>")])
+
+    def packed(ids: pa.Array, field: str, terms: list[str], row: np.ndarray, code: np.ndarray, spots: list[np.ndarray]) -> pa.RecordBatch:
+        """Postings of the words of some texts, in order: each with its text's row, its code and its spot."""
+        has = code >= 0
+        row, code, spots = row[has], code[has], [s[has] for s in spots]
+        sizes, heads = np.bincount(row), np.diff(row, prepend=-1) != 0
+        order = np.argsort(row.astype(np.int64) * len(terms) + code, kind="stable")  # places keep their order
+        by_row, by_code = row[order], code[order]
+        first = np.flatnonzero((np.diff(by_row, prepend=-1) != 0) | (np.diff(by_code, prepend=-1) != 0))
+        ends = np.append(first, len(order)).astype(np.int32)
+        used, at = np.unique(by_code[first], return_inverse=True)
+        places = pa.array(np.stack([s[order] for s in spots], axis=1).astype(np.int32).ravel())
+        term = pa.array([terms[c] for c in used.tolist()], pa.string()).take(pa.array(at))
+        columns = [pa.repeat(field, len(first)), term, ids.take(pa.array(by_row[first])), pa.array(np.diff(ends), pa.int32()), pa.array(sizes[by_row[first]], pa.int32()), pa.array(heads[order[first]]), pa.ListArray.from_arrays(pa.array(ends * 3), places)]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a word is looked up here once, so that the function's own memory of words is passed by
+        analysed = analysed_word.__wrapped__
+        stems, folded = _Codes(lambda w: analysed(w)[0]), _Codes(lambda w: analysed(w)[1])
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                rows, spots = [], []
-                for row, values in enumerate(zip(*[batch.column(c).to_pylist() for c in (NAME, DESCRIPTION, SKU, EAN)], strict=True)):
-                    for column, value in zip((NAME, DESCRIPTION, SKU, EAN), values, strict=True):
-                        for field, (size, terms) in _terms(column, value).items() if value is not None else ():
-                            for k, (term, places) in enumerate(terms.items()):
-                                spots += places
-                                rows.append((field, term, row, len(places) // 3, size, k == 0, len(spots) // 3))
-                    if len(spots) >= 3 * SPOTS:
-                        yield packed(batch.column("id"), rows, spots)
-                        rows, spots = [], []
-                if rows:
-                    yield packed(batch.column("id"), rows, spots)
+                ids = batch.column("id")
+                for column in (NAME, DESCRIPTION):
+                    kinds = [(NAME, stems), (NAME_WORDS, folded)] if column == NAME else [(DESCRIPTION, stems)]
+                    rows, held = [], 0
+                    values = batch.column(column).to_pylist()
+                    for row, value in enumerate(values):
+                        if value:
+                            words, start, stop = _words(value)
+                            if words:
+                                rows.append((np.full(len(words), row), np.arange(len(words)), start, stop, *(np.fromiter(map(c.__getitem__, words), np.int64, len(words)) for _, c in kinds)))
+                                held += len(words)
+                        if rows and (held >= SPOTS or row == len(values) - 1):
+                            of, place, start, stop, *codes = map(np.concatenate, zip(*rows, strict=True))
+                            for (field, known), code in zip(kinds, codes, strict=True):
+                                yield packed(ids, field, known.terms, of, code, [place, start, stop])
+                                known.bound()
+                            rows, held = [], 0
+                for column in (SKU, EAN):
+                    found = [(row, value) for row, value in enumerate(batch.column(column).to_pylist()) if value is not None]
+                    if found:
+                        each, none = np.arange(len(found)), np.zeros(len(found), np.int32)
+                        yield packed(ids, column, [v.lower() if column == SKU else v for _, v in found], np.array([r for r, _ in found]), each, [none, none, np.array([len(v) for _, v in found])])
 
     # by id, as a file may come as one partition
-    found = documents.select("id", NAME, DESCRIPTION, SKU, EAN).repartition("id").mapInArrow(run, schema)
+    found = dealt(documents.select("id", NAME, DESCRIPTION, SKU, EAN), "id").mapInArrow(run, schema)
     return found.select(bucket(F.col("term")).alias("bucket"), *schema.names)
 
 
@@ -134,10 +182,24 @@ def parts_of(size: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
+def halves_of(size: int, left: str, right: str) -> Iterator[str]:
+    """Forms of the halves of a term of that size: as they are, and without one of their letters.
+
+    Two edits leave one half with one at most: what crosses the middle, a swap or a swap around an edit, is three
+    edits of the halves together.
+    """
+    for side, half in (("l", left), ("r", right)):
+        for form in shortened(half, 1):
+            yield f"{size}{side}{form}"
+
+
 def forms_of_stem(term: str) -> list[tuple[str, int]]:
     """What the index holds of a stem: (form, letters left out)."""
-    if len(term) <= LONG:
+    if len(term) <= SHORT:
         return list(shortened(term, 2).items())
+    if len(term) <= LONG:
+        half = len(term) // 2
+        return [(form, 0) for form in halves_of(len(term), term[:half], term[half:])]
     if len(term) > LONGEST + 2:
         return []
     return [(f"{len(term)}:{k}:{term[a:b]}", 0) for k, (a, b) in enumerate(parts_of(len(term)))]
@@ -147,8 +209,11 @@ def forms_of_query(term: str) -> list[tuple[str, int]]:
     """What a search looks up for a term: every stem within its edits has one of these forms, with no more letters left out."""
     most = 0 if len(term) < 3 else 1 if len(term) <= 5 else 2
     found = []
-    if len(term) <= LONG + most:
+    if len(term) <= SHORT + most:
         found += [(form, most) for form in shortened(term, most)]
+    for size in range(max(SHORT + 1, len(term) - most), min(LONG, len(term) + most) + 1):
+        half = size // 2
+        found += {(form, 0) for k in (-1, 0, 1) for form in halves_of(size, term[: half + k], term[len(term) - (size - half) + k :])}
     for size in range(max(LONG + 1, len(term) - most), len(term) + most + 1):
         for k, (a, b) in enumerate(parts_of(size)):
             found += {(f"{size}:{k}:{term[a + shift : b + shift]}", 0) for shift in range(-most, most + 1) if a + shift >= 0}
@@ -167,7 +232,7 @@ def neighbours(terms: DataFrame) -> DataFrame:
                 form, deleted = (pa.array([f[k] for forms in found for f in forms], t) for k, t in enumerate((pa.string(), pa.int32())))
                 yield pa.RecordBatch.from_arrays([form, deleted, some.take(of)], names=["form", "deleted", "term"])
 
-    rows = terms.select("term").mapInArrow(run, "form string, deleted int, term string")
+    rows = dealt(terms.select("term"), "term").mapInArrow(run, "form string, deleted int, term string")
     rows = rows.select(F.pmod(F.xxhash64("form"), F.lit(BUCKETS)).cast("int").alias("bucket"), "form", "deleted", "term")
     return rows.repartition("bucket").sortWithinPartitions("bucket", "form")
 
@@ -221,14 +286,15 @@ class TextIndex:
 
     def fill(self, change: Change, documents: DataFrame) -> None:
         """Index all documents anew."""
-        rows = self._laid(change, laid_out(postings(documents)), True)
+        rows = self._laid(change, laid_out(flat_postings(documents)), True)
         change.replace("terms", term_counts(rows).repartitionByRange("field", "term").sortWithinPartitions("field", "term"))
         change.replace("lengths", field_lengths(rows))
-        change.replace("neighbours", neighbours(rows.where(F.col("field").isin(NAME, DESCRIPTION)).select("term").distinct()))
+        counted = self.store._read(change.layers["terms"][-1]["rows"])
+        change.replace("neighbours", neighbours(counted.where(F.col("field").isin(NAME, DESCRIPTION)).select("term").distinct()))
 
     def update(self, change: Change, before: DataFrame, after: DataFrame) -> None:
         """Index changed documents: before as they were (none of the new ones), after as they are (none of the deleted ones)."""
-        old, rows = postings(before), self._laid(change, laid_out(postings(after)), False, before.select("id"))
+        old, rows = flat_postings(before), self._laid(change, laid_out(flat_postings(after)), False, before.select("id"))
         signed = lambda counts, sign: counts.withColumns({c: F.col(c) * sign for c in ("documents", "occurrences")})
         for name, count in (("terms", term_counts), ("lengths", field_lengths)):
             change.put(name, signed(count(rows), 1).unionByName(signed(count(old), -1)))
@@ -349,8 +415,8 @@ class TextIndex:
         """(id, highlight) of the documents (a page of them): marked texts by field, cut at the stored places."""
         found = self._read(self._asked(text)).join(F.broadcast(documents.select("id")), "id", "left_semi")  # a page
         shown = F.when(F.col("field") == NAME_WORDS, NAME).otherwise(F.col("field"))
-        spots = found.select("id", shown.alias("field"), F.explode("spots").alias("s")).groupBy("id").agg(F.collect_set(F.struct("field", "s.start", "s.stop")).alias("marks"))
-        marked = documents.join(spots, "id", "left")
+        marks = found.select("id", shown.alias("field"), F.explode(spots()).alias("s")).groupBy("id").agg(F.collect_set(F.struct("field", "s.start", "s.stop")).alias("marks"))
+        marked = documents.join(marks, "id", "left")
         none = F.array().cast("array<struct<field:string,start:int,stop:int>>")
 
         def entry(name: str) -> Column:

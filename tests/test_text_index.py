@@ -283,3 +283,31 @@ def test_letters_swapped_around_an_edit(spark, tmp_path):
     assert {g for g in got if g[0] != long} == {(q, n, d) for q in short for n in stems if abs(len(q) - len(n)) < 3 and (d := unrestricted(q, n)) <= allowed(q)}
     assert {t for q, t, _ in got if q == long} == stems & {long, long[:9] + "kxj" + long[11:], long[:9] + "lj" + long[12:]}
     assert {("ertoin", "eroutin", 2), ("ertoin", "erortin", 2), ("hation", "athtion", 2)} <= got
+
+
+def test_work_of_the_index_is_dealt_and_bounded(spark, monkeypatch):
+    """Few bytes may be much work: analysis and forms get parts of their own; a stem has about as many forms as letters."""
+    own = spark.createDataFrame([("SKU", "Kladivo", "", None, None)], "id string, name string, description string, sku string, ean string").coalesce(1)
+    least = 4 * spark.sparkContext.defaultParallelism
+    assert text_index.postings(own).rdd.getNumPartitions() >= least
+    assert text_index.dealt(own.select(F.col("name").alias("term")), "term").rdd.getNumPartitions() >= least
+    assert all(len(text_index.forms_of_stem("abcdefghijklmnopqrstuvwxyz"[:n])) <= 29 for n in range(1, 27))
+    # words that are forgotten between texts are numbered anew
+    rows = [(str(k), f"alfa{k} beta{k} alfa{k} beta", "", None, None) for k in range(40)]
+    texts = spark.createDataFrame(rows, "id string, name string, description string, sku string, ean string").coalesce(1)
+    want = sorted(map(str, text_index.postings(texts).collect()))
+    monkeypatch.setattr(text_index, "KNOWN", 3)
+    monkeypatch.setattr(text_index, "SPOTS", 8)
+    assert sorted(map(str, text_index.postings(texts).collect())) == want and len(want) == 40 * 6
+
+
+def test_two_edits_leave_a_half_with_one_at_most(spark, tmp_path):
+    """All kinds of two edits, of stems whose halves are indexed, at every place; and swaps around an edit."""
+    rng = random.Random(11)
+    once = lambda w: [w[:i] + x for i in range(len(w) + 1) for x in (w[i + 1 :], "q" + w[i:], "q" + w[i + 1 :], w[i : i + 2][::-1] + w[i + 2 :])]
+    for n in (6, 8, 9, 13, 23, 24, 25):
+        word = "".join(rng.sample("abcdefghijklmnoprstuvwxyz", n))
+        asked = {form for form, _ in text_index.forms_of_query(word)}
+        apart = [word[:i] + word[i + 1] + "q" + word[i] + word[i + 2 :] for i in range(n - 1)] + [word[:i] + word[i + 2] + word[i] + word[i + 3 :] for i in range(n - 2)]
+        for near in {v for w in once(word) for v in once(w)} | set(apart):
+            assert asked & {form for form, _ in text_index.forms_of_stem(near)}, (word, near)

@@ -16,8 +16,8 @@ or fewer to a shard on average, so that trees don't grow with the table.
 near_duplicates() takes the pairs within a wide radius as candidates only, and links those whose sets of
 shingles (as 64-bit hashes) have a Jaccard similarity of at least `least`. There a pair must agree in one
 of many sets of bits, which grow in size and number with the table so that its work doesn't grow by the
-square and the share MISSED of the pairs at the least similarity isn't found. At a wide radius a BK-tree
-prunes nothing, so members are compared row by row. Each text first tries its nearest candidate of
+square and the share MISSED of the pairs at the least similarity isn't found. A shard is searched by its BK-tree too: for
+the nearest candidate the radius shrinks to the nearest found so far; beside that, a wide radius prunes little. Each text first tries its nearest candidate of
 another component, ROUNDS times; then all candidates still apart are tried, so that a large group of
 near copies is not compared pair by pair once it hangs together. From the second round on, pairs are left
 out before their sets are fetched where tallies of their hashes by bucket already bound the similarity
@@ -149,23 +149,31 @@ class Forest:
 
     def search(self, sizes: np.ndarray) -> None:
         """Link every member to those of its tree within the radius; sizes: of each member's group."""
+        for member in self.some(sizes):
+            self.follow(member, self.root[member], self.link)
+
+    def some(self, sizes: np.ndarray) -> Iterator[np.ndarray]:
+        """All members, so many at a time that VISITS nodes are visited about at once."""
         ends = np.cumsum(sizes)
         start = 0
         while start < len(ends):
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + VISITS)))
-            member = np.arange(start, stop)
-            self.follow(member, self.root[member])
+            yield np.arange(start, stop)
             start = stop
 
-    def follow(self, member: np.ndarray, node: np.ndarray) -> None:
-        """Visit nodes, level by level, following the edges within the radius of the member's distance."""
+    def link(self, member: np.ndarray, node: np.ndarray, apart: np.ndarray) -> int:
+        near = (apart <= self.radius) & (member != node)
+        self.union(member[near], node[near])
+        return self.radius
+
+    def follow(self, member: np.ndarray, node: np.ndarray, met: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray | int]) -> None:
+        """Visit nodes, level by level, following the edges within a radius of the member's distance: what met(member, node, apart) gives."""
         while len(member):
             self.visited += len(member)
             apart = _distances(self.prints[member], self.prints[node])
-            near = (apart <= self.radius) & (member != node)
-            self.union(member[near], node[near])
-            low = np.searchsorted(self.edges, node * self.wide + np.maximum(apart - self.radius, 0))
-            high = np.searchsorted(self.edges, node * self.wide + np.minimum(apart + self.radius, self.wide - 1), side="right")
+            reach = met(member, node, apart)
+            low = np.searchsorted(self.edges, node * self.wide + np.maximum(apart - reach, 0))
+            high = np.searchsorted(self.edges, node * self.wide + np.minimum(apart + reach, self.wide - 1), side="right")
             count = high - low
             member = np.repeat(member, count)
             node = self.children[np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(member))]
@@ -368,35 +376,46 @@ def candidates(found: DataFrame, radius: int, keys: Keys, nearest: bool, least:
             columns = [pa.array(one, pa.int64()), pa.array(two, pa.int64(), mask=~fit), pa.array(bits_apart, pa.int64()), pa.array(number, pa.int32())]
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "apart", "at"])
 
-        for start, size in zip(*_blocks(batch), strict=True):
-            if size < 2:
-                continue
-            rows, number = np.arange(start, start + size), int(key[start]) >> len(keys[0])
-            other = side[rows] != side[start]
+        first, sizes = _blocks(batch)
+        sides = np.maximum.reduceat(side, first) != np.minimum.reduceat(side, first)
+        forest = Forest(prints, first, sizes, radius)
+        split, sizes, numbers = np.repeat(sides, sizes), np.repeat(sizes, sizes), key >> len(keys[0])
+        #: The nearest so far: its distance, then its row.
+        best = np.full(len(prints), (radius + 1) << 32, np.int64)
+        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def met(member: np.ndarray, at: np.ndarray, apart: np.ndarray) -> np.ndarray | int:
             # of two blocks, each is compared with the other
-            for own, theirs in [(rows[~other], rows[other]), (rows[other], rows[~other])] if other.any() else [(rows, rows)]:
-                for k in range(0, len(own), 256):
-                    x = own[k : k + 256]
-                    apart = np.zeros((len(x), len(theirs)), np.int16)
-                    for w in range(prints.shape[1]):
-                        apart += np.bitwise_count(prints[x, w][:, None] ^ prints[theirs, w][None])
-                    fits = (apart <= radius) & (component[x][:, None] != component[theirs][None])
-                    if nearest:
-                        i = np.flatnonzero(fits.any(axis=1))
-                        j = np.where(fits[i], apart[i], np.iinfo(np.int16).max).argmin(axis=1)
-                    else:
-                        i, j = np.nonzero(fits & (node[x][:, None] > node[theirs][None]))
-                    # at the first key that a text shares with its nearest, its nearest is as near
-                    fit = first_met(prints, x[i], theirs[j], keys[:number])
-                    if tallies is not None:
-                        fit[fit] = may_be_alike(tallies, x[i[fit]], theirs[j[fit]], least)
-                    if not nearest:
-                        i, j, fit = i[fit], j[fit], fit[fit]
-                    if len(i):
-                        out.append((node[x[i]], node[theirs[j]], apart[i, j], np.full(len(i), number), fit))
-                        held += len(i)
-                    if held >= CHUNK:
-                        yield ended()
+            fits = np.flatnonzero((apart <= radius) & (component[member] != component[at]) & (~split[member] | (side[member] != side[at])))
+            if nearest:
+                np.minimum.at(best, member[fits], apart[fits] << 32 | at[fits])
+                return np.minimum(best[member] >> 32, radius)
+            fits = fits[node[member[fits]] > node[at[fits]]]
+            pairs.append((member[fits], at[fits], apart[fits]))
+            return radius
+
+        for members in forest.some(sizes):
+            forest.follow(members, forest.root[members], met)
+            if nearest:
+                one = members[best[members] >> 32 <= radius]
+                two, bits_apart = best[one] & 0xFFFFFFFF, best[one] >> 32
+            else:
+                one, two, bits_apart = map(np.concatenate, zip(*pairs, strict=True))
+                pairs.clear()
+            for number in np.unique(numbers[one]).tolist():
+                some = numbers[one] == number
+                x, y, apart = one[some], two[some], bits_apart[some]
+                # at the first key that a text shares with its nearest, its nearest is as near
+                fit = first_met(prints, x, y, keys[:number])
+                if tallies is not None:
+                    fit[fit] = may_be_alike(tallies, x[fit], y[fit], least)
+                if not nearest:
+                    x, y, apart, fit = x[fit], y[fit], apart[fit], fit[fit]
+                if len(x):
+                    out.append((node[x], node[y], apart, np.full(len(x), number), fit))
+                    held += len(x)
+                if held >= CHUNK:
+                    yield ended()
         if held:
             yield ended()
 
@@ -424,7 +443,8 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     parts = max(1, -(-sets.count() // CELL))
     own = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
     pairs = pairs.withColumn("cell", own("a") * parts + own("b"))
-    needed = pairs.select(F.col("cell").alias("to"), F.col("a").alias("node")).union(pairs.select("cell", "b")).distinct().join(sets, "node")
+    # the ids are broadcast, lest the sets be shuffled once more
+    needed = sets.join(broadcast_if_small(pairs.select(F.col("cell").alias("to"), F.col("a").alias("node")).union(pairs.select("cell", "b")).distinct(), CANDIDATE_ROWS), "node").select("to", "node", "hashes")
 
     def compared(links: pa.Table, rows: pa.Table) -> pa.Table:
         hashes = {n: np.frombuffer(h, np.uint64) for n, h in zip(rows.column("node").to_pylist(), rows.column("hashes").to_pylist(), strict=True)}
@@ -523,7 +543,8 @@ def near_duplicates(docs: DataFrame, width: int, bits: int, radius: int, least:
             break
         if sets is None:
             # every node of a pair has a nearest one
-            nodes = materialize(nodes.drop("component").join(pairs.select(F.col("a").alias("node")), "node", "left_semi"), "candidate-nodes")
+            met = broadcast_if_small(pairs.select(F.col("a").alias("node")), CANDIDATE_ROWS)
+            nodes = materialize(nodes.drop("component").join(met, "node", "left_semi"), "candidate-nodes")
             known = nodes
             wanted = broadcast_if_small(nodes.select(F.col("rep").alias("doc_id"), "node", F.col("digest").alias("node_digest")), CANDIDATE_ROWS)
             near = docs.select("doc_id", text).join(wanted, "doc_id")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -593,3 +594,31 @@ def test_contexts_stop_at_the_text_before():
         want += [[own[i - 1 - j] if i > j else 0 for j in range(bilinear_lm.CONTEXT)] for i in range(n)]
         at += n
     assert bilinear_lm.contexts(units, lengths, 0).tolist() == np.array(want).tolist()
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_candidates_are_found_by_bk_trees(spark, monkeypatch, split):
+    """The nearest of another component, and all such pairs, equal all pairs' comparison, and no shard is compared row by row."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (2, 6), dtype=np.uint64)
+    prints = np.concatenate([base[k // 30] ^ (np.uint64(1) << rng.integers(0, 64, 6, dtype=np.uint64)) for k in range(60)] + [rng.integers(0, 2**63, 6, dtype=np.uint64) for _ in range(20)]).reshape(80, 6)
+    component, side = np.arange(80) // 3, np.arange(80) % 2 if split else np.zeros(80, int)
+    order = np.argsort(side, kind="stable")
+    columns = [np.zeros(80, np.int64), np.zeros(80, np.int32), side[order].astype(np.int32)]
+    raw = pa.array([prints[k].astype(">u8").tobytes() for k in order], pa.binary())
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), raw, pa.array(order), pa.array(component[order])], names=["key", "block", "side", "fingerprint", "rep", "component"])
+    trees, caught, forest = [], [], simhash.Forest
+    monkeypatch.setattr(simhash, "Forest", lambda *of: trees.append(forest(*of)) or trees[-1])
+    monkeypatch.setattr(simhash, "_search", lambda rows, keys, found_in, out: caught.append(found_in) or spark.createDataFrame([], out))
+    found = spark.createDataFrame([], "fingerprint binary, node bigint, component bigint")
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=int)
+    fits = (apart <= 76) & (component[:, None] != component[None]) & ((side[:, None] != side[None]) | (not split))
+    for nearest in (True, False):
+        simhash.candidates(found, 76, [[0, 1]], nearest)
+        got = [(r["a"], r["b"], r["apart"]) for out in caught[-1](batch) for r in out.to_pylist()]
+        if nearest:
+            assert {(a, d) for a, _, d in got} == {(a, apart[a][fits[a]].min()) for a in range(80) if fits[a].any()} and all(fits[a, b] and apart[a, b] == d for a, b, d in got)
+            assert 80 <= trees[-1].visited < 80 * 80  # edges beyond the nearest so far weren't followed
+        else:
+            assert sorted(got) == sorted((a, b, apart[a, b]) for a in range(80) for b in range(a) if fits[a, b])
+    assert len(trees) == 2 and len(got) > 100

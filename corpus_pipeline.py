@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import language, packing, simhash, toxicity
-from larder.llm.common import materialize, release, table
+from larder.llm.common import broadcast_if_small, materialize, release, table
 
 #: Near-duplicates: words of a shingle, least similarity of two texts' shingle sets, bits of a
 #: fingerprint, and the differing bits that texts of that similarity hardly ever exceed (one in 220 does).
 SHINGLE, SIMILARITY, BITS, RADIUS = 5, 0.8, 384, 76
+#: Ids that may be broadcast (8 bytes each), lest texts be shuffled.
+IDS = 1 << 22
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -66,8 +68,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     release(pairs)
     gone = found.where("doc_id > component_id").select("doc_id").distinct()
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = rows.join(gone, "doc_id", "left_anti")
+    kept = rows.join(broadcast_if_small(gone, IDS), "doc_id", "left_anti")
     if not repeated.isEmpty():
+        repeated = broadcast_if_small(repeated, IDS)
         once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
         kept = kept.join(repeated, "doc_id", "left_anti").select("row").union(once.select("row"))
     return kept.select("row.*")

@@ -622,3 +622,20 @@ def test_candidates_are_found_by_bk_trees(spark, monkeypatch, split):
         else:
             assert sorted(got) == sorted((a, b, apart[a, b]) for a in range(80) for b in range(a) if fits[a, b])
     assert len(trees) == 2 and len(got) > 100
+
+
+def test_near_duplicates_leave_without_a_shuffle_of_texts(spark, monkeypatch):
+    """The ids that go are broadcast up to a bound, whatever Spark takes the tables' sizes for."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *_: spark.createDataFrame([(1, 1), (2, 1), (3, 3), (3, 3)], "doc_id bigint, component_id bigint"))
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (3, "b")], "doc_id bigint, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(map(tuple, kept.collect())) == [(1, "a"), (3, "b")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

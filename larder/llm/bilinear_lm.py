@@ -43,8 +43,8 @@ from larder.llm.common import as_bytes, materialize, release
 
 WORDS, ENDINGS, CONTEXT, WIDTH, NOISE, BATCH, RATE = 8, 2, 3, 16, 32, 2048, 0.2
 BLOCK_BYTES, WARM_TOKENS = 12 << 20, 400_000
-#: Parameters of a row when they are averaged; logits held at a time.
-PART, LOGITS = 1 << 14, 1 << 20
+#: Parameters of a row when they are averaged; logits held at a time, few enough for a core's cache.
+PART, LOGITS = 1 << 14, 1 << 17
 END = b"\n"  # no word holds white space
 
 
@@ -238,6 +238,8 @@ class LogBilinear:
         self.group = np.repeat(np.arange(len(starts)), self.sizes)
         self.noise = (uses + 1) / (uses + 1).sum()
         self.group_noise = np.add.reduceat(self.noise, starts)
+        # what each step of noise needs: its sums, to draw by, and the logs of its expected counts
+        self.drawing = [(np.cumsum(n), n.sum(), np.log(NOISE * n).astype(np.float32)) for n in (self.noise, self.group_noise)]
         draw = lambda n: rng.normal(0, 0.3, (n, WIDTH)).astype(np.float32)
         self.before, self.after, self.groups = draw(len(uses)), draw(len(uses)), draw(len(starts))
         self.places = np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32)
@@ -270,15 +272,15 @@ class LogBilinear:
         s[rows] += gradient * gradient
         p[rows] -= RATE * gradient / np.sqrt(s[rows])
 
-    def _contrast(self, q: np.ndarray, own: np.ndarray, noise: np.ndarray, vectors: int, bias: int, rng: np.random.Generator) -> np.ndarray:
+    def _contrast(self, q: np.ndarray, own: np.ndarray, noise: tuple[np.ndarray, float, np.ndarray], vectors: int, bias: int, rng: np.random.Generator) -> np.ndarray:
         """A noise-contrastive step of the predicted vectors and biases; the slope at q. The noise is shared by the batch."""
         table, base, n = self.parts()[vectors], self.parts()[bias], len(own)
-        drawn = np.searchsorted(np.cumsum(noise), rng.random(NOISE) * noise.sum()).clip(max=len(noise) - 1)
-        offset = np.log(NOISE * noise).astype(np.float32)
+        sums, whole, offset = noise
+        drawn = np.searchsorted(sums, rng.random(NOISE) * whole).clip(max=len(sums) - 1)
         true, false = table[own], table[drawn]
         d_true = -1 / (1 + np.exp(np.clip((q * true).sum(axis=1) + base[own] - offset[own], -60, 60)))
         d_false = 1 / (1 + np.exp(np.clip(offset[drawn] - base[drawn] - q @ false.T, -60, 60)))
-        rows, at = touched(np.concatenate([own, drawn]), len(noise))
+        rows, at = touched(np.concatenate([own, drawn]), len(sums))
         g = scatter(at[:n], d_true[:, None] * q, len(rows))
         np.add.at(g, at[n:], d_false.T @ q)
         g_bias = np.bincount(at[:n], d_true, minlength=len(rows)) + np.bincount(at[n:], d_false.sum(axis=0), minlength=len(rows))
@@ -291,7 +293,7 @@ class LogBilinear:
         for k in range(0, len(nxt), BATCH):
             c, w = ctx[k : k + BATCH].astype(np.int64), nxt[k : k + BATCH].astype(np.int64)
             q = self.predict(c)
-            d_q = (self._contrast(q, w, self.noise, 1, 4, rng) + self._contrast(q, self.group[w], self.group_noise, 2, 5, rng)) / len(w)
+            d_q = (self._contrast(q, w, self.drawing[0], 1, 4, rng) + self._contrast(q, self.group[w], self.drawing[1], 2, 5, rng)) / len(w)
             rows, at = touched(c.T.ravel(), len(self.noise))
             d_before = scatter(at, np.concatenate([d_q * self.places[j] for j in range(CONTEXT)]), len(rows))
             d_places = np.stack([(d_q * self.before[c[:, j]]).sum(axis=0) for j in range(CONTEXT)])

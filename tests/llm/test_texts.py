@@ -639,3 +639,13 @@ def test_near_duplicates_leave_without_a_shuffle_of_texts(spark, monkeypatch):
         assert sorted(map(tuple, kept.collect())) == [(1, "a"), (3, "b")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_what_noise_is_drawn_by_is_computed_once(monkeypatch):
+    """Sums and logs over all units belong to the model, not to each step, and give the same draws."""
+    uses, starts = np.array([50.0, 20, 9, 4, 2, 1]), np.array([0, 2, 4])
+    model = bilinear_lm.LogBilinear(uses, starts)
+    for (sums, whole, logs), noise in zip(model.drawing, (model.noise, model.group_noise), strict=True):
+        assert np.array_equal(sums, np.cumsum(noise)) and whole == noise.sum() and np.allclose(logs, np.log(bilinear_lm.NOISE * noise))
+    monkeypatch.setattr(np, "cumsum", lambda *_, real=np.cumsum, **__: real(*_, **__) if np.asarray(_[0]).dtype != float else pytest.fail("summed in a step"))
+    model.train(np.zeros((40, bilinear_lm.CONTEXT), int), np.arange(40) % 6, np.random.default_rng(0))

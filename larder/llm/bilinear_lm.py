@@ -29,25 +29,56 @@ whatever their names, are not carried.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import as_bytes, materialize, release
+from larder.llm.common import materialize, release
 
 WORDS, ENDINGS, CONTEXT, WIDTH, NOISE, BATCH, RATE = 8, 2, 3, 16, 32, 2048, 0.2
-BLOCK_BYTES, WARM_TOKENS = 12 << 20, 400_000
+BLOCK_BYTES, SLICE_BYTES, WARM_TOKENS = 12 << 20, 2 << 20, 400_000
 #: Parameters of a row when they are averaged; logits held at a time, few enough for a core's cache.
-PART, LOGITS = 1 << 14, 1 << 17
+PART, LOGITS = 1 << 14, 1 << 16
+#: Logits up to so much on either side can be taken to the power of e, and summed, in single precision as they are.
+SAFE = 75.0
 END = b"\n"  # no word holds white space
 
 
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of binary texts, the end first; all tokens as places among them; each text's number of tokens."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words = split.flatten()
+    kept = pc.binary_length(words).to_numpy() > 0  # nothing stands before leading or after trailing white space
+    until = np.append(0, np.cumsum(kept))
+    lengths = np.diff(until[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))]) + 1
+    found = (words if kept.all() else words.filter(pa.array(kept))).dictionary_encode()
+    tokens, ends = np.zeros(lengths.sum(), np.int32), np.cumsum(lengths) - 1
+    word = np.ones(len(tokens), bool)
+    word[ends] = False
+    tokens[word] = found.indices.to_numpy() + 1
+    return pa.concat_arrays([pa.array([END]), found.dictionary.view(pa.binary())]), tokens, lengths
+
+
+def merged(coded: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What coded_words gives of several runs of texts, as of one."""
+    every = pa.concat_arrays([words for words, _, _ in coded]).dictionary_encode()
+    firsts = np.cumsum([0, *(len(words) for words, _, _ in coded)])
+    places = every.indices.to_numpy()
+    return every.dictionary, np.concatenate([places[k:][tokens] for k, (_, tokens, _) in zip(firsts.tolist(), coded, strict=False)]), np.concatenate([lengths for _, _, lengths in coded])
+
+
+def one_row(value: object, kind: pa.DataType) -> pa.Array:
+    """A column of the value alone, of arrays as a list."""
+    if isinstance(value, pa.Array | np.ndarray):
+        return pa.ListArray.from_arrays([0, len(value)], pa.array(value).cast(kind.value_type))
+    return pa.array([value], kind)
+
+
 def blocks(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     """A row for each block: its distinct words, their counts in training texts, and its texts as places of words."""
 
@@ -55,35 +86,27 @@ def blocks(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        place: dict[bytes, int] = {}
         ids, trained, coded, size = [], [], [], 0
 
         def ended() -> pa.RecordBatch:
-            nonlocal place, ids, trained, coded, size, number
-            lengths = np.array([len(c) for c in coded], np.int64)
-            tokens = np.concatenate(coded)
-            counts = np.bincount(tokens[np.repeat(np.array(trained, bool), lengths)], minlength=len(place))
-            row = [part << 24 | number, list(place), counts, ids, trained, lengths, zlib.compress(tokens.tobytes(), 1)]
-            place, ids, trained, coded, size = fresh(), [], [], [], 0
-            number += 1
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
-
-        def fresh() -> dict[bytes, int]:
-            out = defaultdict(count().__next__)
-            out[END]
-            return out
+            words, tokens, lengths = merged(coded)
+            counts = np.bincount(tokens[np.repeat(np.array(trained, bool), lengths)], minlength=len(words))
+            row = [part << 24 | number, words, counts, ids, trained, lengths, zlib.compress(tokens.tobytes(), 1)]
+            return pa.RecordBatch.from_arrays([one_row(v, f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
 
-        place = fresh()
         for batch in batches:
-            for doc_id, used, raw in zip(batch.column("doc_id").to_pylist(), batch.column("training").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                words = raw.lower().split()
-                words.append(END)
-                ids.append(doc_id)
-                trained.append(used)
-                coded.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
-                size += len(raw)
+            text = batch.column("text").cast(pa.binary()).fill_null(b"")
+            sizes, at = np.cumsum(pc.binary_length(text).to_numpy(), dtype=np.int64), 0
+            while at < len(text):
+                done = int(sizes[at - 1]) if at else 0
+                end = min(len(text), 1 + int(np.searchsorted(sizes, done + min(SLICE_BYTES, BLOCK_BYTES - size))))
+                ids += batch.column("doc_id").slice(at, end - at).to_pylist()
+                trained += batch.column("training").slice(at, end - at).to_pylist()
+                coded.append(coded_words(text.slice(at, end - at)))
+                size, at = size + int(sizes[end - 1]) - done, end
                 if size >= BLOCK_BYTES:
                     yield ended()
+                    ids, trained, coded, size, number = [], [], [], 0, number + 1
         if ids:
             yield ended()
 
@@ -96,7 +119,8 @@ def corpus_counts(table: DataFrame) -> DataFrame:
     """(block, place, word, total, first): each block's words with their corpus count; first marks one row a word."""
     rows = table.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     same = Window.partitionBy("word")
-    return rows.select("block", "place", "word", F.sum("n").over(same).alias("total"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
+    # both without an order, so that one sort serves them; a block has a word once
+    return rows.select("block", "place", "word", F.sum("n").over(same).alias("total"), (F.min("block").over(same) == F.col("block")).alias("first"))
 
 
 def ending(word: Column) -> Column:
@@ -161,10 +185,14 @@ def code(table: DataFrame, counted: DataFrame, units: Units) -> DataFrame:
     shared, masses, kind = units.shared, units.masses, units.kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, text, totals, owns = None, None, [], []
+        at, text, places, totals, owns = None, None, [], [], []
 
         def ended() -> pa.RecordBatch:
-            total, own = np.concatenate(totals)[1:], np.concatenate(owns)[1:]
+            # rows come in any order; the text's place is -1, so that its row falls behind the words
+            place = np.concatenate(places)
+            total, own = np.empty(len(place), np.int64), np.empty(len(place), np.int32)
+            total[place], own[place] = np.concatenate(totals), np.concatenate(owns)
+            total, own = total[:-1], own[:-1]
             tokens = np.frombuffer(zlib.decompress(text["tokens"]), np.int32)
             lengths = np.array(text["lengths"], np.int64)
             starts = np.cumsum(lengths) - lengths
@@ -181,13 +209,15 @@ def code(table: DataFrame, counted: DataFrame, units: Units) -> DataFrame:
                 if a == b:
                     continue
                 if block[a] != at:
-                    if text:
+                    if at is not None:
                         yield ended()
-                    at, totals, owns = int(block[a]), [], []
-                    text = batch.select(["ids", "training", "lengths", "tokens"]).slice(a, 1).to_pylist()[0]
+                    at, text, places, totals, owns = int(block[a]), None, [], [], []
+                places.append(batch.column("place").slice(a, b - a).to_numpy())
+                for k in (np.flatnonzero(places[-1] < 0) + a).tolist():
+                    text = batch.select(["ids", "training", "lengths", "tokens"]).slice(k, 1).to_pylist()[0]
                 totals.append(batch.column("total").slice(a, b - a).to_numpy())
                 owns.append(batch.column("unit").slice(a, b - a).to_numpy())
-        if text:
+        if at is not None:
             yield ended()
 
     arrow = pa.schema([("block", pa.int64()), ("units", pa.binary()), ("ids", pa.list_(pa.int64())), ("training", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("known", pa.list_(pa.int64())), ("word_log", pa.list_(pa.float64())), ("share_log", pa.list_(pa.float64()))])
@@ -195,7 +225,8 @@ def code(table: DataFrame, counted: DataFrame, units: Units) -> DataFrame:
     tasks = max(1, blocks_of[0])
     # the blocks of a task follow one another in steps of the tasks, so that nearly every one gets a task of its own
     to = (F.shiftright("block", 24) + F.col("block").bitwiseAND((1 << 24) - 1) * (blocks_of[1] + 1)) % tasks
-    together = rows.union(texts).repartitionById(tasks, to.cast("int")).sortWithinPartitions("block", "place")
+    # one number to sort by, which needs no comparisons
+    together = rows.union(texts).repartitionById(tasks, to.cast("int")).sortWithinPartitions("block")
     return together.mapInArrow(run, "block bigint, units binary, ids array<bigint>, training array<boolean>, lengths array<bigint>, known array<bigint>, word_log array<double>, share_log array<double>")
 
 
@@ -219,13 +250,20 @@ def spans(lengths: np.ndarray, tokens: int = 1 << 18) -> Iterator[tuple[int, int
         first = last
 
 
-def log_softmax_at(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log of each row's softmax at its own column; overwrites logits."""
+def log_softmax_at(logits: np.ndarray, own: np.ndarray, most: float = np.inf) -> np.ndarray:
+    """Log of each row's softmax at its own column; overwrites logits, of which none is beyond most on either side."""
     at = logits[np.arange(len(logits)), own].astype(np.float64)
-    most = logits.max(axis=1, keepdims=True)
-    logits -= most
+    if most > SAFE:
+        shift = logits.max(axis=1, keepdims=True)
+        logits -= shift
+        at -= shift[:, 0]
     np.exp(logits, out=logits)
-    return at - most[:, 0] - np.log(logits.sum(axis=1, dtype=np.float64))
+    return at - np.log((logits @ np.ones(logits.shape[1], np.float32)).astype(np.float64))
+
+
+def longest(rows: np.ndarray) -> float:
+    """The largest Euclidean length of the rows."""
+    return float(np.sqrt(np.einsum("ij,ij->i", rows, rows).max(initial=0)))
 
 
 class LogBilinear:
@@ -241,11 +279,15 @@ class LogBilinear:
         # what each step of noise needs: its sums, to draw by, and the logs of its expected counts
         self.drawing = [(np.cumsum(n), n.sum(), np.log(NOISE * n).astype(np.float32)) for n in (self.noise, self.group_noise)]
         draw = lambda n: rng.normal(0, 0.3, (n, WIDTH)).astype(np.float32)
-        self.before, self.after, self.groups = draw(len(uses)), draw(len(uses)), draw(len(starts))
+        self.before = draw(len(uses))
+        # vectors of units and of groups, each with its bias as the last column, which meets a one
+        self.predicted = [np.column_stack([draw(len(n)), np.log(n).astype(np.float32)]) for n in (self.noise, self.group_noise)]
+        (self.after, self.bias), (self.groups, self.group_bias) = ((p[:, :WIDTH], p[:, WIDTH]) for p in self.predicted)
         self.places = np.full((CONTEXT, WIDTH), 1 / CONTEXT, np.float32)
-        self.bias = np.log(self.noise).astype(np.float32)
-        self.group_bias = np.log(self.group_noise).astype(np.float32)
-        self.squares = [np.full(p.shape, 1e-3, np.float32) for p in self.parts()]
+        self.squares = [np.full(p.shape, 1e-3, np.float32) for p in (self.before, *self.predicted, self.places)]
+        # what steps write over again and again: fresh memory of this size costs more than the sums
+        self.slopes = np.empty((BATCH, NOISE), np.float32)
+        self.place = np.empty(len(uses), np.int64)
 
     def parts(self) -> list[np.ndarray]:
         return [self.before, self.after, self.groups, self.places, self.bias, self.group_bias]
@@ -260,75 +302,107 @@ class LogBilinear:
             at += p.size
         return self
 
-    def predict(self, ctx: np.ndarray) -> np.ndarray:
-        out = self.before[ctx[:, 0]] * self.places[0]
+    def predict(self, seen: list[np.ndarray]) -> np.ndarray:
+        """The sum of the scaled vectors seen at each place, and a one for the bias."""
+        out = np.ones((len(seen[0]), WIDTH + 1), np.float32)
+        q = seen[0] * self.places[0]
         for j in range(1, CONTEXT):
-            out += self.before[ctx[:, j]] * self.places[j]
+            q += seen[j] * self.places[j]
+        out[:, :WIDTH] = q
         return out
 
-    def _step(self, part: int, gradient: np.ndarray, rows: np.ndarray | slice = np.s_[:]) -> None:
-        """Move the rows of a part against the gradient, by the root of the squares so far."""
-        p, s = self.parts()[part], self.squares[part]
-        s[rows] += gradient * gradient
-        p[rows] -= RATE * gradient / np.sqrt(s[rows])
+    def _step(self, p: np.ndarray, squares: np.ndarray, gradient: np.ndarray, rows: np.ndarray) -> None:
+        """Move rows of a part against the gradient, by the root of the squares so far."""
+        sums = squares.take(rows, axis=0)
+        sums += gradient * gradient
+        squares[rows] = sums
+        p[rows] = p.take(rows, axis=0) - RATE * gradient / np.sqrt(sums)
 
-    def _contrast(self, q: np.ndarray, own: np.ndarray, noise: tuple[np.ndarray, float, np.ndarray], vectors: int, bias: int, rng: np.random.Generator) -> np.ndarray:
-        """A noise-contrastive step of the predicted vectors and biases; the slope at q. The noise is shared by the batch."""
-        table, base, n = self.parts()[vectors], self.parts()[bias], len(own)
-        sums, whole, offset = noise
+    def _contrast(self, q: np.ndarray, own: np.ndarray, kind: int, rng: np.random.Generator) -> np.ndarray:
+        """A noise-contrastive step of predicted units (kind 0) or groups (1); the slope at q. The noise is shared by the batch."""
+        table, squares, (sums, whole, offset), n = self.predicted[kind], self.squares[1 + kind], self.drawing[kind], len(own)
         drawn = np.searchsorted(sums, rng.random(NOISE) * whole).clip(max=len(sums) - 1)
-        true, false = table[own], table[drawn]
-        d_true = -1 / (1 + np.exp(np.clip((q * true).sum(axis=1) + base[own] - offset[own], -60, 60)))
-        d_false = 1 / (1 + np.exp(np.clip(offset[drawn] - base[drawn] - q @ false.T, -60, 60)))
-        rows, at = touched(np.concatenate([own, drawn]), len(sums))
-        g = scatter(at[:n], d_true[:, None] * q, len(rows))
-        np.add.at(g, at[n:], d_false.T @ q)
-        g_bias = np.bincount(at[:n], d_true, minlength=len(rows)) + np.bincount(at[n:], d_false.sum(axis=0), minlength=len(rows))
-        self._step(vectors, (g / n).astype(np.float32), rows)
-        self._step(bias, (g_bias / n).astype(np.float32), rows)
-        return d_true[:, None] * true + d_false @ false
-
+        true, false = table.take(own, axis=0), table.take(drawn, axis=0)
+        d_true = -1 / (1 + np.exp(np.einsum("ij,ij->i", q, true) - offset.take(own)))
+        against = -false
+        against[:, WIDTH] += offset[drawn]
+        d_false = np.matmul(q, against.T, out=self.slopes[:n])
+        np.exp(d_false, out=d_false)
+        d_false += 1
+        np.divide(1, d_false, out=d_false)
+        rows, at = self._touched(np.concatenate([own, drawn]))
+        g = scatter(at, np.concatenate([d_true[:, None] * q, (q.T @ d_false).T]), len(rows))
+        true *= d_true[:, None]
+        true += d_false @ false
+        g /= n
+        self._step(table, squares, g, rows)
+        return true[:, :WIDTH]
+
+    def _touched(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct ids, and the place of each id among them."""
+        here = np.zeros(len(self.place), bool)
+        here[ids] = True
+        rows = np.flatnonzero(here)
+        self.place[rows] = np.arange(len(rows))
+        return rows, self.place.take(ids)
+
+    @np.errstate(over="ignore")  # a power beyond single precision gives a slope of zero, as it should
     def train(self, ctx: np.ndarray, nxt: np.ndarray, rng: np.random.Generator) -> None:
         """One pass of noise-contrastive steps, of units among all units and of groups among all groups."""
         for k in range(0, len(nxt), BATCH):
-            c, w = ctx[k : k + BATCH].astype(np.int64), nxt[k : k + BATCH].astype(np.int64)
-            q = self.predict(c)
-            d_q = (self._contrast(q, w, self.drawing[0], 1, 4, rng) + self._contrast(q, self.group[w], self.drawing[1], 2, 5, rng)) / len(w)
-            rows, at = touched(c.T.ravel(), len(self.noise))
-            d_before = scatter(at, np.concatenate([d_q * self.places[j] for j in range(CONTEXT)]), len(rows))
-            d_places = np.stack([(d_q * self.before[c[:, j]]).sum(axis=0) for j in range(CONTEXT)])
-            self._step(0, d_before.astype(np.float32), rows)
-            self._step(3, d_places.astype(np.float32))
+            c, w = ctx[k : k + BATCH].T.astype(np.int64, order="C"), nxt[k : k + BATCH].astype(np.int64)
+            seen = [self.before.take(ids, axis=0) for ids in c]
+            q = self.predict(seen)
+            d_q = (self._contrast(q, w, 0, rng) + self._contrast(q, self.group.take(w), 1, rng)) / len(w)
+            ids, slopes = shared_contexts(c, [d_q * place for place in self.places])
+            rows, at = self._touched(ids)
+            d_before = scatter(at, slopes, len(rows))
+            d_places = np.stack([np.einsum("ij,ij->j", d_q, s) for s in seen])
+            self._step(self.before, self.squares[0], d_before, rows)
+            self._step(self.places, self.squares[3], d_places, np.arange(CONTEXT))
 
     def log10(self, ctx: np.ndarray, nxt: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each next unit."""
-        own = self.group[nxt]
-        q, out = self.predict(ctx), np.empty(len(nxt))
-        step = max(1, LOGITS // len(self.groups))
-        for k in range(0, len(nxt), step):
-            out[k : k + step] = log_softmax_at(q[k : k + step] @ self.groups.T + self.group_bias, own[k : k + step])
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(len(self.starts) + 1))
+        n, own = len(nxt), self.group.take(nxt)
+        order = np.argsort(own.astype(np.uint16) if len(self.starts) <= 1 << 16 else own, kind="stable")
+        cuts = np.searchsorted(own.take(order), np.arange(len(self.starts) + 1))
+        q, out = np.empty((n, WIDTH + 1), np.float32), np.empty(n)
+        # no logit is beyond the longest q times the longest vector
+        most, far, step = 0.0, longest(self.predicted[1]), max(1, LOGITS // len(self.groups))
+        for k in range(0, n, step):
+            some = self.predict([self.before.take(ids, axis=0) for ids in ctx[k : k + step].T])
+            q[k : k + step], length = some, longest(some)
+            out[k : k + step] = log_softmax_at(some @ self.predicted[1].T, own[k : k + step], length * far)
+            most = max(most, length)
         for g in np.flatnonzero((np.diff(cuts) > 0) & (self.sizes > 1)):
             first, size = self.starts[g], self.sizes[g]
-            vectors, bias = self.after[first : first + size].T, self.bias[first : first + size]
-            step = max(1, LOGITS // size)
+            vectors = self.predicted[0][first : first + size]
+            reach, step = most * longest(vectors), max(1, LOGITS // size)
             for k in range(cuts[g], cuts[g + 1], step):
-                some = order[k : min(k + step, cuts[g + 1])]
-                out[some] += log_softmax_at(q[some] @ vectors + bias, nxt[some] - first)
+                at = order[k : min(k + step, cuts[g + 1])]
+                out[at] += log_softmax_at(q.take(at, axis=0) @ vectors.T, nxt.take(at) - first, reach)
         return out / np.log(10)
 
 
-def touched(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids, and the place of each id among them."""
-    here = np.bincount(ids, minlength=size) > 0
-    return np.flatnonzero(here), (np.cumsum(here) - 1)[ids]
+def shared_contexts(ctx: np.ndarray, slopes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and slopes of all places, added up where a place's id is, as in running text, that of the place before at the token before."""
+    ids, rows = [], []
+    for j in range(len(slopes) - 1, 0, -1):
+        same = ctx[j, 1:] == ctx[j - 1, :-1]
+        slopes[j - 1][:-1] += slopes[j][1:] * same.astype(np.float32)[:, None]
+        rest = np.append(0, np.flatnonzero(~same) + 1)
+        ids.append(ctx[j].take(rest))
+        rows.append(slopes[j].take(rest, axis=0))
+    return np.concatenate([ctx[0], *ids]), np.concatenate([slopes[0], *rows])
 
 
 def scatter(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Sums of the rows at each place."""
-    flat = at[:, None] * WIDTH + np.arange(WIDTH)
-    return np.bincount(flat.ravel(), rows.ravel(), minlength=size * WIDTH).reshape(size, WIDTH)
+    width = rows.shape[1]
+    out, columns = np.zeros((size, width), np.float32), np.arange(width)
+    for k in range(0, len(at), BATCH):
+        np.add.at(out.reshape(-1), (at[k : k + BATCH, None] * width + columns).ravel(), rows[k : k + BATCH].ravel())
+    return out
 
 
 def _training_tokens(row: dict, units: Units) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -649,3 +649,88 @@ def test_what_noise_is_drawn_by_is_computed_once(monkeypatch):
         assert np.array_equal(sums, np.cumsum(noise)) and whole == noise.sum() and np.allclose(logs, np.log(bilinear_lm.NOISE * noise))
     monkeypatch.setattr(np, "cumsum", lambda *_, real=np.cumsum, **__: real(*_, **__) if np.asarray(_[0]).dtype != float else pytest.fail("summed in a step"))
     model.train(np.zeros((40, bilinear_lm.CONTEXT), int), np.arange(40) % 6, np.random.default_rng(0))
+
+
+def test_words_are_coded_by_runs_of_texts():
+    """Places, distinct words and lengths equal a plain split's, for one run and for several, sliced arrays too."""
+    raw = [b"", b"  ", b" a B\tc\n", b"x", b"\xff\xfe Q\x00q \xc3\x89\x85 \xc2\xa0 A\x1cB", b"a\x0bb\x0cc\rd", b"A a A"]
+    want = [[*text.lower().split(), bilinear_lm.END] for text in raw]
+    texts = pa.array(raw, pa.binary())
+    for cuts in ([0, 7], [0, 1, 2, 5, 7], [0, 4, 4, 7]):
+        words, tokens, lengths = bilinear_lm.merged([bilinear_lm.coded_words(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)])
+        assert words.to_pylist() == list(dict.fromkeys([bilinear_lm.END, *(w for ws in want for w in ws)]))
+        assert lengths.tolist() == [len(ws) for ws in want]
+        assert words.take(pa.array(tokens)).to_pylist() == [w for ws in want for w in ws]
+
+
+@pytest.mark.parametrize("bound", [1, 40, 1 << 30])
+def test_blocks_are_cut_after_the_text_that_fills_them(spark, monkeypatch, bound):
+    monkeypatch.setattr(bilinear_lm, "BLOCK_BYTES", bound)
+    monkeypatch.setattr(bilinear_lm, "SLICE_BYTES", 16)
+    texts = [None, "a b", "", "c " * 30, "a", "é É e", " d a  b\n" * 3, "", "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    # in this process, so that the bounds hold
+    caught = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: caught.append((self, run)))
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    bilinear_lm.blocks(docs, F.col("doc_id") % 2 == 0)
+    rows, run = caught[0]
+    got = [r for out in run(rows.toArrow().to_batches()) for r in out.to_pylist()]
+    want, size = [[]], 0
+    for k, text in enumerate(texts):
+        raw = (text or "").encode()
+        want[-1].append((k, raw))
+        size += len(raw)
+        if size >= bound:
+            want.append([])
+            size = 0
+    want = [block for block in want if block]
+    assert [r["block"] for r in got] == [3 << 24 | k for k in range(len(want))] and [r["ids"] for r in got] == [[k for k, _ in block] for block in want]
+    for r, block in zip(got, want, strict=True):
+        words = [[*raw.lower().split(), bilinear_lm.END] for _, raw in block]
+        tokens = np.frombuffer(zlib.decompress(r["tokens"]), np.int32)
+        assert [r["words"][t] for t in tokens] == [w for ws in words for w in ws] and r["lengths"] == [len(ws) for ws in words]
+        used = Counter(w for (k, _), ws in zip(block, words, strict=True) if k % 2 == 0 for w in ws)
+        assert r["counts"] == [used[w] for w in r["words"]] and r["training"] == [k % 2 == 0 for k, _ in block]
+
+
+def test_words_are_counted_and_coded_by_one_sort_each(spark):
+    """Counts need one window and one sort; blocks are gathered by a sort of one number; words come in any order."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, "a")], "doc_id bigint, text string").repartition(3, "doc_id")
+    table = bilinear_lm.materialize(bilinear_lm.blocks(docs, F.lit(True)), "test-blocks")
+    counted = bilinear_lm.corpus_counts(table)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == plan.count("Window [") == 1
+    assert sorted({(r["word"].decode(), r["total"]) for r in counted.collect()}) == [("\n", 3), ("a", 3), ("b", 2), ("c", 1)]
+    assert sorted(r["word"].decode() for r in counted.where("first").collect()) == ["\n", "a", "b", "c"]
+    coded = bilinear_lm.code(table, counted, bilinear_lm.vocabulary(counted))
+    sorts = [line for line in coded._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [block#" in line]
+    assert len(sorts) == 1 and "place#" not in sorts[0]
+
+
+def test_slopes_of_running_text_are_added_up_once_a_token():
+    """One row a token, not one a place of its context, with the sums of all places; ids of any other order keep all their rows."""
+    rng = np.random.default_rng(5)
+    units = rng.integers(0, 50, 2000)
+    running = bilinear_lm.contexts(units, np.array([700, 1, 2, 1297]), 0).T.astype(np.int64)
+    for ctx, most in ((running, 2000 + 40), (rng.integers(0, 50, (bilinear_lm.CONTEXT, 2000)), 2000 * bilinear_lm.CONTEXT)):
+        slopes = [rng.normal(0, 1, (2000, bilinear_lm.WIDTH)).astype(np.float32) for _ in ctx]
+        want = np.zeros((50, bilinear_lm.WIDTH))
+        for ids, rows in zip(ctx, slopes, strict=True):
+            np.add.at(want, ids, rows)
+        ids, rows = bilinear_lm.shared_contexts(ctx, slopes)
+        assert 2000 <= len(ids) <= most
+        assert np.allclose(bilinear_lm.scatter(ids, rows, 50), want, atol=1e-3)
+
+
+@pytest.mark.parametrize("scale", [1, 30, 1000])
+def test_log_softmax_is_the_same_within_and_beyond_safe_logits(scale):
+    """Logits within the bound are not shifted, those beyond are; far ones neither overflow nor vanish."""
+    rng = np.random.default_rng(6)
+    logits, own = (rng.uniform(-1, 1, (500, 70)) * scale).astype(np.float32), rng.integers(0, 70, 500)
+    exact = logits.astype(np.float64)
+    shift = exact.max(axis=1)
+    want = exact[np.arange(500), own] - shift - np.log(np.exp(exact - shift[:, None]).sum(axis=1))
+    for most in [scale, np.inf][scale > bilinear_lm.SAFE :]:
+        assert np.allclose(bilinear_lm.log_softmax_at(logits.copy(), own, most), want, rtol=1e-5, atol=1e-5)
+    assert bilinear_lm.longest(logits) == pytest.approx(np.linalg.norm(exact, axis=1).max(), rel=1e-5)
